@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from siteloom.llm import bpe, chat, decontam, quality, urlfilter
+from siteloom.llm import bpe, chat, decontam, htmltext, langid, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_byte_bpe": bpe.query,
     "op3_url_filters": urlfilter.query,
+    "op4_language_id": langid.query,
     "op5_decontamination": decontam.query,
     "op6_quality_rules": quality.query,
+    "op7_warc_revisits": warc.query,
+    "op8_html_text": htmltext.query,
+    "op9_toxicity": toxicity.query,
 }
 ORACLES = {
     "op1_chat_formatting": chat.ORACLE,
     "op3_url_filters": urlfilter.ORACLE,
     "op5_decontamination": decontam.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op7_warc_revisits": warc.ORACLE,
 }
