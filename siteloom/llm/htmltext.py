@@ -92,7 +92,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
     def flush() -> None:
         if not parts:
             return
-        text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+        text = " ".join("".join(entities.unescape(p) for p, _ in parts).split())
         if text:
             linked = sum(len(entities.unescape(p)) for p, in_link in parts if in_link)
             out.append((text, linked, -1 if dropped else 2 if articles else 1 if mains else 0))

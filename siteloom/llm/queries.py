@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.llm import bpe, chat, decontam, htmltext, langid, quality, toxicity, urlfilter, warc
+from siteloom.llm import bpe, chat, decontam, htmltext, jaccard, langid, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc_revisits": warc.query,
     "op8_html_text": htmltext.query,
     "op9_toxicity": toxicity.query,
+    "op10_jaccard_join": jaccard.query,
 }
 ORACLES = {
     "op1_chat_formatting": chat.ORACLE,
