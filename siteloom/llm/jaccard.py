@@ -86,6 +86,13 @@ def picked(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
     return _mix(h[h <= np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))] + np.uint64(1))
 
 
+def first_nodes(tokens: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
+    """The nodes of a set on the first level of each run."""
+    h = _mix(tokens[None, :] ^ _mix(np.arange(1, runs + 1, dtype=np.uint64))[:, None])
+    chosen = h <= np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+    return [_mix(h[r, at] + np.uint64(1)) for r, at in enumerate(chosen)]
+
+
 def runs_for(recall: float) -> int:
     """Runs that a pair at the threshold misses with a chance of at most 1 - recall."""
     return max(FIRST + 1, math.ceil(-math.log(1 - recall)))
@@ -103,7 +110,7 @@ def sets(docs: DataFrame, threshold: float, runs: int, size: int = WORDS) -> Dat
                 counts.append(len(s))
                 if len(s):
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    nodes = [picked(s, r + 1, threshold) for r in range(runs)]
+                    nodes = first_nodes(s, runs, threshold)
                     first.append(np.concatenate(nodes[:FIRST]).astype(np.int64))
                     rest.append(np.concatenate(nodes[FIRST:]).astype(np.int64))
                 else:
@@ -142,8 +149,9 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray] | None) -> np.ndarra
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
     out = np.zeros((m, m if cols is None else len(cols)))
-    width = max(64, (1 << 23) // max(1, len(both)))
-    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+    columns = int(at[-1]) + 1 if len(at) else 0
+    width = min(columns, max(64, (1 << 23) // max(1, len(both))))
+    for start in range(0, columns, width or 1):
         a, b = np.searchsorted(at, (start, start + width))
         hit = np.zeros((len(both), width), np.float32)
         hit[owner[a:b], at[a:b] - start] = 1
