@@ -4,16 +4,18 @@ A document's set holds its shingles of five words (lower-cased; runs of 0-9, a-z
 beyond ASCII). Equal sets are one representative with a weight. In each run every set picks
 those of its tokens whose hash lies below 1 / (threshold * size), one or two on average, and
 joins the bucket (node) of each; similar sets pick the same tokens. Buckets of one set end
-there, small ones are compared by brute force, large ones split again on tokens their sets
-pick next. A pair at the threshold misses a run with chance 1/e, so the target recall gives the
-number of runs.
-
-Links are contracted to components as they are found: a bucket whose sets are of one component
-already is done, so a group of thousands of near copies is joined by a few comparisons of each
-member, not by all pairs. Large buckets are first contracted in blocks; whatever is still
-large at MAX_DEPTH is compared in full, block against block. At the end the links within each
-component are counted exactly, again block against block, from whole token sets. Blocks are
-bounded by rows and by tokens, and no pair is ever a row.
+there, small ones are compared by brute force, large ones split again, on sampled tokens of the
+sets' MinHash embeddings (SKETCH minimum hashes, which represent a set by as many tokens). What
+is still large at MAX_DEPTH is compared in full, block against block. A pair at the threshold
+misses a run with chance 1/e, so the target recall gives the number of runs.
+
+Inside a bucket embeddings are compared: two sets may be similar if they agree in as many places
+as all pairs at the threshold do but one in a million. Such candidates are contracted to
+families as they are found, and a bucket whose sets are of one family already is done: a group
+of thousands of near copies is joined by a few comparisons of each member. Then whole token sets
+are compared within each family, exactly and block against block, which gives the links of
+every document and the classes. Blocks are bounded by rows and by tokens, and no pair is ever a
+row.
 
 Result: one row for each document with class_id (the least doc_id of its component) and n_links
 (other documents with a Jaccard similarity of the threshold or more; copies count).
@@ -42,8 +44,10 @@ from siteloom.llm.decontam import words
 WORDS, THRESHOLD, RECALL, MAX_DEPTH = 5, 0.8, 0.99999, 6
 #: Runs whose buckets are used for the first contraction.
 FIRST = 2
-#: Members of a bucket or block; every TOKENS tokens of a set count as one member more.
-LIMIT, BLOCK, TOKENS = 256, 2048, 8192
+#: Members of a bucket, and of a block; every TOKENS tokens of a set count as one member more.
+LIMIT, BLOCK, TOKENS = 256, 2048, 1024
+#: Minimum hashes of a sketch, and the share of pairs at the threshold that it may miss.
+SKETCH, SKETCH_MISS = 32, 1e-6
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -93,21 +97,42 @@ def first_nodes(tokens: np.ndarray, runs: int, threshold: float) -> list[np.ndar
     return [_mix(h[r, at] + np.uint64(1)) for r, at in enumerate(chosen)]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """16 bits of the least hash of the set under each of SKETCH hash functions."""
+    seeds = _mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(1 << 32))[:, None]
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(tokens), 1 << 14):
+        least = np.minimum(least, _mix(tokens[None, at : at + (1 << 14)] ^ seeds).min(axis=1))
+    return (_mix(least) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def agreement(threshold: float) -> int:
+    """Places of two sketches that agree for all pairs at the threshold but SKETCH_MISS."""
+    missed, m = 0.0, 0
+    while m < SKETCH:
+        missed += math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m)
+        if missed > SKETCH_MISS:
+            break
+        m += 1
+    return m
+
+
 def runs_for(recall: float) -> int:
     """Runs that a pair at the threshold misses with a chance of at most 1 - recall."""
     return max(FIRST + 1, math.ceil(-math.log(1 - recall)))
 
 
 def sets(docs: DataFrame, threshold: float, runs: int, size: int = WORDS) -> DataFrame:
-    """(doc_id, key of the set, n shingles, nodes of the first runs, nodes of the others)."""
+    """(doc_id, key of the set, n shingles, nodes of the first runs, of the others, sketch)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, first, rest = [], [], [], []
+            keys, counts, first, rest, sketches = [], [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingles(text, size)
                 counts.append(len(s))
+                sketches.append(sketch(s) if len(s) else None)
                 if len(s):
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     nodes = first_nodes(s, runs, threshold)
@@ -118,10 +143,72 @@ def sets(docs: DataFrame, threshold: float, runs: int, size: int = WORDS) -> Dat
                     first.append([])
                     rest.append([])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(rest, kind)], names=["doc_id", "key", "n", "first", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(rest, kind), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "first", "rest", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, first array<long>, rest array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, first array<long>, rest array<long>, sketch binary")
+
+
+def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """Edges (src, dst) between components of the rows (rep, node, comp, size, sketch) of a node
+    whose sketches agree, as few as join them (a spanning forest). Large nodes are compared in
+    blocks: pairs: every block also with every other, else each by itself."""
+    least = agreement(threshold)
+
+    def linked(mine: list[tuple], other: list[tuple] | None) -> list[tuple]:
+        x = np.stack([np.frombuffer(r[3], np.uint16) for r in mine])
+        y = x if other is None else np.stack([np.frombuffer(r[3], np.uint16) for r in other])
+        same = np.zeros((len(x), len(y)), np.int8)
+        for k in range(SKETCH):
+            same += x[:, k][:, None] == y[:, k][None, :]
+        return _forest(mine, other, same >= least)
+
+    groups = _in_blocks(rows, BLOCK if pairs else LIMIT, pairs).select("node", "b1", "b2", "mine", "rep", "comp", "size", "sketch")
+    return _grouped(groups, linked, ["src", "dst"])
+
+
+def split(rows: DataFrame, threshold: float) -> DataFrame:
+    """(rep, sketch, node) one level down: a node samples places of the embedding, and sets with
+    the same token there stay together."""
+    some = int((1 << 20) / (threshold * SKETCH))
+    places = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < some)
+    child = F.transform(places, lambda i: F.xxhash64("node", i, F.substr("sketch", 2 * i + 1, F.lit(2))))
+    return rows.select("rep", "sketch", F.explode(child).alias("node"))
+
+
+def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(rep, comp): the families of two sets or more. level: (rep, node, early); sketches: (rep,
+    sketch)."""
+    shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = cut(level.join(shared.select("node"), "node"))
+    rows = met.where("early").drop("early").join(sketches, "rep")
+    edges = comps = None
+    for depth in range(MAX_DEPTH + 1):
+        named = rows.withColumn("comp", F.col("rep")) if comps is None else _named(rows, comps)
+        sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        open_ = named.join(sizes.select("node", "size"), "node")
+        if depth:
+            open_ = cut(open_)
+            if open_.isEmpty():
+                break
+        large = open_.where(f"size > {LIMIT}")
+        if not depth:  # early nodes, contracted in blocks
+            found = candidates(open_, threshold, False)
+        elif depth < MAX_DEPTH:
+            found = candidates(open_.where(f"size <= {LIMIT}"), threshold, False)
+        else:
+            found = candidates(open_, threshold, True)
+        found = cut(found)
+        edges = found if edges is None else edges.union(found)
+        if comps is None or not found.isEmpty():
+            comps = cut(connected_components(edges)).withColumnRenamed("node", "node_")
+        if not depth:
+            rows = met.drop("early").join(sketches, "rep")
+        elif depth == MAX_DEPTH or large.isEmpty():
+            break
+        else:
+            rows = split(large, threshold)
+    return comps.select(F.col("node_").alias("rep"), F.col("component").alias("comp"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
@@ -166,77 +253,60 @@ def similar(rows: list[np.ndarray], cols: list[np.ndarray] | None, threshold: fl
     return overlaps(rows, cols) * (1 + threshold) >= threshold * (a[:, None] + b[None, :]) - 1e-6
 
 
-def _links(mine: list[tuple], other: list[tuple] | None, threshold: float) -> list[tuple]:
-    """(rep, weight of its partners) over members (rep, comp, weight, tokens); the pairs of a
-    set with itself are left out."""
-    hit = similar([x[3] for x in mine], None if other is None else [x[3] for x in other], threshold)
-    if other is None:
-        np.fill_diagonal(hit, False)
-        w = np.array([x[2] for x in mine], float)
-        return list(zip([x[0] for x in mine], (hit @ w).astype(np.int64).tolist()))
-    own = (hit @ np.array([x[2] for x in other], float)).astype(np.int64).tolist()
-    back = (hit.T @ np.array([x[2] for x in mine], float)).astype(np.int64).tolist()
-    return list(zip([x[0] for x in mine], own)) + list(zip([x[0] for x in other], back))
+def _forest(mine: list[tuple], other: list[tuple] | None, hit: np.ndarray) -> list[tuple]:
+    """Of the pairs that hit, over members (rep, comp, ...), as few as join all components."""
+    right = mine if other is None else other
+    code: dict = {}
+    a, b = (np.array([code.setdefault(x[1], len(code)) for x in side], np.int64) for side in (mine, right))
+    parent = list(range(len(code)))
 
-
-def _edges(mine: list[tuple], other: list[tuple] | None, threshold: float) -> list[tuple]:
-    """Links that join components, as few as do (a spanning forest)."""
-    everyone = mine if other is None else mine + other
-    parent: dict = {x[1]: x[1] for x in everyone}
-
-    def root(x):
+    def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    if len(parent) < 2:
-        return []
-    hit = similar([x[3] for x in mine], None if other is None else [x[3] for x in other], threshold)
-    if other is None:
-        hit = np.triu(hit, 1)
-    comps = list(parent)
-    code = {c: i for i, c in enumerate(comps)}
-    left = np.array([code[x[1]] for x in mine])
-    right = left if other is None else np.array([code[x[1]] for x in other])
-    hit &= left[:, None] != right[None, :]
-    out = []
-    for i, j in np.argwhere(hit):
-        x, y = mine[i], (mine if other is None else other)[j]
-        a, b = root(x[1]), root(y[1])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((x[0], y[0]))
+    out, left = [], len(code) - 1
+    for i in range(len(mine)):
+        if not left:
+            break
+        for j in np.flatnonzero(hit[i] & (b != a[i])):
+            x, y = root(a[i]), root(b[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((mine[i][0], right[j][0]))
+                left -= 1
     return out
 
 
-def compare(groups: DataFrame, tokens: DataFrame, threshold: float, links: bool) -> DataFrame:
-    """groups: (node, b1, b2, mine, rep, comp, weight). Compares the members of each (node, b1,
-    b2), one block or two; gives edges (src, dst), or with links (rep, links)."""
-    kind = tokens.schema["rep"].dataType.simpleString()
-    names, schema = (["rep", "links"], f"rep {kind}, links long") if links else (["src", "dst"], f"src {kind}, dst {kind}")
-    work = _links if links else _edges
+def _grouped(rows: DataFrame, work, names: list[str]) -> DataFrame:
+    """work(members, other members or None) for each (node, b1, b2) of the rows (node, b1, b2,
+    mine, rep, comp, ...): its result rows, the first ones reps, the last a number if it is
+    named links."""
+    spark_kind = rows.schema["rep"].dataType.simpleString()
+    kinds = ["long" if n == "links" else spark_kind for n in names]
+    columns = rows.columns
 
     def finish(group: list[tuple]) -> list[tuple]:
-        (_, b1, b2), members = group[0][0], [x[1:] for x in group]
+        (_, b1, b2) = group[0][0]
+        mine = [x[2:] for x in group if x[1] == b1]
         if b1 == b2:
-            return work([x[1:] for x in members], None, threshold) if len(members) > 1 else []
-        mine, other = [x[1:] for x in members if x[0] == b1], [x[1:] for x in members if x[0] == b2]
-        return work(mine, other, threshold) if mine and other else []
+            return work(mine, None) if len(mine) > 1 else []
+        other = [x[2:] for x in group if x[1] == b2]
+        return work(mine, other) if mine and other else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = None
+        types = None
         group: list[tuple] = []
         out: list[tuple] = []
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[i], fields[i]) for i in (0, 1)], names=names)
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            arrays = list(zip(*found)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types)], names=names)
 
         for batch in batches:
-            fields = [batch.schema.field("rep").type, pa.int64() if links else batch.schema.field("rep").type]
-            column = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "b1", "b2", "mine", "rep", "comp", "weight", "tokens")]
-            for node, b1, b2, mine, rep, comp, weight, held in zip(*column):
+            types = [pa.int64() if n == "links" else batch.schema.field("rep").type for n in names]
+            for node, b1, b2, *row in zip(*(batch.column(i).to_pylist() for i in range(len(columns)))):
                 key = (node, b1, b2)
                 if group and group[0][0] != key:
                     out += finish(group)
@@ -244,95 +314,73 @@ def compare(groups: DataFrame, tokens: DataFrame, threshold: float, links: bool)
                     if len(out) > 10_000:
                         yield batch_of(out)
                         out = []
-                group.append((key, mine, rep, comp, weight, np.frombuffer(held, np.uint64)))
+                group.append((key, *row))
         if group:
             out += finish(group)
-        if fields:
+        if types:
             yield batch_of(out)
 
-    with_tokens = groups.join(tokens, "rep").repartition("node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
-    return with_tokens.select("node", "b1", "b2", "mine", "rep", "comp", "weight", "tokens").mapInArrow(run, schema)
+    dealt = rows.repartition("node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
+    return dealt.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def compare(groups: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """groups: (node, b1, b2, mine, rep, comp, weight). Compares the token sets of each (node,
+    b1, b2): rows (src, dst, null) for links that join sets (a spanning forest), and (src, null,
+    links) with the weight of a set's partners."""
+
+    def work(mine: list[tuple], other: list[tuple] | None) -> list[tuple]:
+        held = lambda side: [np.frombuffer(x[3], np.uint64) for x in side]
+        hit = similar(held(mine), None if other is None else held(other), threshold)
+        weight = lambda side: np.array([x[2] for x in side], float)
+        if other is None:
+            np.fill_diagonal(hit, False)
+        own = (hit @ weight(mine if other is None else other)).astype(np.int64).tolist()
+        out = [(x[0], None, n) for x, n in zip(mine, own) if n]
+        if other is not None:
+            back = (hit.T @ weight(mine)).astype(np.int64).tolist()
+            out += [(x[0], None, n) for x, n in zip(other, back) if n]
+        alone = lambda side: [(x[0], x[0]) for x in side]
+        return out + [(a, b, None) for a, b in _forest(alone(mine), None if other is None else alone(other), hit)]
+
+    met = groups.join(tokens, "rep").select("node", "b1", "b2", "mine", "rep", "comp", "weight", "tokens")
+    return _grouped(met, work, ["src", "dst", "links"])
 
 
 def _in_blocks(rows: DataFrame, limit: int, pairs: bool) -> DataFrame:
     """Deals the members of a node (with its size) to blocks by a hash; pairs: every block also
     meets every other block, else each only itself."""
-    blocks = F.ceil(F.col("size") / limit).cast("long")
-    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("rep", "node"), F.greatest(blocks, F.lit(1).cast("long"))))
+    blocks = F.greatest(F.ceil(F.col("size") / limit).cast("long"), F.lit(1).cast("long"))
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("rep", "node"), blocks))
     if not pairs:
         return dealt.withColumns({"b1": F.col("mine"), "b2": F.col("mine")})
-    met = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks, F.lit(1).cast("long")) - 1)))
+    met = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return met.withColumns({"b1": F.least("mine", "k"), "b2": F.greatest("mine", "k")})
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """The rows of nodes with members of two components or more, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.sum(F.expr(f"1 + n div {TOKENS}")).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return rows.join(sizes.where("low < high").select("node", "size"), "node")
-
-
-def _children(rows: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, node) one level down: each member in a node for every token it picks there."""
-    kind = tokens.schema["rep"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, ns, nodes = [], [], []
-            for rep, n, node, held in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for child in picked(np.frombuffer(held, np.uint64), node & (2**64 - 1), threshold).astype(np.int64).tolist():
-                    reps.append(rep)
-                    ns.append(n)
-                    nodes.append(child)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, batch.schema.field(0).type), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64())], names=["rep", "n", "node"])
-
-    return rows.select("rep", "n", "node").join(tokens, "rep").select("rep", "n", "node", "tokens").mapInArrow(run, f"rep {kind}, n long, node long")
+def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds comp, the component of the rep, which is the rep itself while it has no link."""
+    met = rows.join(comps, rows["rep"] == comps["node_"], "left")
+    return met.select(*rows.columns, F.coalesce("component", "rep").alias("comp"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = WORDS) -> DataFrame:
     """doc_id, class_id, n_links and n_shingles for every row of docs (doc_id, text)."""
     told = cut(sets(docs, threshold, runs_for(recall), size))
     keyed = told.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    reps = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest")))
-    level = reps.select("rep", "n", F.explode("first").alias("node"), F.lit(True).alias("early")).union(reps.select("rep", "n", F.explode("rest"), F.lit(False)))
-    held = cut(_sized(level.withColumn("comp", F.col("rep"))).select("rep", "n", "node", "early"))
-    tokens = cut(token_sets(docs, held.select("rep").distinct(), size))
-
-    edges = comps = None
-    frontier, depth = held.where("early").drop("early"), 0
-    while True:
-        named = frontier.withColumn("comp", F.col("rep")) if comps is None else frontier.join(comps, frontier["rep"] == comps["node_"], "left").withColumn("comp", F.coalesce("component", "rep")).select(*frontier.columns, "comp")
-        open_ = cut(_sized(named).withColumn("weight", F.lit(1).cast("long")))
-        if depth and open_.isEmpty():
-            break
-        large = open_.where(f"size > {LIMIT}")
-        last = depth >= MAX_DEPTH
-        leaders = large.groupBy("node", "comp").agg(F.min("rep").alias("rep"), F.first("weight").alias("weight"), F.first("n").alias("n"))
-        lead = leaders.join(leaders.groupBy("node").agg(F.sum(F.expr(f"1 + n div {TOKENS}")).alias("size")), "node")
-        small = _in_blocks(open_.where(f"size <= {LIMIT}"), LIMIT, False)
-        contracted = _in_blocks(large, BLOCK, True) if last else _in_blocks(lead, LIMIT, False)
-        columns = ["node", "b1", "b2", "mine", "rep", "comp", "weight"]
-        found = cut(compare(small.select(*columns).union(contracted.select(*columns)), tokens, threshold, False))
-        edges = found if edges is None else edges.union(found)
-        if not depth or not found.isEmpty():
-            comps = cut(connected_components(edges)).withColumnRenamed("node", "node_")
-        if last:
-            break
-        if not depth:
-            frontier = held.drop("early")
-        else:
-            if large.isEmpty():
-                break
-            frontier = cut(_children(large, tokens, threshold))
-        depth += 1
-
-    grouped = comps.select(F.col("node_").alias("rep"), F.col("component").alias("comp"))
-    members = reps.select("rep", "weight", "n").join(grouped, "rep")
-    in_comp = members.select("rep", "weight", F.xxhash64("comp").alias("node"), "comp", "n")
-    sizes = in_comp.groupBy("node").agg(F.sum(F.expr(f"1 + n div {TOKENS}")).alias("size"))
-    counted = compare(_in_blocks(in_comp.join(sizes, "node"), BLOCK, True), tokens, threshold, True)
-    partners = cut(counted.groupBy("rep").agg(F.sum("links").alias("links")))
-
-    classes = reps.select("key", "rep", "weight").join(grouped, "rep", "left").join(partners, "rep", "left")
+    reps = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch")))
+    level = reps.select("rep", F.explode("first").alias("node"), F.lit(True).alias("early")).union(reps.select("rep", F.explode("rest"), F.lit(False)))
+    family = families(level, reps.select("rep", "sketch"), threshold)
+
+    members = cut(reps.select("rep", "weight", "n").join(family, "rep").withColumn("node", F.xxhash64("comp")))
+    tokens = token_sets(docs, members.select("rep").distinct(), size)
+    sizes = members.groupBy("node").agg(F.sum(F.expr(f"1 + n div {TOKENS}")).alias("size"))
+    dealt = _in_blocks(members.join(sizes, "node"), BLOCK, True)
+    found = cut(compare(dealt.select("node", "b1", "b2", "mine", "rep", "comp", "weight"), tokens, threshold))
+    partners = found.where("dst IS NULL").groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
+    linked = connected_components(found.where("dst IS NOT NULL")).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+
+    classes = reps.select("key", "rep", "weight").join(linked, "rep", "left").join(partners, "rep", "left")
     classes = classes.select("key", F.coalesce("comp", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     alone = told.where("doc_id IS NULL OR key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
     joined = keyed.select("doc_id", "key", F.col("n").alias("n_shingles")).join(classes, "key")
