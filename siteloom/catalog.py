@@ -608,6 +608,6 @@ def rate_limit_stream(spark, sf_dir):
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
     base = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
     asked = limiter.requests(stream.withColumn("ts", c("ts").cast("timestamp")), "user_id", "ts", "event_id")
-    done = limiter.limit_stream(asked, 3, 86_400_000).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    done = limiter.limit_stream(asked, 3, 86_400_000, expire_idle=False).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(limiter.OUT).parquet(f"{base}/out")

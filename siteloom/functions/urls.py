@@ -164,7 +164,7 @@ def disallowed(url: Column, patterns: Column) -> Column:
     """Whether any robots pattern (array) covers the path: "*" matches anything up to the end,
     other patterns are prefixes."""
     p = path(url)
-    return F.coalesce(F.exists(patterns, lambda x: F.when(F.contains(x, F.lit("*")), p.rlike(F.concat(F.lit("^"), F.replace(x, F.lit("*"), F.lit(".*")), F.lit("$")))).otherwise(p.startswith(x))), F.lit(False))
+    return F.coalesce(F.exists(patterns, lambda x: F.when(F.contains(x, F.lit("*")), F.rlike(p, F.concat(F.lit("^"), F.replace(x, F.lit("*"), F.lit(".*")), F.lit("$")))).otherwise(p.startswith(x))), F.lit(False))
 
 
 def is_auth_page(url: Column, patterns: Column | None = None) -> Column:

@@ -449,7 +449,7 @@ def above_fold() -> Column:
 
 lazy_first = lambda: F.filter(above_fold(), lambda t: t.rlike(r"(?i)\bloading\s*=\s*[\"']lazy[\"']"))
 noscripts = lambda: F.regexp_extract_all(html(), F.lit(r"(?is)<noscript[^>]*>(.*?)</noscript>"), F.lit(1))
-script_links = lambda: F.filter(F.transform(F.regexp_extract_all(html(), F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>"), F.lit(1)), F.trim), lambda h: h.isin("#", "", "#!", "#/") | F.lower(h).startswith("javascript:"))
+script_links = lambda: F.filter(F.transform(F.regexp_extract_all(html(), F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>"), F.lit(1)), lambda x: F.trim(x)), lambda h: h.isin("#", "", "#!", "#/") | F.lower(h).startswith("javascript:"))
 
 RENDERING: list[Rule] = [
     Rule("spa_rendering", "P2", "SEO", 4, 4, client, {"bodyTextLength": body_length}),

@@ -48,7 +48,7 @@ def sitemap(files: DataFrame, scans: DataFrame) -> DataFrame:
     fits = F.col("ok") & (F.col("body").contains("<urlset") | F.col("body").contains("<sitemapindex"))
     candidates = wanted.join(files, "scan_id").withColumn("rank", rank).where(F.col("rank").isNotNull() & fits)
     best = candidates.groupBy("scan_id").agg(F.min_by("body", "rank").alias("body"))
-    locs = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"<loc>\s*(.*?)\s*</loc>"), F.lit(1)), F.trim), lambda u: u != "")
+    locs = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda u: F.trim(u)), lambda u: u != "")
     return wanted.select("scan_id", "origin").join(best, "scan_id", "left").select("scan_id", "origin", F.col("body").isNotNull().alias("found"), F.coalesce(locs, F.array().cast("array<string>")).alias("urls"))
 
 

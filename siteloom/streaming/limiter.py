@@ -39,9 +39,9 @@ def requests(events: DataFrame, key: str, at: str, ident: str) -> DataFrame:
     return events.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias("request_id"), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms"))
 
 
-def limit_stream(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
+def limit_stream(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_ms: int = WINDOW_MS, expire_idle: bool = True) -> DataFrame:
     """Decisions over a streaming DataFrame of requests(). Keys idle for a window lose their
-    state (processing time)."""
+    state (processing time); a trigger that ends when the input does needs expire_idle=False."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,10 +51,11 @@ def limit_stream(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_ms:
         frame = pd.concat(list(frames))
         out, times = _judge(key[0], frame, times, max_requests, window_ms)
         state.update((times,))
-        state.setTimeoutDuration(max(window_ms, 1000))
+        if expire_idle:
+            state.setTimeoutDuration(max(window_ms, 1000))
         yield out
 
-    return stream.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout)
 
 
 def limit_batch(stored: DataFrame, max_requests: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
