@@ -43,6 +43,8 @@ def issue(rule: Rule, url: Column) -> Column:
 def evaluate(pages: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("scan_id", "seq"), chunk: int = 12) -> DataFrame:
     """Issue rows (keys, pos, code, severity, category, impact, effort, url, evidence); pos is
     the rule's place in the list. Rules are grouped so that generated code stays small."""
+    if "disallow" not in pages.columns:  # robots patterns of the page's site
+        pages = pages.withColumn("disallow", F.array().cast("array<string>"))
     groups = [rules[i : i + chunk] for i in range(0, len(rules), chunk)]
     made = pages.select(*keys, *(F.array(*(issue(r, c("url")) for r in g)).alias(f"g{i}") for i, g in enumerate(groups)))
     every = F.flatten(F.array(*(c(f"g{i}") for i in range(len(groups)))))
@@ -60,10 +62,9 @@ def og(name: str) -> Column:
 
 
 def auth() -> Column:
-    return urls.is_auth_page(c("url"), c("disallow")) if _HAS_DISALLOW else urls.is_auth_page(c("url"))
+    return urls.is_auth_page(c("url"), c("disallow"))
 
 
-_HAS_DISALLOW = False
 home = lambda: urls.is_homepage(c("url"))
 article = lambda: urls.is_article(c("url"))
 html = lambda: F.coalesce(c("html"), F.lit(""))
