@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; both bound what a Python worker holds at a time.
-BATCH_ROWS = 500
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -38,7 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there. A lost executor
     then costs no recomputation, and iterative plans stay short."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files of finished steps go once the driver has collected what refers to them.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def widen(df: DataFrame, fields: list[tuple[str, T.DataType]], rows: Callable[[pa.RecordBatch], list], drop: tuple[str, ...] = ()) -> DataFrame:

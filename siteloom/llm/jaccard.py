@@ -6,7 +6,7 @@ those of its tokens whose hash lies below 1 / (threshold * size), one or two on
 joins the bucket (node) of each; similar sets pick the same tokens. Buckets of one set end
 there, small ones are compared by brute force, large ones split again, on sampled tokens of the
 sets' MinHash embeddings (SKETCH minimum hashes, which represent a set by as many tokens). What
-is still large at MAX_DEPTH is compared in full, block against block. A pair at the threshold
+is still large after MAX_DEPTH rounds is compared in full, block against block. A pair at the threshold
 misses a run with chance 1/e, so the target recall gives the number of runs.
 
 Inside a bucket embeddings are compared: two sets may be similar if they agree in as many places
@@ -34,18 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import cut, small_batches, table, texts
 from siteloom.llm.components import connected_components
 from siteloom.llm.decontam import words
 
-WORDS, THRESHOLD, RECALL, MAX_DEPTH = 5, 0.8, 0.99999, 6
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
+#: Rounds of splitting large buckets, and levels of a round.
+MAX_DEPTH, LEVELS = 3, 2
 #: Runs whose buckets are used for the first contraction.
 FIRST = 2
 #: Members of a bucket, and of a block; every TOKENS tokens of a set count as one member more.
-LIMIT, BLOCK, TOKENS = 256, 2048, 1024
+LIMIT, BLOCK, TOKENS = 256, 1024, 1024
 #: Minimum hashes of a sketch, and the share of pairs at the threshold that it may miss.
 SKETCH, SKETCH_MISS = 32, 1e-6
 #: Words whose hashes a worker remembers.
@@ -168,12 +170,25 @@ def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
-    """(rep, sketch, node) one level down: a node samples places of the embedding, and sets with
-    the same token there stay together."""
+    """(rep, sketch, node) LEVELS levels down: a node samples places of the embedding, and sets
+    with the same token there stay together."""
     some = int((1 << 20) / (threshold * SKETCH))
-    places = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < some)
-    child = F.transform(places, lambda i: F.xxhash64("node", i, F.substr("sketch", 2 * i + 1, F.lit(2))))
-    return rows.select("rep", "sketch", F.explode(child).alias("node"))
+
+    def children(node: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.pmod(F.xxhash64(node, i), F.lit(1 << 20)) < some)
+        return F.transform(places, lambda i: F.xxhash64(node, i, F.substr("sketch", 2 * i + 1, F.lit(2))))
+
+    nodes = F.array("node")
+    for _ in range(LEVELS):
+        nodes = F.flatten(F.transform(nodes, children))
+    return rows.select("rep", "sketch", F.explode(nodes).alias("node"))
+
+
+def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of nodes with members of two components or more, with comp and the node's size."""
+    named = rows.withColumn("comp", F.col("rep")) if comps is None else _named(rows, comps)
+    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return named.join(sizes.where("low < high").select("node", "size"), "node")
 
 
 def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -181,33 +196,26 @@ def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     sketch)."""
     shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(level.join(shared.select("node"), "node"))
-    rows = met.where("early").drop("early").join(sketches, "rep")
-    edges = comps = None
-    for depth in range(MAX_DEPTH + 1):
-        named = rows.withColumn("comp", F.col("rep")) if comps is None else _named(rows, comps)
-        sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        open_ = named.join(sizes.select("node", "size"), "node")
-        if depth:
-            open_ = cut(open_)
-            if open_.isEmpty():
-                break
-        large = open_.where(f"size > {LIMIT}")
-        if not depth:  # early nodes, contracted in blocks
-            found = candidates(open_, threshold, False)
-        elif depth < MAX_DEPTH:
-            found = candidates(open_.where(f"size <= {LIMIT}"), threshold, False)
-        else:
-            found = candidates(open_, threshold, True)
-        found = cut(found)
-        edges = found if edges is None else edges.union(found)
-        if comps is None or not found.isEmpty():
-            comps = cut(connected_components(edges)).withColumnRenamed("node", "node_")
-        if not depth:
-            rows = met.drop("early").join(sketches, "rep")
-        elif depth == MAX_DEPTH or large.isEmpty():
+    together = lambda edges: cut(connected_components(edges)).withColumnRenamed("node", "node_")
+    # The first runs, then all: small nodes whole, large ones contracted in blocks.
+    edges = cut(candidates(_open(met.where("early").select("rep", "node").join(sketches, "rep"), None), threshold, False))
+    comps = together(edges)
+    wide = cut(_open(met.select("rep", "node").join(sketches, "rep"), comps))
+    edges = cut(edges.union(candidates(wide, threshold, False)))
+    comps = together(edges)
+    # What is large and of several families still is split.
+    rows, more = _open(wide.where(f"size > {LIMIT}").select("rep", "node", "sketch"), comps), False
+    for depth in range(1, MAX_DEPTH + 1):
+        large = cut(rows.where(f"size > {LIMIT}"))
+        if large.isEmpty():
+            break
+        more = True
+        if depth == MAX_DEPTH:
+            edges = cut(edges.union(candidates(large, threshold, True)))
             break
-        else:
-            rows = split(large, threshold)
+        rows = cut(_open(cut(split(large, threshold)), comps))
+        edges = cut(edges.union(candidates(rows, threshold, False)))
+    comps = together(edges) if more else comps
     return comps.select(F.col("node_").alias("rep"), F.col("component").alias("comp"))
 
 
@@ -237,7 +245,7 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray] | None) -> np.ndarra
     at, owner = at[order], owner[order]
     out = np.zeros((m, m if cols is None else len(cols)))
     columns = int(at[-1]) + 1 if len(at) else 0
-    width = min(columns, max(64, (1 << 23) // max(1, len(both))))
+    width = min(columns, max(64, (1 << 21) // max(1, len(both))))
     for start in range(0, columns, width or 1):
         a, b = np.searchsorted(at, (start, start + width))
         hit = np.zeros((len(both), width), np.float32)
@@ -254,11 +262,12 @@ def similar(rows: list[np.ndarray], cols: list[np.ndarray] | None, threshold: fl
 
 
 def _forest(mine: list[tuple], other: list[tuple] | None, hit: np.ndarray) -> list[tuple]:
-    """Of the pairs that hit, over members (rep, comp, ...), as few as join all components."""
+    """Pairs that hit, over members (rep, comp, ...), as (component, least component joined with
+    it); components are named by one of their reps."""
     right = mine if other is None else other
     code: dict = {}
     a, b = (np.array([code.setdefault(x[1], len(code)) for x in side], np.int64) for side in (mine, right))
-    parent = list(range(len(code)))
+    names, parent = list(code), list(range(len(code)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -266,17 +275,16 @@ def _forest(mine: list[tuple], other: list[tuple] | None, hit: np.ndarray) -> li
             x = parent[x]
         return x
 
-    out, left = [], len(code) - 1
+    left = len(code) - 1
     for i in range(len(mine)):
         if not left:
             break
-        for j in np.flatnonzero(hit[i] & (b != a[i])):
-            x, y = root(a[i]), root(b[j])
+        for j in np.unique(b[hit[i] & (b != a[i])]):
+            x, y = root(a[i]), root(j)
             if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((mine[i][0], right[j][0]))
+                parent[x if names[x] > names[y] else y] = y if names[x] > names[y] else x
                 left -= 1
-    return out
+    return [(names[x], names[root(x)]) for x in range(len(names)) if root(x) != x]
 
 
 def _grouped(rows: DataFrame, work, names: list[str]) -> DataFrame:
