@@ -1,7 +1,7 @@
 """Operator 6, quality rules: line-first cleaning.
 
 Each line with a word is judged by itself. It fails for its punctuation (no closing mark at
-its end, or many exclamation runs), as navigation (many separators or symbols for its words)
+its end and no end of a sentence in its second half, or many exclamation runs), as navigation (many separators or symbols for its words)
 or as boilerplate (a stock phrase). Failed lines are removed; a document that loses more than
 half of its words with them is rejected, and so is one that fails the base rules (fewer than
 10 words, or more than a fifth of the words in repeated 5-word windows).
@@ -27,15 +27,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: A document is rejected if it keeps less than this percentage of its words.
 MIN_KEPT_PERCENT = 50
 
-# Closing marks, separators and symbols, stock phrases (lower case, ASCII).
+# Closing marks, ends of sentences, separators and symbols, stock phrases (lower case, ASCII).
 CLOSING = ".!?…。！？:;\"'”’»)"
+ENDS = ".!?…。！？"
 SEPARATORS = "#*$%&|<>»›·•"
 PHRASES = ["all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "read more", "share this", "subscribe to", "sign up", "log in to", "lorem ipsum"]
 
 _WS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NOT_POINTS = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
-_CLOSED = re.compile("[" + re.escape(CLOSING) + "]$")
 _SEPARATOR = re.compile("[" + re.escape(SEPARATORS) + "]")
 _PHRASE = re.compile("|".join(map(re.escape, PHRASES)))
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -43,7 +43,7 @@ _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 def line_fails(line: str, n_words: int) -> bool:
     """line: without white space at its ends; it has n_words words, one at least."""
-    if line[-1] not in CLOSING:
+    if line[-1] not in CLOSING and 2 * (max(map(line.rfind, ENDS)) + 1) < len(line):
         return True
     if line.count("!!") * 10 > 3 * n_words:
         return True
@@ -139,11 +139,11 @@ WITH d AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols
   FROM d
 ), lines AS (
-  SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(l, '[\x20\x09-\x0D]+$', '') AS t
+  SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
 ), by_line AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS n_dup_lines,
-    sum(n) FILTER (n > 0 AND regexp_matches(t, '[{_Q(re.escape(CLOSING))}]$')
+    sum(n) FILTER (n > 0 AND (regexp_matches(t, '[{_Q(re.escape(CLOSING))}]$') OR 2 * length(regexp_extract(t, '^(.*[{re.escape(ENDS)}])', 1)) >= length(t))
       AND (length(t) - length(replace(t, '!!', ''))) / 2 * 10 <= 3 * n
       AND (length(t) - length(regexp_replace(t, '[{_Q(re.escape(SEPARATORS))}]', '', 'g'))) * 10 <= 3 * n
       AND NOT regexp_matches(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_Q("|".join(PHRASES))}')) AS kept_words
