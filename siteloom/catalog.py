@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import labels, text, urls
 from siteloom.functions.wordlists import STOP_WORDS
 from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, scoring, sitechecks, technology
-from siteloom.plans import audit
+from siteloom.plans import audit, frontier
 from siteloom.sources import pages as P
 from siteloom.sources import sinks, site
 from siteloom.streaming import limiter
@@ -273,6 +273,11 @@ def group_by_page(spark, sf_dir):
     return reports.by_page(_issues(spark, sf_dir))
 
 
+@query(f"WITH {ISSUES} SELECT scan_id, severity, count(*) AS issues FROM issues GROUP BY ALL")
+def print_groups(spark, sf_dir):
+    return reports.by_severity(_issues(spark, sf_dir))
+
+
 _AI_SQL = " - ".join(["100", *(f"max(CASE WHEN code = '{k}' THEN {v} ELSE 0 END)" for k, v in reports.AI_PENALTY.items())])
 _CHECK_SQL = ", ".join(f"bool_and(code NOT IN ({', '.join(repr(x) for x in codes)})) AS {name}" for name, codes in reports.CHECKLIST.items())
 
@@ -408,6 +413,14 @@ def click_depth(spark, sf_dir):
     return links.click_depths(node, edge, home).select("node", "depth")
 
 
+@query()
+def crawl_frontier(spark, sf_dir):
+    """What a crawl of each site would read first, from its first page."""
+    pages = _parsed(spark, sf_dir).select("scan_id", "seq", "url", "links")
+    starts = pages.groupBy("scan_id").agg(F.min_by("url", "seq").alias("url"))
+    return frontier.crawl(links.links(pages), starts)
+
+
 @query(f"""WITH {PAGES}, k AS (SELECT *, lower(regexp_replace(scheme || '://' || scan_id || path, '/+$', '')) AS key FROM p), listed AS (SELECT DISTINCT scan_id, key FROM k WHERE seq % 2 = 0),
 firsts AS (SELECT scan_id, arg_min(key, seq) AS home FROM k GROUP BY scan_id)
 SELECT k.scan_id, k.url FROM k JOIN firsts USING (scan_id) WHERE key <> home AND scan_id IN (SELECT scan_id FROM listed) AND (scan_id, key) NOT IN (SELECT (scan_id, key) FROM listed)""")
@@ -486,6 +499,11 @@ def sparkline(spark, sf_dir):
     return history.sparkline(history.score_history(_runs(spark, sf_dir))).select("site", "place", "low", "high", "y")
 
 
+@query(f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, run_id DESC) AS back FROM runs) SELECT site, count(*) AS runs, arg_max(run_id, (created_at, run_id)) AS latest_run, string_agg(score::VARCHAR, ',' ORDER BY created_at, run_id) FILTER (status = 'SUCCEEDED' AND back <= 50) AS scores FROM r GROUP BY site")
+def history_groups(spark, sf_dir):
+    return history.by_site(_runs(spark, sf_dir)).select("site", "runs", "latest_run", F.array_join("scores", ",").alias("scores"))
+
+
 _TREND = f"{RUNS}, l AS (SELECT *, score - lag(score) OVER (PARTITION BY site ORDER BY created_at, run_id) AS delta FROM runs WHERE status = 'SUCCEEDED'), t AS (SELECT site, delta FROM l QUALIFY row_number() OVER (PARTITION BY site ORDER BY created_at DESC, run_id DESC) = 1)"
 
 

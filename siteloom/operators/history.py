@@ -77,3 +77,27 @@ def spend_quota(leads: DataFrame, requests: DataFrame, default: int = 3) -> Data
     asked = requests.groupBy(F.lower(F.trim("email")).alias("email")).agg(F.count(F.lit(1)).alias("asked"))
     held = leads.select(F.lower(F.trim("email")).alias("email"), "quota")
     return asked.join(held, "email", "full").select("email", F.greatest(F.lit(0).cast("long"), F.coalesce("quota", F.lit(default)) - F.coalesce("asked", F.lit(0))).alias("left"))
+
+
+def by_site(runs: DataFrame) -> DataFrame:
+    """(site, runs, latest_run, latest_at, scores): each site's runs as one row, the newest site
+    first in latest_at; scores are those of finished runs, oldest first, at most the last 50."""
+    newest = Window.partitionBy("site").orderBy(*(F.desc(k) for k in ORDER))
+    ranked = runs.withColumn("back", F.row_number().over(newest))
+    done = F.when((c("status") == "SUCCEEDED") & (c("back") <= 50), F.struct(*ORDER, "score"))
+    grouped = ranked.groupBy("site").agg(F.count(F.lit(1)).alias("runs"), F.max(F.struct(*ORDER)).alias("x"), F.array_sort(F.collect_list(done)).alias("s"))
+    return grouped.select("site", "runs", c("x.run_id").alias("latest_run"), c("x.created_at").alias("latest_at"), F.transform("s", lambda v: v["score"]).alias("scores"))
+
+
+def search(runs: DataFrame, term: str, column: str = "site") -> DataFrame:
+    """Runs whose address holds the term, whatever its case."""
+    return runs.where(F.contains(F.lower(c(column).cast("string")), F.lit(term.lower())))
+
+
+def shared(runs: DataFrame, tokens: DataFrame, token: str) -> DataFrame:
+    """The run that a share token names. tokens: (token, run_id)."""
+    return runs.join(tokens.where(c("token") == token).select("run_id"), "run_id", "left_semi")
+
+
+def active(schedules: DataFrame) -> DataFrame:
+    return schedules.agg(F.count_if("enabled").alias("active"))

@@ -90,3 +90,18 @@ def executive_summary(summary: DataFrame, issues: DataFrame) -> DataFrame:
     mid = F.when(critical == 0, "It has no critical issues.").otherwise(F.concat(F.lit("It has "), critical.cast("string"), F.lit(" critical or high-priority "), F.when(critical == 1, "issue").otherwise("issues"), F.coalesce(F.concat(F.lit(", most of them in "), F.lower("worst")), F.lit("")), F.lit(".")))
     end = F.when(c("fix").isNull(), "Review the list of issues.").otherwise(F.concat(F.lit("Start with: "), c("fix"), F.lit(" ("), c("how"), F.lit(" to fix).")))
     return s.select("scan_id", F.concat_ws(" ", head, mid, end).alias("text"))
+
+
+def by_severity(issues: DataFrame) -> DataFrame:
+    """(scan_id, severity, issues): counts of the severities that occur, as a print groups them."""
+    return issues.groupBy("scan_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
+def sort_by_category(issues: DataFrame) -> DataFrame:
+    """Issues by category in the order of a dictionary, then by place."""
+    return issues.orderBy(F.collate("category", "UNICODE"), "scan_id", "n")
+
+
+def listed(issues: DataFrame) -> DataFrame:
+    """Issues by severity, then place."""
+    return issues.orderBy("scan_id", severity_rank(c("severity")), "n")

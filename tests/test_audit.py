@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, sitechecks, technology
-from siteloom.plans import audit
+from siteloom.plans import audit, frontier
 from siteloom.sources import dom, site
 from siteloom.sources import pages as P
 from siteloom.streaming import limiter
@@ -107,6 +107,14 @@ def test_link_graph(spark):
     assert edge.count() == 4 and node.where("url LIKE '%/' AND radius = 20").count() == 1
 
 
+def test_frontier(spark):
+    data = [("s", "https://e.com/", i, f"https://e.com/{t}", True) for i, t in enumerate(["a?utm_id=1", "a#x", "cart", "b"])] + [("s", "https://e.com/a", 0, "https://e.com/c", True), ("s", "https://e.com/c", 0, "https://e.com/d", True), ("s", "https://e.com/c", 1, "https://o.org/", False)]
+    held = spark.createDataFrame(data, "scan_id string, source_url string, pos int, href string, is_internal boolean")
+    start = spark.createDataFrame([("s", "https://e.com/")], "scan_id string, url string")
+    got = lambda **k: [(r["url"][14:], r["depth"]) for r in frontier.crawl(held, start, **k).orderBy("place").collect()]
+    assert got() == [("", 0), ("a", 1), ("b", 1), ("c", 2), ("d", 3)] and got(max_pages=3) == [("", 0), ("a", 1), ("b", 1)] and got(max_depth=1) == [("", 0), ("a", 1), ("b", 1)]
+
+
 def test_broken_links_and_targets(spark):
     html = '<head><meta property="og:image" content="https://i.x/1.png"><link rel=canonical href="https://e.com/gone"></head><a href="/gone">g</a><a href="https://o.org/f">o</a><a href="/r">r</a>'
     status = spark.createDataFrame([("https://e.com/gone", 404, None, [], "text/html"), ("https://o.org/f", 403, None, [], None), ("https://e.com/r", 200, None, ["a", "b", "c"], None), ("https://i.x/1.png", 200, None, [], "text/html")], "href string, status_code int, error string, chain array<string>, content_type string")
