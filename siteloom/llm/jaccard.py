@@ -201,8 +201,10 @@ def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     edges = cut(candidates(_open(met.where("early").select("rep", "node").join(sketches, "rep"), None), threshold, False))
     comps = together(edges)
     wide = cut(_open(met.select("rep", "node").join(sketches, "rep"), comps))
-    edges = cut(edges.union(candidates(wide, threshold, False)))
-    comps = together(edges)
+    # Components found so far stand for the edges that made them.
+    stars = lambda comps: comps.select(F.col("node_").alias("src"), F.col("component").alias("dst")).where("src <> dst")
+    comps = together(stars(comps).union(cut(candidates(wide, threshold, False))))
+    edges = stars(comps)
     # What is large and of several families still is split.
     rows, more = _open(wide.where(f"size > {LIMIT}").select("rep", "node", "sketch"), comps), False
     for depth in range(1, MAX_DEPTH + 1):
