@@ -586,6 +586,66 @@ def performance_score(spark, sf_dir):
     return _measures(spark, sf_dir).select("seq", sitechecks.performance_score(*(c(k) for k in ("fcp", "lcp", "cls", "inp", "load"))).cast("int").alias("score"))
 
 
+_CSP = ["default-src *", "script-src 'unsafe-inline' data:", "script-src 'unsafe-eval' https:", "default-src 'self'", "script-src *.x.com"]
+_COOKIES = [[], ["a=1; Secure"], ["b=2; HttpOnly; SameSite=Lax"], ["=x", "c=3; secure; httponly; samesite=none"]]
+_SET = lambda k: f"(c_custkey // {1 << k}) % 2 = 1"
+
+
+@query(" UNION ALL ".join(
+    [f"SELECT c_custkey AS seq, '{code}' AS code, '{sev}' AS severity FROM customer WHERE NOT ({_SET(k)})" for k, (_, code, sev, _, _) in enumerate(rules.HEADERS)]
+    + [f"SELECT c_custkey, '{code}', '{sev}' FROM customer WHERE {_SET(0)} AND c_custkey % 5 IN ({of})" for code, sev, of in (("csp_unsafe_inline", "P1", "1"), ("csp_unsafe_eval", "P1", "2"), ("csp_wildcard_source", "P2", "0, 2"), ("csp_data_uri_scripts", "P2", "1"))]
+    + [f"SELECT c_custkey, '{code}', '{sev}' FROM customer WHERE c_nationkey % 4 = {of}" for code, sev, of in (("cookie_missing_secure", "P1", 2), ("cookie_missing_httponly", "P2", 1), ("cookie_missing_samesite", "P3", 1))]
+))
+def security_issues(spark, sf_dir):
+    """Headers, policies and cookies; customers stand in for responses (bits of their key)."""
+    key = c("c_custkey")
+    value = F.element_at(F.array(*(F.lit(x) for x in _CSP)), (key % 5 + 1).cast("int"))
+    pairs = [F.when(F.shiftright(key, k) % 2 == 1, F.struct(F.lit(name).alias("k"), (value if not k else F.lit("x")).alias("v"))) for k, (name, *_) in enumerate(rules.HEADERS)]
+    jars = F.array(*(F.array(*(F.lit(x) for x in jar)).cast("array<string>") for jar in _COOKIES))
+    pages = table(spark, sf_dir, "customer").select(
+        F.lit("s").alias("scan_id"), key.alias("seq"), F.concat(F.lit("https://s/"), key.cast("string")).alias("url"),
+        F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("response_headers"), F.element_at(jars, (c("c_nationkey") % 4 + 1).cast("int")).alias("cookies"),
+    )
+    return rules.evaluate(pages, [r for r in rules.SECURITY if r.code.startswith(("missing_", "csp_", "cookie_")) and r.code != "missing_noopener"]).select("seq", "code", "severity")
+
+
+_STATUS = "CASE k % 10 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 0 WHEN 3 THEN 500 ELSE 200 END"
+
+
+@query(f"""WITH l AS (SELECT o_custkey::VARCHAR AS scan_id, o_orderkey AS seq, o_orderkey % 1000 AS k, o_orderkey % 3 <> 0 AS own FROM orders),
+u AS (SELECT scan_id, k, min(seq) AS first, arg_max(own, seq) AS own FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, own ORDER BY first) AS rank, {_STATUS} AS st FROM u),
+s AS (SELECT * FROM r WHERE rank <= CASE WHEN own THEN 100 ELSE 20 END)
+SELECT scan_id, 'https://h/' || k AS url, 'broken_link' AS code, CASE WHEN NOT own AND st IN (403, 0) THEN 'P3' WHEN st = 404 THEN 'P1' ELSE 'P2' END AS severity, CASE WHEN NOT own AND st IN (403, 0) THEN 2 ELSE 4 END AS impact FROM s WHERE st = 0 OR st >= 400
+UNION ALL SELECT scan_id, 'https://h/' || k, 'redirect_chain', 'P2', 3 FROM s WHERE k % 4 = 0""")
+def broken_links(spark, sf_dir):
+    """Broken links and redirect chains; orders stand in for links (customer: site)."""
+    key, k = c("o_orderkey"), c("o_orderkey") % 1000
+    href = F.concat(F.lit("https://h/"), k.cast("string"))
+    held = table(spark, sf_dir, "orders").select(c("o_custkey").cast("string").alias("scan_id"), key.alias("seq"), F.lit(0).alias("pos"), F.lit("u").alias("source_url"), href.alias("href"), F.lit("t").alias("text"), (key % 3 != 0).alias("is_internal"))
+    codes = F.element_at(F.array(*(F.lit(x) for x in (404, 403, 0, 500, 200, 200, 200, 200, 200, 200))), (c("id") % 10 + 1).cast("int"))
+    chain = F.array_repeat(F.lit("x"), F.when(c("id") % 4 == 0, 3).otherwise(1))
+    status = spark.range(1000).select(F.concat(F.lit("https://h/"), c("id").cast("string")).alias("href"), codes.alias("status_code"), F.lit(None).cast("string").alias("error"), chain.alias("chain"))
+    found = links.checked(links.unique_links(held), status)
+    return links.broken_issues(found).unionByName(links.chain_issues(found)).select("scan_id", "url", "code", "severity", "impact")
+
+
+@query("SELECT n_name AS scan_id, CASE WHEN n_nationkey % 3 < 2 THEN '/a' || n_nationkey || ',' ELSE '' END || '/b' AS patterns FROM nation")
+def robots_disallow(spark, sf_dir):
+    """Disallow patterns by agent; nations stand in for sites."""
+    agent = F.element_at(F.array(F.lit("*"), F.lit("Googlebot"), F.lit("other")), (c("n_nationkey") % 3 + 1).cast("int"))
+    own = F.concat(F.lit("\nDisallow: /a"), c("n_nationkey").cast("string"))
+    body = F.concat(F.lit("User-agent: "), agent, own, F.lit("\nDisallow: /"), own, F.lit("\nUser-agent: *\nDisallow: /b:c"))
+    files = table(spark, sf_dir, "nation").select(c("n_name").alias("scan_id"), F.lit("/robots.txt").alias("path"), F.lit(True).alias("ok"), F.lit(200).alias("status"), body.alias("body"))
+    return site.disallow_patterns(files).select("scan_id", F.array_join("disallow", ",").alias("patterns"))
+
+
+@query("SELECT event_id AS seq, CASE WHEN floor(value * 40) > 2000 THEN 'slow_server_response' ELSE 'moderate_server_response' END AS code FROM events WHERE floor(value * 40) > 800")
+def response_times(spark, sf_dir):
+    """Slow answers; events stand in for pages (value: time to the first byte)."""
+    pages = table(spark, sf_dir, "events").select(F.lit("s").alias("scan_id"), c("event_id").alias("seq"), F.lit("u").alias("url"), F.floor(c("value") * 40).alias("ttfb_ms"))
+    return rules.evaluate(pages, rules.MEASURED[:2]).select("seq", "code")
+
+
 # -- whole plans ------------------------------------------------------------------------------
 
 

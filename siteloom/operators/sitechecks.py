@@ -120,6 +120,13 @@ def shift_sources(entries: DataFrame) -> DataFrame:
     return summed.withColumn("rank", rank).where("rank <= 5").drop("rank")
 
 
+def slowest_interactions(entries: DataFrame) -> DataFrame:
+    """(scan_id, url, duration, element): the longest interaction of each page. entries:
+    (scan_id, url, duration, element)."""
+    worst = entries.groupBy("scan_id", "url").agg(F.max("duration").alias("duration"), F.max_by("element", F.struct("duration", "element")).alias("element"))
+    return worst
+
+
 def timeout_issues(completed: DataFrame) -> DataFrame:
     """completed: (scan_id, url, phases ARRAY). Scans that left out a phase."""
     skipped = F.array_except(F.array(*(F.lit(p) for p in PHASES)), c("phases"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, sitechecks, technology
+from siteloom.operators import compare, crosspage, history, issues, links, reports, requests, rules, sitechecks, technology
 from siteloom.plans import audit, frontier
 from siteloom.sources import dom, site
 from siteloom.sources import pages as P
@@ -242,6 +242,17 @@ def test_limiter(spark):
         assert got[key, ident] == allowed
 
 
+def test_requests(spark):
+    data = [("e.com/", None, None, None, None), ("http://10.0.0.1/", 5000, 0, False, "x"), (" ", 1, 1, True, "none"), (None, None, None, None, None)]
+    out = requests.validated(spark.createDataFrame(data, "url string, max_pages int, max_depth int, include_performance boolean, screenshot_mode string")).collect()
+    assert [r["problems"] for r in out] == [[], ["unsafe_url", "max_pages", "max_depth", "screenshot_mode"], ["missing_url"], ["missing_url"]]
+    assert (out[0]["normalized_url"], out[0]["max_pages"], out[0]["max_depth"], out[0]["screenshot_mode"]) == ("https://e.com/", 50, 5, "none")
+    told = requests.alerts(spark.createDataFrame([(None, None), (500, False)], "score_drop int, on_new_p0 boolean")).collect()
+    assert [tuple(r) for r in told] == [(5, True), (100, False)]
+    slow = sitechecks.slowest_interactions(spark.createDataFrame([("s", "u", 5, "a"), ("s", "u", 9, "b")], "scan_id string, url string, duration int, element string"))
+    assert slow.first()["element"] == "b"
+
+
 def test_every_code_has_one_rule():
     listed = [r.code for r in rules.PER_PAGE + rules.FIRST_GOOD + rules.FIRST]
     assert len(listed) > 120 and {c for c in listed if listed.count(c) > 1} == {"missing_lang_attribute", "missing_og_description"}
