@@ -35,8 +35,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROPPED = frozenset("aside button datalist dialog footer form head menu nav noscript object search select svg template title audio video canvas".split())
 RAW_TEXT = frozenset("script style textarea iframe noembed noframes xmp".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social search form".split())
-CONTENT_MARKS = frozenset("article entry post content story has with without no".split())
+MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies cookiebar cookiebanner consent gdpr notice notices alert alerts announcement notification popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social search form".split())
+#: Words by which a wrapper tells what it has; and what a header belongs to that is kept.
+TELLING = frozenset("has with without no".split())
+CONTENT_MARKS = TELLING | frozenset("article entry post content story".split())
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their there they this to was we were which will with you "
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous ou par pas pour qu que qui sa sans se ses son sur un une vous "
@@ -72,12 +74,10 @@ def _dropped(name: str, source: str, in_article: bool) -> bool:
     if own:
         for value in (*given.get("class", "").split(), given.get("id", "")):
             parts = {p.lower() for p in _PART.findall(value)}
-            if parts & MARKS and not parts & CONTENT_MARKS:
+            if parts & MARKS and not parts & TELLING:
                 return True
             if "header" in parts and not in_article and not parts & CONTENT_MARKS:
                 return True
-            if parts & {"comment", "comments"} and not parts & {"has", "with", "without", "no"}:
-                return True
     return False
 
 

@@ -85,6 +85,8 @@ def test_html_extraction():
         '<div class="ad-box">buy</div><p hidden>no</p><footer>by me</footer></article><section id="comments"><article class="comment"><p>nice!</p></article></section></main><div class="sidebar">x</div><footer>f</footer></body>'
     )
     assert htmltext.extract(page) == "Title & more\nOne two x\nUnclosed bold\none\ntwo l"
+    marks = '<article><p class="post-ad">buy</p><p>Kept.</p><div class="article-comments">hm</div><div class="entry-header"><h2>Head</h2></div><div class="alert">!</div><p class="no-ads with-comments">Too.</p></article>'
+    assert htmltext.extract(marks) == "Kept.\nHead\nToo."
     soup = f"<div><a href=a>Home page</a> <a href=b>All the news</a></div><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div><a href=x>More stories for you</a></div><div>© 2020</div>"
     assert htmltext.extract(soup).split("\n") == [LONG.strip(), "Short one.", LONG.strip()]
     assert [htmltext.extract(x) for x in (None, "", "<nav>a</nav>", "a < b & c &lt; d", "<p>Only this")] == ["", "", "", "a < b & c < d", "Only this"]
