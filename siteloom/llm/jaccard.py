@@ -7,7 +7,8 @@ joins the bucket (node) of each; similar sets pick the same tokens. Buckets of o
 there, small ones are compared by brute force, large ones split again, on sampled tokens of the
 sets' MinHash embeddings (SKETCH minimum hashes, which represent a set by as many tokens). What
 is still large after MAX_DEPTH rounds is compared in full, block against block. A pair at the threshold
-misses a run with chance 1/e, so the target recall gives the number of runs.
+misses a run with chance 1/e in small buckets and more often in those that are split; the number
+of runs follows from the target recall for pairs whose buckets are large in every round.
 
 Inside a bucket embeddings are compared: two sets may be similar if they agree in as many places
 as all pairs at the threshold do but one in a million. Such candidates are contracted to
@@ -44,6 +45,8 @@ from siteloom.llm.decontam import words
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Rounds of splitting large buckets, and levels of a round.
 MAX_DEPTH, LEVELS = 3, 2
+#: Times as many places are sampled on the first level of a round, so that few pairs are lost.
+WIDTH = 4
 #: Runs whose buckets are used for the first contraction.
 FIRST = 2
 #: Members of a bucket, and of a block; every TOKENS tokens of a set count as one member more.
@@ -119,9 +122,24 @@ def agreement(threshold: float) -> int:
     return m
 
 
-def runs_for(recall: float) -> int:
+def missed(threshold: float, runs: int) -> float:
+    """The chance that a pair at the threshold is never compared or not found similar by its
+    sketches, if all nodes that it shares are large in every round."""
+    out, least = 0.0, agreement(threshold)
+    for m in range(SKETCH + 1):
+        lost = 0.0  # by a pair of a large node whose sketches agree in m places
+        for width in [*[1] * (LEVELS - 1), WIDTH] * (MAX_DEPTH - 1):
+            lost = (1 - min(1.0, width / (threshold * SKETCH)) * (1 - lost)) ** m
+        out += math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m) * (math.exp(-runs * (1 - lost)) if m >= least else 1)
+    return out
+
+
+def runs_for(recall: float, threshold: float) -> int:
     """Runs that a pair at the threshold misses with a chance of at most 1 - recall."""
-    return max(FIRST + 1, math.ceil(-math.log(1 - recall)))
+    for runs in range(FIRST + 1, 1000):
+        if missed(threshold, runs) <= 1 - recall:
+            return runs
+    raise ValueError(f"sketches of {SKETCH} places don't reach a recall of {recall} at {threshold}")
 
 
 def sets(docs: DataFrame, threshold: float, runs: int, size: int = WORDS) -> DataFrame:
@@ -170,18 +188,18 @@ def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
-    """(rep, sketch, node) LEVELS levels down: a node samples places of the embedding, and sets
-    with the same token there stay together."""
-    some = int((1 << 20) / (threshold * SKETCH))
+    """(rep, node) LEVELS levels down: a node samples places of the embedding, and sets with the
+    same token there stay together."""
 
-    def children(node: Column) -> Column:
+    def children(node: Column, width: int) -> Column:
+        some = int(width * (1 << 20) / (threshold * SKETCH))
         places = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.pmod(F.xxhash64(node, i), F.lit(1 << 20)) < some)
         return F.transform(places, lambda i: F.xxhash64(node, i, F.substr("sketch", 2 * i + 1, F.lit(2))))
 
     nodes = F.array("node")
-    for _ in range(LEVELS):
-        nodes = F.flatten(F.transform(nodes, children))
-    return rows.select("rep", "sketch", F.explode(nodes).alias("node"))
+    for width in [WIDTH, *[1] * (LEVELS - 1)]:
+        nodes = F.flatten(F.transform(nodes, lambda node: children(node, width)))  # noqa: B023
+    return rows.select("rep", F.explode(nodes).alias("node"))
 
 
 def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -215,7 +233,7 @@ def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
         if depth == MAX_DEPTH:
             edges = cut(edges.union(candidates(large, threshold, True)))
             break
-        rows = cut(_open(cut(split(large, threshold)), comps))
+        rows = cut(_open(cut(split(large, threshold)), comps).join(sketches, "rep"))
         edges = cut(edges.union(candidates(rows, threshold, False)))
     comps = together(edges) if more else comps
     return comps.select(F.col("node_").alias("rep"), F.col("component").alias("comp"))
@@ -376,7 +394,7 @@ def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = WORDS) -> DataFrame:
     """doc_id, class_id, n_links and n_shingles for every row of docs (doc_id, text)."""
-    told = cut(sets(docs, threshold, runs_for(recall), size))
+    told = cut(sets(docs, threshold, runs_for(recall, threshold), size))
     keyed = told.where("doc_id IS NOT NULL AND key IS NOT NULL")
     reps = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch")))
     level = reps.select("rep", F.explode("first").alias("node"), F.lit(True).alias("early")).union(reps.select("rep", F.explode("rest"), F.lit(False)))

@@ -126,6 +126,25 @@ def test_join_against_brute_force(spark, monkeypatch, small):
             assert (r["class_id"], r["n_links"]) == want.get(r["doc_id"], (r["doc_id"], 0))
 
 
+def test_pairs_whose_nodes_are_all_large(spark):
+    """Pairs at the threshold that share three nodes, each of all 3000 sets, and nothing else."""
+    draw = np.random.default_rng(3)
+    found = [draw.integers(0, 2**63, 260, dtype=np.uint64) for _ in range(1500)]
+    side = lambda t, k: np.unique(np.concatenate([t[:200], t[200 + 25 * k : 225 + 25 * k]]))
+    held = [(2 * i + k, bytes(jaccard.sketch(side(t, k)))) for i, t in enumerate(found) for k in (0, 1)]
+    sketches = spark.createDataFrame(held, "rep long, sketch binary")
+    level = sketches.select("rep", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 2, 3)))).alias("node"), F.lit(False).alias("early"))
+    comp = {r["rep"]: r["comp"] for r in rows(jaccard.families(level, sketches, 0.8))}
+    together = sum(2 * i in comp and comp[2 * i] == comp.get(2 * i + 1) for i in range(1500))
+    assert together >= 0.995 * 1500, together
+
+
+def test_runs_reach_the_recall_over_all_levels():
+    for threshold, recall in ((0.8, 0.99999), (0.7, 0.999)):
+        runs = jaccard.runs_for(recall, threshold)
+        assert jaccard.missed(threshold, runs) <= 1 - recall < jaccard.missed(threshold, runs - 1)
+
+
 def test_join_of_nothing(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     lone = rows(jaccard.join(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")))
