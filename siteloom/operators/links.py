@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,19 +106,21 @@ def degrees(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     return graph_nodes.join(into, ["scan_id", "node"], "left").join(out, ["scan_id", "node"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
-def click_depths(graph_nodes: DataFrame, graph_edges: DataFrame, home: DataFrame, max_depth: int = 10) -> DataFrame:
+def click_depths(graph_nodes: DataFrame, graph_edges: DataFrame, home: DataFrame) -> DataFrame:
     """(scan_id, node, depth, crawled): shortest paths from the home page for all scans at once,
-    level by level; uncrawled targets get a depth but lead nowhere."""
+    level by level until no page is new; uncrawled targets get a depth but lead nowhere."""
     crawled = graph_nodes.select("scan_id", "node")
     start = home.select("scan_id", c("home").alias("node")).join(crawled, ["scan_id", "node"], "left_semi")
     seen = cut(start.select("scan_id", "node", F.lit(0).alias("depth")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         there = frontier.select("scan_id", c("node").alias("src")).join(graph_edges, ["scan_id", "src"]).select("scan_id", c("dst").alias("node")).distinct()
         fresh = cut(there.join(seen, ["scan_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
+        if depth % 10 == 0:  # a long chain's plan stays short
+            seen = cut(seen)
         frontier = fresh.join(crawled, ["scan_id", "node"], "left_semi")
     return seen.join(crawled.withColumn("crawled", F.lit(True)), ["scan_id", "node"], "left").fillna(False, ["crawled"])
 

@@ -256,3 +256,13 @@ def test_requests(spark):
 def test_every_code_has_one_rule():
     listed = [r.code for r in rules.PER_PAGE + rules.FIRST_GOOD + rules.FIRST]
     assert len(listed) > 120 and {c for c in listed if listed.count(c) > 1} == {"missing_lang_attribute", "missing_og_description"}
+
+
+def test_click_depths_of_a_long_chain(spark):
+    node = spark.createDataFrame([("s", str(i), i) for i in range(14)], "scan_id string, node string, seq long")
+    edge = spark.createDataFrame([("s", str(i), str(i + 1)) for i in range(13)] + [("s", "13", "0")], "scan_id string, src string, dst string")
+    home = spark.createDataFrame([("s", "0", "e.com")], "scan_id string, home string, base_host string")
+    depths = links.click_depths(node, edge, home)
+    assert {r["node"]: r["depth"] for r in depths.collect()} == {str(i): i for i in range(14)}
+    deep = [r["url"] for r in links.graph_issues(links.degrees(node, edge), depths, home).where("code = 'deep_page'").collect()]
+    assert sorted(deep, key=int) == [str(i) for i in range(4, 14)]
