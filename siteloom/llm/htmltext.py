@@ -1,11 +1,14 @@
 """Operator 8, main text of a page by two-pass block rules.
 
 The page is cut into blocks at block-level tags. Pass 1 decides blocks by where they stand
-(menus, headers, footers, sidebars, notices, adverts, forms, comments: boilerplate; article or
-main: text) and, on pages without such an element, by link density, length and stop-word
-density. Pass 2 gives ambiguous blocks (short, or middling in stop words) the label of their
+(menus, headers, footers, sidebars, notices, adverts, forms, comments: boilerplate) and all others
+by link density, length and stop-word density. The page's innermost kind of content element
+(article, else main) is a prior: inside it a block is judged one step better, and short ones
+without many links are text. Pass 2 gives ambiguous blocks (short, or middling in stop words) the label of their
 nearest decided neighbours; where these differ, the nearer one's, and for equal distances text
-only if the block is rich in stop words. A page with undecided blocks only keeps them.
+only if the block is rich in stop words. Blocks outside the content element don't follow labels
+inside it, and middling blocks inside only follow labels inside. A page with undecided blocks only
+keeps them, outside a content element only if the page has none.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one newline in page order.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 
 from siteloom.llm.common import table, texts, widen
 
-# Pass 1, blocks outside of any article: densities and lengths in characters.
+# Pass 1: densities and lengths in characters.
 MAX_LINK_DENSITY, SHORT, LONG = 0.33, 70, 200
 STOP_HIGH, STOP_LOW = 0.30, 0.20
 
@@ -173,40 +177,46 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
 
 
 def _label(text: str, linked: int, place: int, best: int) -> int:
-    if place < 0 or place < best:
+    if place < 0:
         return BAD
-    density = linked / len(text)
-    if place:
-        return SHORTISH if density > MAX_LINK_DENSITY and len(text) < SHORT else GOOD
-    if density > MAX_LINK_DENSITY or "©" in text:
+    density, inside = linked / len(text), 0 < place == best
+    if density > MAX_LINK_DENSITY:
+        return SHORTISH if inside and len(text) < SHORT else BAD
+    if "©" in text and not inside:
         return BAD
     if len(text) < SHORT:
-        return SHORTISH
+        return GOOD if inside else SHORTISH
     words = text.lower().split()
     stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if stop >= STOP_HIGH:
-        return GOOD if len(text) >= LONG else NEAR
-    return NEAR if stop >= STOP_LOW or len(text) >= LONG and density == 0 else BAD
+        return GOOD if inside or len(text) >= LONG else NEAR
+    if stop >= STOP_LOW or len(text) >= LONG and density == 0:
+        return GOOD if inside else NEAR
+    return NEAR if inside else BAD
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
     found = blocks(html) if html else []
-    best = max((b[2] for b in found), default=0)
-    labels = [_label(*b, max(best, 0)) for b in found]
+    best = max([0, *(b[2] for b in found)])
+    labels = [_label(*b, best) for b in found]
     decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD)]
-    out, after = [], 0
+    # Labels that middling blocks inside the content element follow, and those of blocks outside.
+    within = [i for i in decided if found[i][2] == best]
+    without = [i for i in decided if found[i][2] < best] if best else decided
+    out = []
     for i, (block, label) in enumerate(zip(found, labels)):
-        while after < len(decided) and decided[after] < i:
-            after += 1
         if label in (SHORTISH, NEAR):
-            left = decided[after - 1] if after else None
-            right = decided[after] if after < len(decided) else None
+            inside = 0 < block[2] == best
+            near = without if not inside else within if label == NEAR else decided
+            after = bisect(near, i)
+            left = near[after - 1] if after else None
+            right = near[after] if after < len(near) else None
             sides = [(abs(i - k), labels[k]) for k in (left, right) if k is not None]
-            if block[2] == 0 and all(x == BAD for _, x in sides) and label == NEAR:
+            if best == 0 and all(x == BAD for _, x in sides) and label == NEAR:
                 label = GOOD if GOOD not in labels else BAD
             elif not sides:
-                label = GOOD
+                label = GOOD if inside or best == 0 else BAD
             elif len(sides) == 1 or sides[0][1] == sides[1][1] or sides[0][0] != sides[1][0]:
                 label = min(sides)[1]
             else:

@@ -92,6 +92,15 @@ def test_html_extraction():
     assert [htmltext.extract(x) for x in (None, "", "<nav>a</nav>", "a < b & c &lt; d", "<p>Only this")] == ["", "", "", "a < b & c < d", "Only this"]
 
 
+def test_html_densities_beside_an_article():
+    teaser = "<article><h3>A card</h3></article>"
+    for name in ("main", "div"):
+        found = htmltext.extract(f"<nav>n</nav><{name}><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></{name}><div>{teaser}</div><div>Share</div><div>© 2020</div>").split("\n")
+        assert found[:3] == [LONG.strip(), "Short one.", LONG.strip()] and "© 2020" not in found
+    links = " ".join(f"<a href={i}>Another story of the day to read</a>" for i in range(9))
+    assert htmltext.extract(f"<article><p>{LONG}</p><p>{links}</p><p>Last.</p></article><div>Share</div>") == LONG.strip() + "\nLast."
+
+
 def test_html_frames(spark):
     table = spark.createDataFrame([(1, "u", "<article><p>Hi é😀</article>", 3), (1, "u", None, 3)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in rows(htmltext.extract_pages(table))) == [("", 0), ("Hi é😀", 5)]
