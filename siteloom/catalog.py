@@ -371,6 +371,13 @@ def shingle_jaccard_pairs(spark, sf_dir):
     return crosspage.similar_pairs(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id").select("a", "b", "similarity")
 
 
+@query()
+def shingle_jaccard_pairs_all(spark, sf_dir):
+    """Similar documents within each source; documents without a source are one."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", crosspage.comparable(c("text")).alias("text"))
+    return crosspage.similar_pairs(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id")
+
+
 # -- links ------------------------------------------------------------------------------------
 
 EDGES = "edges AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey AND a.l_suppkey % 7 = 0)"

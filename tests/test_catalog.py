@@ -42,3 +42,19 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_similar_pairs_of_all_sources(spark, tmp_path):
+    """The query against brute force: near copies in several sources, and across sources."""
+    base = [" ".join(f"word{k}x{i}" for i in range(30)) for k in range(4)]
+    docs = [(n, f"src{n % 3}" if n % 4 else None, base[n // 3 % 4] + f" tail{n % 2}") for n in range(36)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    held = [(n, s or "", shingles(t)) for n, s, t in docs]
+    want = {(s, a, b) for a, s, x in held for b, z, y in held if a < b and s == z and len(x & y) >= 0.7 * len(x | y)}
+    got = {(r["source"], r["a"], r["b"]) for r in entry.queries()["shingle_jaccard_pairs_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len({s for s, _, _ in want}) == 4
