@@ -6,9 +6,13 @@ by link density, length and stop-word density. The page's innermost kind of cont
 (article, else main) is a prior: inside it a block is judged one step better, and short ones
 without many links are text. Pass 2 gives ambiguous blocks (short, or middling in stop words) the label of their
 nearest decided neighbours; where these differ, the nearer one's, and for equal distances text
-only if the block is rich in stop words. Blocks outside the content element don't follow labels
+only if it is middling. Blocks outside the content element don't follow labels
 inside it, and middling blocks inside only follow labels inside. A page with undecided blocks only
-keeps them, outside a content element only if the page has none.
+keeps them, outside a content element only if the page has none. Elements that are dropped
+inside a line of text (an advert's span, a button) don't cut the line.
+
+A class name or id tells of boilerplate as a whole (sidebar, post-ad, ad-box), not by a word in
+it (related-work, has-sidebar); on text-level elements only few words count, and no ids.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one newline in page order.
@@ -35,13 +39,20 @@ STOP_HIGH, STOP_LOW = 0.30, 0.20
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("aside button datalist dialog footer form head menu nav noscript object search select svg template title audio video canvas".split())
+#: Of these, what stands inside a line of text.
+INLINE_DROPPED = frozenset("button datalist object select svg audio video canvas".split())
 RAW_TEXT = frozenset("script style textarea iframe noembed noframes xmp".split())
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd li td th figcaption caption span b i em strong u code small mark a q cite abbr time".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-MARKS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies cookiebar cookiebanner consent gdpr notice notices alert alerts announcement notification popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social search form".split())
+# Words of class names and ids that tell of boilerplate: anywhere, and on containers only.
+STRICT = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies cookiebar cookiebanner consent gdpr newsletter popup".split())
+MARKS = STRICT | frozenset("banner notice notices alert alerts announcement notification modal overlay subscribe subscription signup login sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social search form".split())
+#: What may follow such a word in a name; a name that ends in such a word may begin with anything.
+FOLLOWS = frozenset("area article articles bar block box btn button buttons column container content count field form group head holder icon icons inner input item items label left link links list media module news outer panel placeholder post posts right row section slot stories story strip text thread title top unit wrap wrapper".split())
 #: Words by which a wrapper tells what it has; and what a header belongs to that is kept.
-TELLING = frozenset("has with without no".split())
+TELLING = frozenset("has with without no layout".split())
 CONTENT_MARKS = TELLING | frozenset("article entry post content story".split())
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their there they this to was we were which will with you "
@@ -50,7 +61,9 @@ STOP_WORDS = frozenset(
     "al como con cual cuando del el ella entre era esta este fue ha hay la las lo los más mi muy no o para pero por se sin sobre son su sus también un una y ya".split()
 )
 
-_TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RAW_END = {name: re.compile("</" + name + r"[\s/>]", re.I) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -58,40 +71,102 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 GOOD, BAD, SHORTISH, NEAR = 1, -1, 0, 2
 
 
+def _marked(value: str, marks: frozenset) -> bool:
+    """Whether a class name or id names boilerplate: one of the marks, or something that ends in
+    one (post-ad), or one with what belongs to it (ad-box); not related-work or has-sidebar."""
+    parts = [x.lower() for x in _PART.findall(value)]
+    words = [x for x in parts if not x.isdigit()]
+    if not words or TELLING & set(words):
+        return False
+    return words[-1] in marks or words[0] in marks and all(x in marks or x in FOLLOWS for x in words[1:])
+
+
 def _dropped(name: str, source: str, in_article: bool) -> bool:
     """Whether an element stands for boilerplate, by its name, role, class and id."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "article", "main") or not source.strip():
-        own = False
-    else:
-        own = True
-    given = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(source)} if source.strip() else {}
-    if not given:
+    if name in ("html", "body") or not source.strip():
         return False
+    given: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        given.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(given.get("style", "")):
         return True
-    if own and given.get("role", "").lower() in ROLES:
+    classes = given.get("class", "").split()
+    if name in ("article", "main"):
+        return name == "article" and any("comment" in {x.lower() for x in _PART.findall(value)} for value in classes)
+    if given.get("role", "").lower() in ROLES:
         return True
-    if name == "article" and "comment" in {p.lower() for p in _PART.findall(given.get("class", ""))}:
-        return True
-    if own:
-        for value in (*given.get("class", "").split(), given.get("id", "")):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & MARKS and not parts & TELLING:
-                return True
-            if "header" in parts and not in_article and not parts & CONTENT_MARKS:
-                return True
+    if name in TEXT_LEVEL:  # a heading's id is the target of a link, not a role
+        return any(_marked(value, STRICT) for value in classes)
+    for value in (*classes, given.get("id", "")):
+        if _marked(value, MARKS) or not in_article and _marked(value, _HEADER) and not CONTENT_MARKS & {x.lower() for x in _PART.findall(value)}:
+            return True
     return False
 
 
+_HEADER = frozenset(("header",))
+
+
+class _Open:
+    """The open elements that matter, with what a step needs in constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, dropped, block
+        self.at: dict[str, list[int]] = {}  # places in the stack, by name
+        self.blocks: list[int] = []
+        self.lists: list[int] = []
+        self.dropped = self.hidden = self.articles = self.mains = 0  # hidden: dropped inside a line
+        self.link: int | None = None  # size of the stack when the open link began
+
+    def push(self, name: str, bad: bool, block: bool) -> None:
+        place = len(self.stack)
+        self.at.setdefault(name, []).append(place)
+        if block:
+            self.blocks.append(place)
+        if name in _LISTS:
+            self.lists.append(place)
+        self.stack.append((name, bad, block))
+        self.dropped += bad and block
+        self.hidden += bad and not block
+        self.articles += name == "article"
+        self.mains += name == "main"
+
+    def pop_to(self, place: int) -> None:
+        """Closes the element at the place and all inside it."""
+        while len(self.stack) > place:
+            name, bad, block = self.stack.pop()
+            self.at[name].pop()
+            if block:
+                self.blocks.pop()
+            if name in _LISTS:
+                self.lists.pop()
+            self.dropped -= bad and block
+            self.hidden -= bad and not block
+            self.articles -= name == "article"
+            self.mains -= name == "main"
+        if self.link is not None and self.link > place:
+            self.link = None
+
+    def last(self, name: str) -> int:
+        places = self.at.get(name)
+        return places[-1] if places else -1
+
+    def close_paragraph(self) -> None:
+        if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+
+
+_LISTS = frozenset(("ul", "ol", "menu"))
+
+
 def blocks(html: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, place) of each block with text, in page order; place: -1
-    boilerplate, 2 inside an article, 1 inside main, 0 elsewhere."""
+    boilerplate, 2 inside an article, 1 inside main, 0 elsewhere. Takes time in proportion to
+    the page, however broken it is."""
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool]] = []
-    dropped = articles = mains = links = 0
     parts: list[tuple[str, bool]] = []
+    opened = _Open()
 
     def flush() -> None:
         if not parts:
@@ -99,79 +174,80 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
         text = " ".join("".join(entities.unescape(p) for p, _ in parts).split())
         if text:
             linked = sum(len(entities.unescape(p)) for p, in_link in parts if in_link)
-            out.append((text, linked, -1 if dropped else 2 if articles else 1 if mains else 0))
+            out.append((text, linked, -1 if opened.dropped else 2 if opened.articles else 1 if opened.mains else 0))
         parts.clear()
 
-    def pop() -> None:
-        nonlocal dropped, articles, mains
-        name, bad = stack.pop()
-        dropped -= bad
-        articles -= name == "article"
-        mains -= name == "main"
-
-    at, n = 0, len(html)
+    at, start, n, pattern = 0, 0, len(html), _TAG
     while at < n:
-        found = _TOKEN.search(html, at)
-        start = found.start() if found else n
-        if start > at:
-            parts.append((html[at:start], links > 0))
-        if not found:
+        found = html.find("<", at)
+        if found < 0:
             break
-        at = found.end()
-        close, name, source = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not name:
+        kind, tag = html[found + 1 : found + 2], None
+        if html.startswith("<!--", found):
+            ends = [(x, k) for x, k in ((html.find("-->", found + 4), 3), (html.find("--!>", found + 4), 4)) if x >= 0]
+            end = min(ends)[0] + min(ends)[1] if ends else n
+        elif kind.isalpha() and kind.isascii() or kind == "/" and html[found + 2 : found + 3].isalpha() and html[found + 2].isascii():
+            tag = pattern.match(html, found)
+            if not tag and pattern is _TAG:  # a quote is left open up to the end: from here quotes don't count
+                pattern = _LOOSE
+                tag = pattern.match(html, found)
+            if not tag:  # no tag ends any more
+                end = n
+            else:
+                end = tag.end()
+        elif kind and kind in "!?/":
+            end = html.find(">", found + 2) + 1 or n
+        else:  # a plain "<"
+            at = found + 1
+            continue
+        if found > start and not opened.hidden:
+            parts.append((html[start:found], opened.link is not None))
+        at = start = end
+        if not tag:
             continue
-        name = name.lower()
+        close, name, source = tag[1], tag[2].lower(), tag[3]
+        block = name in BLOCK or name in DROPPED and name not in INLINE_DROPPED
         if close:
             if name == "a":
-                links = 0
-            elif name == "p" or name == "br":
+                opened.link = None
+            if name == "p":
                 flush()
-                if stack and stack[-1][0] == "p":
-                    pop()
-            elif (name in BLOCK or name in DROPPED) and any(x[0] == name for x in stack):
-                flush()
-                while stack[-1][0] != name:
-                    pop()
-                pop()
-            elif name in BLOCK:
+                opened.close_paragraph()
+            elif name == "br":
+                parts.append((" ", False))
+            elif block:
                 flush()
+                if opened.last(name) >= 0:
+                    opened.pop_to(opened.last(name))
+            elif opened.last(name) >= 0 and (name in INLINE_DROPPED or opened.last(name) > (opened.blocks[-1] if opened.blocks else -1)):
+                opened.pop_to(opened.last(name))
             continue
         if name in RAW_TEXT:
-            end = re.compile("</" + name + r"[\s/>]", re.I).search(html, at)
+            end_tag = _RAW_END[name].search(html, at)
             parts.append((" ", False))
-            at = n if not end else html.find(">", end.start()) + 1 or n
-            continue
-        if name == "a":
-            links = 1
+            at = start = n if not end_tag else html.find(">", end_tag.start()) + 1 or n
             continue
         if name == "br":
             parts.append((" ", False))
             continue
-        bad = _dropped(name, source, articles > 0)
+        bad = _dropped(name, source, opened.articles > 0)
         if name in VOID:
             if name in BLOCK:
                 flush()
             continue
-        if name in BLOCK or name in DROPPED or bad:
+        if block:
             flush()
-            if name in BLOCK and stack and stack[-1][0] == "p":
-                pop()
-            if name == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "menu"):
-                        break
-                    if stack[k][0] == "li":
-                        while len(stack) > k:
-                            pop()
-                        break
-            stack.append((name, bad))
-            dropped += bad
-            articles += name == "article"
-            mains += name == "main"
-            links = 0
-        elif bad is False and name in ("span", "b", "i", "em", "strong", "u"):
-            continue
+            if name in BLOCK:
+                opened.close_paragraph()
+            if name == "li" and opened.last("li") > (opened.lists[-1] if opened.lists else -1):
+                opened.pop_to(opened.last("li"))
+            opened.push(name, bad, True)
+        elif bad or opened.last(name) >= 0:  # dropped inline elements, and what is needed to find their end
+            opened.push(name, bad, False)
+        if name == "a":
+            opened.link = len(opened.stack)
+    if start < n and not opened.hidden:
+        parts.append((html[start:], opened.link is not None))
     flush()
     return out
 
@@ -200,7 +276,9 @@ def extract(html: str | None) -> str:
     found = blocks(html) if html else []
     best = max([0, *(b[2] for b in found)])
     labels = [_label(*b, best) for b in found]
-    decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD)]
+    # Where a page has no sure text and no content element, menus and the like decide about nothing.
+    alone = best == 0 and GOOD not in labels
+    decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD) and not (alone and found[i][2] < 0)]
     # Labels that middling blocks inside the content element follow, and those of blocks outside.
     within = [i for i in decided if found[i][2] == best]
     without = [i for i in decided if found[i][2] < best] if best else decided

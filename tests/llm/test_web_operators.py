@@ -1,9 +1,13 @@
 """URL filters, WARC archives, HTML extraction."""
 
 import hashlib
+import random
+import time
 import uuid
 
-from siteloom.llm import common, htmltext, urlfilter, warc
+import pytest
+
+from siteloom.llm import common, components, htmltext, urlfilter, warc
 from siteloom.llm.components import connected_components
 
 
@@ -11,7 +15,9 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, None), (140, 139), (1, 0)]
     out = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(edges, "src long, dst long")))}
     assert {out[i] for i in range(41)} == {0} and {out[i] for i in range(100, 141)} == {100} and len(out) == 82
@@ -101,6 +107,66 @@ def test_html_densities_beside_an_article():
     assert htmltext.extract(f"<article><p>{LONG}</p><p>{links}</p><p>Last.</p></article><div>Share</div>") == LONG.strip() + "\nLast."
 
 
+def test_html_marks_and_inline_elements():
+    assert htmltext.extract('<article><p>One. <span class="ad">x <span>y</span> z</span> two <button>b</button>three.</p><p>Second.</p></article>') == "One. two three.\nSecond."
+    assert htmltext.extract("<p>Hi <span hidden>x</span> more.</p><p>Second para.</p>") == "Hi more.\nSecond para."
+    assert htmltext.extract("<article><p>a <em hidden>b <em>c</em> d</em> e</p>f</article>") == "a e\nf"
+    kept = '<article><h2 id="search">Search</h2><h2 id="related-work">Related</h2><p id="form-factor">Form</p><div class="social-contract">Contract</div><p class="lead social">Lead</p></article>'
+    assert htmltext.extract(kept) == "Search\nRelated\nForm\nContract\nLead"
+    gone = "".join(f'<div class="{k}">gone</div>' for k in ("ad", "adBox", "share-buttons", "related-posts", "left-sidebar", "comment-list", "cookie_banner", "site-header", "newsletter-signup-form"))
+    assert htmltext.extract(f"<main><p>{LONG}</p>{gone}<p>End.</p></main>") == LONG.strip() + "\nEnd."
+
+
+def test_html_is_read_in_linear_time():
+    for page in ("<a " * 330_000, "<div>" * 100_000 + "</p></x>" * 60_000, "<a '>'" * 160_000 + '"', "<ul>" + "<div>" * 50_000 + "<li></li>" * 70_000, "<b hidden><div>" + "<span class=ad>" * 40_000 + "</b>" * 90_000, "<" * 1_000_000):
+        began = time.process_time()
+        htmltext.extract(page)
+        assert time.process_time() - began < 8, page[:20]  # a second or so on an idle machine
+
+
+def brute_labels(found):
+    """The second pass, by looking at every decided block for each open one."""
+    best = max([0, *(b[2] for b in found)])
+    first = [htmltext._label(*b, best) for b in found]
+    sure = (htmltext.GOOD, htmltext.BAD)
+    alone = best == 0 and htmltext.GOOD not in first
+    out = []
+    for i, label in enumerate(first):
+        if label not in sure:
+            inside = best > 0 and found[i][2] == best
+            near = [k for k, x in enumerate(first) if x in sure and not (alone and found[k][2] < 0)]
+            if best and not inside:
+                near = [k for k in near if found[k][2] < best]
+            elif inside and label == htmltext.NEAR:
+                near = [k for k in near if found[k][2] == best]
+            before, after = [k for k in near if k < i], [k for k in near if k > i]
+            sides = sorted([(i - k, first[k]) for k in before[-1:]] + [(k - i, first[k]) for k in after[:1]])
+            if best == 0 and label == htmltext.NEAR and all(x == htmltext.BAD for _, x in sides):
+                label = htmltext.BAD if htmltext.GOOD in first else htmltext.GOOD
+            elif not sides:
+                label = htmltext.GOOD if inside or best == 0 else htmltext.BAD
+            elif len(sides) == 2 and sides[0][0] == sides[1][0] and sides[0][1] != sides[1][1]:
+                label = htmltext.GOOD if label == htmltext.NEAR else htmltext.BAD
+            else:
+                label = sides[0][1]
+        out.append(label)
+    return out
+
+
+def test_html_second_pass_against_brute_force():
+    random.seed(11)
+    line = lambda: random.choice(["Short.", "it is the and " * 4 + "plain word " * 2, "plain word " * 9, "plain words here " * 16, LONG, "<a href=x>a link of some length</a>", "© 2020"])
+    seen = 0
+    for _ in range(400):
+        wrap = random.choice(["{}", "<main>{}</main>", "<article>{}</article><div>" + line() + "</div>", "<nav>n</nav><article><p>Card</p></article>{}<footer>f</footer>"])
+        page = wrap.format("".join(f"<p>{line()}</p>" for _ in range(random.randrange(1, 9))))
+        found = htmltext.blocks(page)
+        labels = brute_labels(found)
+        seen += sum(htmltext._label(*b, max(x[2] for x in found)) not in (htmltext.GOOD, htmltext.BAD) for b in found)
+        assert htmltext.extract(page) == "\n".join(b[0] for b, x in zip(found, labels) if x == htmltext.GOOD)
+    assert seen > 300
+
+
 def test_html_frames(spark):
     table = spark.createDataFrame([(1, "u", "<article><p>Hi é😀</article>", 3), (1, "u", None, 3)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in rows(htmltext.extract_pages(table))) == [("", 0), ("Hi é😀", 5)]
