@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom import composed
 from siteloom.functions import labels, text, urls
-from siteloom.functions.wordlists import STOP_WORDS
+from siteloom.functions.wordlists import STATE_WORDS, STOP_WORDS
 from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, scoring, sitechecks, technology
 from siteloom.plans import audit, frontier
+from siteloom.plans.lineage import spread
 from siteloom.sources import pages as P
 from siteloom.sources import sinks, site
 from siteloom.streaming import limiter
@@ -97,7 +99,7 @@ def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered, de-duplicated issues of the rules that patterns decide."""
+    """De-duplicated issues, with their places, of the rules that patterns decide."""
     by_code = {r.code: r for r in rules.SEO + rules.LINK_TEXT + rules.CONTENT}
     anchors = lambda: c("html").rlike("(?i)<a\\s[^>]*href=\"[^\"]*privacy")
     own = {
@@ -107,7 +109,7 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     chosen = [own.get(code) or by_code[code] for code, *_ in _RULES_SQL]
     found = rules.evaluate(_light(spark, sf_dir), chosen).withColumn("phase", F.lit(1)).withColumn("seq", c("seq").cast("long"))
-    return issues.numbered(issues.dedupe(found.select(*issues.COLUMNS)))
+    return issues.placed(issues.dedupe(found.select(*issues.COLUMNS)))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +203,8 @@ def _tech_sql() -> str:
     parts = []
     for name, _, _, markup, generator, scripts in technology.TECHNOLOGIES:
         tests = [f"regexp_matches(html, '{rx.replace(chr(39), chr(39) * 2)}')" for rx in (markup, scripts) if rx]
+        if generator:
+            tests.append(f"regexp_matches(regexp_extract(html, '{technology.GENERATOR.replace(chr(39), chr(39) * 2)}', 1), '{generator}')")
         if tests:
             parts.append(f"SELECT page_id AS seq, '{name}' AS name FROM pages WHERE {' OR '.join(tests)}")
     return " UNION ALL ".join(parts)
@@ -209,7 +213,7 @@ def _tech_sql() -> str:
 @query(_tech_sql())
 def tech_detect(spark, sf_dir):
     found = P.read_pages(spark, sf_dir).select("seq", F.explode(technology.detections(c("html"))).alias("d"))
-    return found.where("d.source <> 'meta'").select("seq", c("d.name").alias("name"))
+    return found.select("seq", c("d.name").alias("name"))
 
 
 @query(f"WITH {PAGES}, k AS (SELECT *, lower(title) AS key FROM p WHERE title IS NOT NULL) SELECT scan_id, key, count(*) AS pages, min(seq) AS seq, arg_min(url, seq) AS url FROM k GROUP BY ALL HAVING count(*) > 1")
@@ -220,9 +224,9 @@ def duplicate_titles(spark, sf_dir):
 # -- issues and scores ------------------------------------------------------------------------
 
 
-@query(f"WITH {ISSUES} SELECT scan_id, n, code, severity, category, impact, effort, url FROM issues")
+@query(f"WITH {ISSUES} SELECT scan_id, seq, pos, code, severity, category, impact, effort, url FROM issues")
 def issue_dedupe(spark, sf_dir):
-    return _issues(spark, sf_dir).select("scan_id", c("n").cast("long").alias("n"), "code", "severity", "category", "impact", "effort", "url")
+    return _issues(spark, sf_dir).select("scan_id", "seq", "pos", "code", "severity", "category", "impact", "effort", "url")
 
 
 @query(f"WITH {SCORES} SELECT scan_id, category, raw, score FROM scores")
@@ -287,11 +291,11 @@ def ai_visibility(spark, sf_dir):
     return reports.ai_visibility(_issues(spark, sf_dir)).withColumn("score", c("score").cast("int"))
 
 
-@query(f"WITH {ISSUES} SELECT scan_id, n, code FROM issues WHERE severity = 'P2' AND category = 'SEO' AND (contains(lower(replace(code, '_', ' ')), 'thin') OR contains(code, 'url'))")
+@query(f"WITH {ISSUES} SELECT scan_id, seq, pos, code FROM issues WHERE severity = 'P2' AND category = 'SEO' AND (contains(lower(replace(code, '_', ' ')), 'structured data') OR contains(code, 'missing'))")
 def issue_search(spark, sf_dir):
     found = _issues(spark, sf_dir)
-    both = reports.search(found, "thin", "SEO", "P2").unionByName(reports.search(found, "url", "SEO", "P2"))
-    return both.select("scan_id", c("n").cast("long").alias("n"), "code").distinct()
+    both = reports.search(found, "structured data", "SEO", "P2").unionByName(reports.search(found, "missing", "SEO", "P2"))
+    return both.select("scan_id", "seq", "pos", "code").distinct()
 
 
 _CSV = lambda x: f"CASE WHEN {x} IS NULL THEN '' WHEN regexp_matches({x}::VARCHAR, '^[=+\\-@\\t\\r]') OR regexp_matches({x}::VARCHAR, '[|;,\"\\n\\r'']') THEN '\"' || replace(CASE WHEN regexp_matches({x}::VARCHAR, '^[=+\\-@\\t\\r]') THEN '''' ELSE '' END || {x}::VARCHAR, '\"', '\"\"') || '\"' ELSE {x}::VARCHAR END"
@@ -302,9 +306,9 @@ def csv_export_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.csv_field(c("text")).alias("field"))
 
 
-@query(f"WITH {ISSUES} SELECT scan_id, n, code || ',' || severity || ',' || category || ',' || upper(substr(replace(code, '_', ' '), 1, 1)) || substr(replace(code, '_', ' '), 2) || ',,,' || impact || ',' || effort AS line FROM issues")
+@query(f"WITH {ISSUES} SELECT scan_id, seq, pos, code || ',' || severity || ',' || category || ',' || upper(substr(replace(code, '_', ' '), 1, 1)) || substr(replace(code, '_', ' '), 2) || ',,,' || impact || ',' || effort AS line FROM issues")
 def csv_export(spark, sf_dir):
-    return sinks.csv_lines(_issues(spark, sf_dir)).withColumn("n", c("n").cast("long"))
+    return sinks.csv_lines(_issues(spark, sf_dir)).select("scan_id", "n.seq", "n.pos", "line")
 
 
 @query()
@@ -340,84 +344,76 @@ _SYL = "CASE WHEN length(w) <= 2 THEN 1 ELSE greatest(1, len(regexp_extract_all(
 k AS (SELECT doc_id, len(ws) AS n, sentences, list_sum(list_transform(list_transform(ws, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda w: {_SYL})) AS syllables FROM d)
 SELECT doc_id, n::INT AS words, round(CASE WHEN n = 0 OR sentences = 0 THEN 100 ELSE greatest(0, least(100, 206.835 - 1.015 * (n / sentences) - 84.6 * (syllables / n))) END, 6) AS ease FROM k""")
 def flesch_readability(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.words(c("text"))).alias("words"), F.round(text.reading_ease(c("text")), 6).alias("ease"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.word_count(c("text")).alias("words"), F.round(text.reading_ease(c("text")), 6).alias("ease"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS + STATE_WORDS)
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')), lambda x: length(x) > 2)) AS word FROM documents),
-t AS (SELECT doc_id, count(*) AS total FROM w GROUP BY doc_id), k AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ({_STOP}) GROUP BY ALL)
-SELECT doc_id, word, n, total, n / total AS density FROM k JOIN t USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) = 1""")
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')), lambda x: length(x) > 2) AS ws FROM documents),
+w AS (SELECT doc_id, len(ws)::INT AS total, unnest(ws) AS word, unnest(range(len(ws))) AS spot FROM l), k AS (SELECT doc_id, word, count(*)::INT AS n, total, min(spot) AS first FROM w WHERE word NOT IN ({_STOP}) GROUP BY ALL)
+SELECT doc_id, word, n, total FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1""")
 def keyword_density(spark, sf_dir):
-    """The most frequent word of each document; the first in the alphabet among equals."""
-    cleaned = F.transform(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda x: F.regexp_replace(x, "[^a-z]", ""))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(cleaned, lambda x: F.length(x) > 2)).alias("word"))
-    counts = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("doc_id").agg(F.min(F.when(~c("word").isin(STOP_WORDS), F.struct((-c("n")).alias("m"), "word"))).alias("x"), F.sum("n").alias("total"))
-    return best.where("x IS NOT NULL").select("doc_id", c("x.word").alias("word"), (-c("x.m")).alias("n"), "total", (-c("x.m") / c("total")).alias("density"))
+    """The most frequent word of each document, the first among equals."""
+    told = P.keywords(spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit("").alias("url"), "text"))
+    return told.where("keyword.word <> ''").select("doc_id", "keyword.*")
 
 
 _WORDS3 = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_WORDS3} AS w FROM documents WHERE source = 'src1'), s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) ELSE w END) AS sh FROM d
-), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7""")
+@query(f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, {_WORDS3} AS w FROM documents), s AS (
+  SELECT doc_id, source, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(list_slice(w, i, i + 2), ' '))) ELSE list_transform(w, lambda x: hash(x)) END) AS sh FROM d
+), e AS (SELECT doc_id, source, len(sh) AS n, unnest(sh) AS t FROM s), p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT source, a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7""")
 def shingle_jaccard_pairs(spark, sf_dir):
-    """Similar documents of one source, as a site's pages."""
-    docs = table(spark, sf_dir, "documents").where("source = 'src1'").select("source", "doc_id", crosspage.comparable(c("text")).alias("text"))
-    return crosspage.similar_pairs(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id").select("a", "b", "similarity")
-
-
-@query()
-def shingle_jaccard_pairs_all(spark, sf_dir):
-    """Similar documents within each source; documents without a source are one."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", crosspage.comparable(c("text")).alias("text"))
+    """Similar documents within each source, as a site's pages; documents without a source are one."""
+    docs = spread(table(spark, sf_dir, "documents")).select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", crosspage.comparable(c("text")).alias("text"))
     return crosspage.similar_pairs(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id")
 
 
 # -- links ------------------------------------------------------------------------------------
 
-EDGES = "edges AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey AND a.l_suppkey % 7 = 0)"
+# A site made of the whole tables: a start page links to the regions, a region to its nations, a
+# nation to its suppliers, a supplier to the parts it sold; customers link to their nation, and
+# nothing links to them. Parts link nowhere. The graph has no circle, so that the recursive SQL
+# ends by itself.
+_LEVELS = [("region", "'home'", "'r' || r_regionkey"), ("nation", "'r' || n_regionkey", "'n' || n_nationkey"), ("supplier", "'n' || s_nationkey", "'s' || s_suppkey"), ("lineitem", "'s' || l_suppkey", "'p' || l_partkey"), ("customer", "'c' || c_custkey", "'n' || c_nationkey")]
+_NODES = [("region", "r_regionkey", "r"), ("nation", "n_nationkey", "n"), ("supplier", "s_suppkey", "s"), ("part", "p_partkey", "p"), ("customer", "c_custkey", "c")]
+EDGES = "edges AS (" + " UNION ".join(f"SELECT {a} AS src, {b} AS dst FROM {t}" for t, a, b in _LEVELS) + "), nodes AS (SELECT 'home' AS node UNION ALL " + " UNION ALL ".join(f"SELECT '{k}' || {key} FROM {t}" for t, key, k in _NODES) + ")"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, home): suppliers as pages; every seventh links to those after it."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    after = item.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_suppkey").alias("dst"))
-    pairs = item.where("l_suppkey % 7 = 0").join(after, ["l_orderkey", "l_linenumber"]).where("l_suppkey <> dst")
-    edge = pairs.select(F.lit("s").alias("scan_id"), c("l_suppkey").alias("src"), "dst").distinct()
-    node = table(spark, sf_dir, "supplier").select(F.lit("s").alias("scan_id"), c("s_suppkey").alias("node"), c("s_suppkey").alias("seq"))
-    return node, edge, node.groupBy("scan_id").agg(F.min("node").alias("home"))
+    """(nodes, edges, home) of that site."""
+    pairs = [table(spark, sf_dir, t).selectExpr("'s' AS scan_id", f"{a} AS src", f"{b} AS dst") for t, a, b in _LEVELS]
+    pages = [spark.range(1).selectExpr("'s' AS scan_id", "'home' AS node")] + [table(spark, sf_dir, t).selectExpr("'s' AS scan_id", f"'{k}' || {key} AS node") for t, key, k in _NODES]
+    node = issues.union(pages).withColumn("seq", F.lit(0))
+    return node, issues.union(pairs).distinct(), spark.range(1).selectExpr("'s' AS scan_id", "'home' AS home")
 
 
-@query(f"WITH {EDGES} SELECT s_suppkey AS node, (SELECT count(*) FROM edges WHERE dst = s_suppkey) AS in_degree, (SELECT count(*) FROM edges WHERE src = s_suppkey) AS out_degree FROM supplier")
+@query(f"WITH {EDGES} SELECT node, (SELECT count(*) FROM edges WHERE dst = node) AS in_degree, (SELECT count(*) FROM edges WHERE src = node) AS out_degree FROM nodes")
 def link_graph_degrees(spark, sf_dir):
     node, edge, _ = _edges(spark, sf_dir)
     return links.degrees(node, edge).select("node", "in_degree", "out_degree")
 
 
-@query(f"WITH {EDGES} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM edges) AND s_suppkey <> (SELECT min(s_suppkey) FROM supplier)")
+@query(f"WITH {EDGES} SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges) AND node <> 'home'")
 def orphan_pages(spark, sf_dir):
     node, edge, home = _edges(spark, sf_dir)
     return links.degrees(node, edge).join(home, "scan_id").where("in_degree = 0 AND node <> home").select("node")
 
 
-@query(f"WITH {EDGES} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM edges)")
+@query(f"WITH {EDGES} SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM edges)")
 def dead_end_pages(spark, sf_dir):
     node, edge, _ = _edges(spark, sf_dir)
     return links.degrees(node, edge).where("out_degree = 0").select("node")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, starts AS (SELECT min(src) AS node FROM edges), walk AS (
-  SELECT node, 0 AS depth FROM starts UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 10
+@query(f"""WITH RECURSIVE {EDGES}, walk AS (
+  SELECT 'home' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node
 ) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
 def click_depth(spark, sf_dir):
-    node, edge, _ = _edges(spark, sf_dir)
-    home = edge.groupBy("scan_id").agg(F.min("src").alias("home"))
-    return links.click_depths(node, edge, home).select("node", "depth")
+    return links.click_depths(*_edges(spark, sf_dir)).select("node", "depth")
 
 
 @query()
@@ -621,19 +617,20 @@ _STATUS = "CASE k % 10 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 0 WHEN 3 THEN
 
 @query(f"""WITH l AS (SELECT o_custkey::VARCHAR AS scan_id, o_orderkey AS seq, o_orderkey % 1000 AS k, o_orderkey % 3 <> 0 AS own FROM orders),
 u AS (SELECT scan_id, k, min(seq) AS first, arg_max(own, seq) AS own FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, own ORDER BY first) AS rank, {_STATUS} AS st FROM u),
-s AS (SELECT * FROM r WHERE rank <= CASE WHEN own THEN 100 ELSE 20 END)
-SELECT scan_id, 'https://h/' || k AS url, 'broken_link' AS code, CASE WHEN NOT own AND st IN (403, 0) THEN 'P3' WHEN st = 404 THEN 'P1' ELSE 'P2' END AS severity, CASE WHEN NOT own AND st IN (403, 0) THEN 2 ELSE 4 END AS impact FROM s WHERE st = 0 OR st >= 400
-UNION ALL SELECT scan_id, 'https://h/' || k, 'redirect_chain', 'P2', 3 FROM s WHERE k % 4 = 0""")
+f AS (SELECT scan_id, k, string_agg(page, ' ' ORDER BY first) AS found_on FROM (SELECT scan_id, k, 'https://h/page/' || seq % 7 AS page, min(seq) AS first FROM l GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT * FROM r JOIN f USING (scan_id, k) WHERE rank <= CASE WHEN own THEN 100 ELSE 20 END)
+SELECT scan_id, 'https://h/' || k AS url, 'broken_link' AS code, CASE WHEN NOT own AND st IN (403, 0) THEN 'P3' WHEN st = 404 THEN 'P1' ELSE 'P2' END AS severity, CASE WHEN NOT own AND st IN (403, 0) THEN 2 ELSE 4 END AS impact, found_on FROM s WHERE st = 0 OR st >= 400
+UNION ALL SELECT scan_id, 'https://h/' || k, 'redirect_chain', 'P2', 3, found_on FROM s WHERE k % 4 = 0""")
 def broken_links(spark, sf_dir):
     """Broken links and redirect chains; orders stand in for links (customer: site)."""
     key, k = c("o_orderkey"), c("o_orderkey") % 1000
     href = F.concat(F.lit("https://h/"), k.cast("string"))
-    held = table(spark, sf_dir, "orders").select(c("o_custkey").cast("string").alias("scan_id"), key.alias("seq"), F.lit(0).alias("pos"), F.lit("u").alias("source_url"), href.alias("href"), F.lit("t").alias("text"), (key % 3 != 0).alias("is_internal"))
+    held = table(spark, sf_dir, "orders").select(c("o_custkey").cast("string").alias("scan_id"), key.alias("seq"), F.lit(0).alias("pos"), F.concat(F.lit("https://h/page/"), (key % 7).cast("string")).alias("source_url"), href.alias("href"), F.lit("t").alias("text"), (key % 3 != 0).alias("is_internal"))
     codes = F.element_at(F.array(*(F.lit(x) for x in (404, 403, 0, 500, 200, 200, 200, 200, 200, 200))), (c("id") % 10 + 1).cast("int"))
     chain = F.array_repeat(F.lit("x"), F.when(c("id") % 4 == 0, 3).otherwise(1))
     status = spark.range(1000).select(F.concat(F.lit("https://h/"), c("id").cast("string")).alias("href"), codes.alias("status_code"), F.lit(None).cast("string").alias("error"), chain.alias("chain"))
-    found = links.checked(links.unique_links(held), status)
-    return links.broken_issues(found).unionByName(links.chain_issues(found)).select("scan_id", "url", "code", "severity", "impact")
+    found = links.with_sources(links.checked(links.unique_links(held), status), held)
+    return links.broken_issues(found).unionByName(links.chain_issues(found)).select("scan_id", "url", "code", "severity", "impact", F.array_join(F.from_json(F.get_json_object("evidence", "$.foundOnPages"), "array<string>"), " ").alias("found_on"))
 
 
 @query("SELECT n_name AS scan_id, CASE WHEN n_nationkey % 3 < 2 THEN '/a' || n_nationkey || ',' ELSE '' END || '/b' AS patterns FROM nation")
@@ -668,6 +665,25 @@ def page_rule_issues(spark, sf_dir):
     return audit.page_issues(audit.with_robots(P.complete(_parsed(spark, sf_dir)), None))
 
 
+@query(composed.ISSUES_SQL)
+def composed_page_issues(spark, sf_dir):
+    """What the page rules find on pages whose faults are known."""
+    return composed.found(spark, sf_dir)
+
+
+@query(composed.TECHNOLOGIES_SQL)
+def composed_technologies(spark, sf_dir):
+    """The technologies that these pages name."""
+    found = composed.composed(spark, sf_dir).select("seq", F.explode(technology.detections(c("html"))).alias("d"))
+    return found.select("seq", c("d.name").alias("name"))
+
+
+@query(composed.FIELDS_SQL)
+def composed_page_fields(spark, sf_dir):
+    """What the parse reads from these pages."""
+    return composed.fields(spark, sf_dir)
+
+
 @query()
 def full_audit(spark, sf_dir):
     """All issues of an audit, de-duplicated."""

@@ -41,15 +41,31 @@ def syllables(word: Column) -> Column:
     return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count)
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def all_syllables(text: Column) -> Column:
+    """The sum of syllables() over the words of a text, by counts over the whole text: vowel
+    groups of words of three letters or more, less their silent e, but one for a word at least."""
+    count = lambda t, rx: F.regexp_count(t, F.lit(rx))
+    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]", "")
+
+    def long(t: Column) -> Column:
+        silent = count(t, "(?<!l)e(?![a-z])")
+        none = count(t, "(?<![a-z])[b-df-hj-np-tv-xz]{3,}(?![a-z])")
+        only_silent = count(t, "(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+|[b-df-hjkmnp-tv-xz])e(?![a-z])")
+        return count(t, "[aeiouy]+") - silent + none + only_silent - count(t, "[a-z]+")
+
+    return word_count(text) + let(F.regexp_replace(letters, "(?<![a-z])[a-z]{1,2}(?![a-z])", ""), long)
+
+
 def reading_ease(text: Column) -> Column:
     """Flesch reading ease from 0 to 100; 100 without words or sentences."""
-    counts = lambda w: F.struct(
-        F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda acc, x: acc + syllables(x)).alias("total"),
-        F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(s) != "")).alias("sentences"),
-    )
+    counts = F.struct(word_count(text).alias("n"), all_syllables(text).alias("total"), F.regexp_count(text, F.lit("[^.!? ][^.!?]*")).alias("sentences"))
     score = lambda k: F.lit(206.835) - F.lit(1.015) * F.try_divide(k["n"], k["sentences"]) - F.lit(84.6) * F.try_divide(k["total"], k["n"])
     ease = lambda k: F.when((k["n"] == 0) | (k["sentences"] == 0), 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score(k))))
-    return let(let(words(text), counts), ease)
+    return let(counts, ease)
 
 
 def shingles(text: Column, size: int = 3) -> Column:

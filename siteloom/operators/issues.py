@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ["scan_id", "phase", "seq", "pos", "code", "severity", "category", "impact", "effort", "url", "evidence"]
@@ -41,9 +41,10 @@ def dedupe(issues: DataFrame) -> DataFrame:
     return first.select("scan_id", "code", "x.*").select(*issues.columns)
 
 
-def numbered(issues: DataFrame) -> DataFrame:
-    """Adds n, the issue's number in its scan."""
-    return issues.withColumn("n", F.row_number().over(Window.partitionBy("scan_id").orderBy("phase", "seq", "pos", "code", F.coalesce("url", F.lit("")))))
+def placed(issues: DataFrame) -> DataFrame:
+    """Adds n, the issue's place in its scan: a struct to order by. Numbers would take a sort of
+    each scan in one task."""
+    return issues.withColumn("n", F.struct("phase", "seq", "pos", "code", F.coalesce("url", F.lit("")).alias("at")))
 
 
 # Codes for which a platform has advice of its own.
@@ -57,11 +58,17 @@ ADVICE_CODES = {
 }
 
 
-def advice(issues: DataFrame, technologies: DataFrame) -> DataFrame:
+def advice(issues: DataFrame, technologies: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Adds advice_platform: the first detected platform with advice for the code. The advice
-    table has a fixed size, so it is broadcast."""
+    table has a fixed size, so it is broadcast. Where texts (name, code, advice: a table of the
+    same kind) are given, the column fix of an issue that has one gets the platform's advice."""
     spark = issues.sparkSession
     table = spark.createDataFrame([(p, c) for p, codes in ADVICE_CODES.items() for c in codes.split()], "name string, code string")
     known = technologies.select("scan_id", "name", F.col("pos").alias("rank")).join(F.broadcast(table), "name")
     best = known.groupBy("scan_id", "code").agg(F.min_by("name", "rank").alias("advice_platform"))
-    return issues.join(best, ["scan_id", "code"], "left")
+    out = issues.join(best, ["scan_id", "code"], "left")
+    if texts is None:
+        return out
+    told = out.join(texts.select(F.col("name").alias("advice_platform"), "code", "advice"), ["advice_platform", "code"], "left")
+    more = F.concat("fix", F.lit("\n\n**"), "advice_platform", F.lit(":** "), "advice")
+    return told.withColumn("fix", F.coalesce(more, "fix")).select(*out.columns)

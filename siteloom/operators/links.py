@@ -37,7 +37,7 @@ def sampled(unique: DataFrame) -> DataFrame:
 
 
 def checked(unique: DataFrame, status: DataFrame) -> DataFrame:
-    """Sampled links with their status (href, status_code, error, chain)."""
+    """Sampled links with their status (href, status_code, error, chain); see with_sources()."""
     return sampled(unique).join(status.select("href", "status_code", "error", "chain"), "href")
 
 
@@ -45,17 +45,25 @@ def is_broken():
     return (c("status_code") == 0) | (c("status_code") >= 400)
 
 
+def with_sources(found: DataFrame, all_links: DataFrame) -> DataFrame:
+    """Adds found_on: the pages that link to a broken or redirected target, by first link."""
+    wanted = found.where(is_broken() | (F.size("chain") >= 3)).select("scan_id", "href")
+    pages = all_links.where(c("source_url") != "").join(wanted, ["scan_id", "href"], "left_semi").groupBy("scan_id", "href", "source_url").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    lists = pages.groupBy("scan_id", "href").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source_url"))), lambda x: x["source_url"]).alias("found_on"))  # a site's pages at most
+    return found.join(lists, ["scan_id", "href"], "left")
+
+
 def broken_issues(found: DataFrame) -> DataFrame:
     bad = found.where(is_broken())
     soft = ~c("is_internal") & c("status_code").isin(403, 0)
     severity = F.when(soft, "P3").when(c("status_code") == 404, "P1").otherwise("P2")
-    return rows(bad, "broken-links", "broken_link", severity, "LINKS", F.when(soft, 2).otherwise(4), 1, c("href"), c("rank"), {"httpStatus": c("status_code"), "error": c("error"), "linkText": c("text")})
+    return rows(bad, "broken-links", "broken_link", severity, "LINKS", F.when(soft, 2).otherwise(4), 1, c("href"), c("rank"), {"httpStatus": c("status_code"), "error": c("error"), "linkText": c("text"), "foundOnPages": c("found_on")})
 
 
 def chain_issues(found: DataFrame) -> DataFrame:
     """Redirects over two hops or more; the chain lists every address."""
     long = found.where(F.size("chain") >= 3)
-    return rows(long, "broken-links", "redirect_chain", "P2", "LINKS", 3, 1, c("href"), c("rank"), {"finalUrl": F.element_at("chain", -1), "hops": F.size("chain") - 1}, pos=1)
+    return rows(long, "broken-links", "redirect_chain", "P2", "LINKS", 3, 1, c("href"), c("rank"), {"finalUrl": F.element_at("chain", -1), "hops": F.size("chain") - 1, "foundOnPages": c("found_on")}, pos=1)
 
 
 def resolve_redirects(redirects: DataFrame, max_hops: int = 5) -> DataFrame:

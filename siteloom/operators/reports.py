@@ -38,7 +38,7 @@ def fix_first(issues: DataFrame) -> DataFrame:
     equals."""
     ratio = _case(c("severity"), FIX_WEIGHT, 5) * F.coalesce("impact", F.lit(3)) / F.coalesce("effort", F.lit(3))
     keys = [k for k in issues.columns if k != "scan_id"]
-    return issues.groupBy("scan_id").agg(F.max_by(F.struct(*keys), F.struct(ratio.alias("ratio"), (-c("n")).alias("n"))).alias("x"), F.max(ratio).alias("ratio")).select("scan_id", "ratio", "x.*")
+    return issues.groupBy("scan_id").agg(F.min_by(F.struct(*keys), F.struct((-ratio).alias("ratio"), "n")).alias("x"), F.max(ratio).alias("ratio")).select("scan_id", "ratio", "x.*")
 
 
 def quick_wins(issues: DataFrame, limit: int = 5) -> DataFrame:
@@ -57,8 +57,8 @@ def worst(issues: DataFrame, limit: int = 5) -> DataFrame:
 def worst_category(issues: DataFrame) -> DataFrame:
     """(scan_id, category, n): most critical issues; the category seen first among equals."""
     bad = issues.where(c("severity").isin("P0", "P1")).groupBy("scan_id", "category").agg(F.count(F.lit(1)).alias("count"), F.min("n").alias("first"))
-    best = F.struct("count", (-c("first")).alias("f"))
-    return bad.groupBy("scan_id").agg(F.max_by("category", best).alias("category"), F.max("count").alias("count"))
+    best = F.struct((-c("count")).alias("count"), "first")
+    return bad.groupBy("scan_id").agg(F.min_by("category", best).alias("category"), F.max("count").alias("count"))
 
 
 def by_page(issues: DataFrame) -> DataFrame:

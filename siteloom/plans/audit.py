@@ -65,7 +65,7 @@ def all_issues(parsed: DataFrame, files: DataFrame | None = None, probe: DataFra
     if files is not None:
         parts += [sitechecks.file_issues(files, scans), crosspage.sitemap_issues(parsed, site.sitemap(files, scans), scans, max_pages)]
     if status is not None:
-        checked = links.checked(links.unique_links(held), status)
+        checked = links.with_sources(links.checked(links.unique_links(held), status), held)
         parts += [links.broken_issues(checked), links.chain_issues(checked), crosspage.target_issues(parsed, status)]
     if probe is not None:
         parts += [sitechecks.probe_issues(probe, now), sitechecks.service_worker_issues(probe, parts[0])]
@@ -79,8 +79,8 @@ def all_issues(parsed: DataFrame, files: DataFrame | None = None, probe: DataFra
 
 
 def audit(parsed: DataFrame, **tables) -> dict[str, DataFrame]:
-    """issues (de-duplicated, numbered, with platform advice), technologies and summary. parsed
+    """issues (de-duplicated, with their places and platform advice), technologies and summary. parsed
     should be stored or cached: several branches read it."""
-    found = issues.numbered(issues.dedupe(all_issues(parsed, **tables)))
+    found = issues.placed(issues.dedupe(all_issues(parsed, **tables)))
     tech = technology.detect(P.complete(parsed))
     return {"issues": issues.advice(found, tech), "technologies": tech, "summary": scoring.summary(found, parsed)}

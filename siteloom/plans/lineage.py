@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and Spark runs on one
+    machine, as in tests, a temporary folder takes its place."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siteloom-"))
     return named or context.getCheckpointDir()
 
@@ -21,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint, which survives lost executors and ends the plan before it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table before work that is heavy for each row: where it has fewer files than there
+    are cores (a file may be a single row group, and so a single task), its rows are dealt out."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores) if len(stored.inputFiles()) < cores else stored

@@ -5,6 +5,7 @@ over the result."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -20,6 +21,9 @@ CLOSES = {
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEAD_ONLY = frozenset("title meta link script style base noscript template".split())
 HIDDEN_TEXT = frozenset(("script", "style"))
+#: Open elements at most, as in browsers: deeper ones become siblings, so no page costs more than
+#: so many steps for each of its elements.
+MAX_OPEN = 512
 
 
 class Node:
@@ -76,6 +80,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document", {}, None, 0)
         self.open = [self.root]
+        self.held: Counter = Counter()  # open elements by name
         self.count = 0
         self.tags: list[tuple[str, int, int]] = []
 
@@ -84,17 +89,15 @@ class _Builder(HTMLParser):
 
     def _ensure(self, tag: str) -> None:
         """html, head and body exist in every page, whether or not its source has them."""
-        names = [n.tag for n in self.open]
-        if "html" not in names and tag != "html":
+        if not self.held["html"] and tag != "html":
             self._push("html", {})
-            names.append("html")
-        if tag in ("html", "head", "body") or "body" in names or "frameset" in names:
+        if tag in ("html", "head", "body") or self.held["body"] or self.held["frameset"]:
             return
-        if "head" in names:
-            if tag in HEAD_ONLY or any(n in ("title", "script", "style", "noscript", "template") for n in names):
+        if self.held["head"]:
+            if tag in HEAD_ONLY or any(self.held[n] for n in ("title", "script", "style", "noscript", "template")):
                 return
             while self._top().tag != "html":
-                self.open.pop()
+                self._pop()
             self._push("body", {})
         elif tag in HEAD_ONLY and not any(isinstance(c, Node) and c.tag in ("head", "body") for c in self._top().children):
             self._push("head", {})
@@ -105,16 +108,24 @@ class _Builder(HTMLParser):
         self.count += 1
         node = Node(tag, attrs, self._top(), self.count)
         self._top().children.append(node)
-        self.open.append(node)
+        if len(self.open) < MAX_OPEN or tag in ("html", "head", "body"):
+            self.open.append(node)
+            self.held[tag] += 1
         return node
 
+    def _pop(self) -> None:
+        self.held[self.open.pop().tag] -= 1
+
+    def _close(self, k: int) -> None:
+        while len(self.open) > k:
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given: dict = {}
         for k, v in attrs:
             given.setdefault(k, "" if v is None else v)
-        names = [n.tag for n in self.open]
-        if tag in ("html", "head", "body") and tag in names:
-            node = self.open[names.index(tag)]
+        if tag in ("html", "head", "body") and self.held[tag]:
+            node = next(n for n in self.open if n.tag == tag)
             for k, v in given.items():
                 node.attrs.setdefault(k, v)
             return
@@ -123,24 +134,26 @@ class _Builder(HTMLParser):
             self._close_up_to({"p"}, {"button", "td", "th", "table", "body"})
         if tag in CLOSES:
             self._close_up_to(*CLOSES[tag])
-        self._push(tag, given)
-        if tag in VOID:
-            self.open.pop()
+        node = self._push(tag, given)
+        if tag in VOID and self._top() is node:
+            self._pop()
 
     def _close_up_to(self, kinds: set[str], stop: set[str]) -> None:
+        if not any(self.held[kind] for kind in kinds):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in kinds:
-                del self.open[k:]
+                self._close(k)
                 return
             if self.open[k].tag in stop or self.open[k].tag in ("html", "#document"):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or not self.held[tag]:
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self._close(k)
                 return
             if self.open[k].tag in ("body", "html"):
                 return
@@ -151,9 +164,15 @@ class _Builder(HTMLParser):
         self._top().children.append(data)
 
 
+_TAG_START = re.compile("<[a-zA-Z/!?]")
+
+
 def parse(html: str) -> Node:
     builder = _Builder()
-    builder.feed(html)
+    # Tags that the page's end cuts off are left out; the tokenizer would look for their end again and again.
+    last = html.rfind(">") + 1
+    unfinished = _TAG_START.search(html, last)
+    builder.feed(html[: unfinished.start()] if unfinished else html)
     builder.close()
     return builder.root
 
@@ -207,15 +226,29 @@ def _serialised(node: Node) -> int:
 
 
 _COMMON = frozenset(STOP_WORDS + STATE_WORDS)
+# Fixed value: endings of a host's name that are left out of its words.
+_ENDINGS = re.compile("(css|js|dev|app|io|hq|ai|ml)$")
 _NOT_LETTER = re.compile("[^a-z]")
 
 
+def _under(roots) -> tuple[set[int], set[int]]:
+    """The ids of the nodes at and below the roots, and of the outermost roots; these come in
+    the order of the page."""
+    out: set[int] = set()
+    outermost = set()
+    for n in roots:
+        if id(n) not in out:
+            outermost.add(id(n))
+            out.update(id(x) for x in n.walk())
+    return out, outermost
+
+
 def brand_words(url: str) -> set[str]:
     """Words of the host and path, which a page may well repeat."""
     own: set[str] = set()
     for part in re.split("[.-]", (host(url) or "").removeprefix("www.")):
         if len(part) > 2:
-            core = re.sub("(css|js|dev|app|io|hq|ai|ml)$", "", part)
+            core = _ENDINGS.sub("", part)
             own |= {part} | ({core} if len(core) >= 3 else set())
     for step in re.split("[/_-]", urlsplit(url).path if host(url) else ""):
         if len(step) > 2:
@@ -309,7 +342,8 @@ def extract(url: str, html: str) -> dict:
     interstitials += ["dialog" for d in tag("dialog") if "open" in d.attrs]
 
     area = [n for n in nodes if n.tag in ("article", "main") or "content" in n.classes or n.get("role") == "main"]
-    in_area = {id(x) for n in area for x in n.walk()} - {id(n) for n in area if not any(a in area for a in n.ancestors())}
+    in_area, outermost = _under(area)
+    in_area -= outermost
     own_host = host(url)
     external = [a.get("href") for a in tag("a") if id(a) in in_area and (a.get("href") or "").startswith("http") and host(a.get("href")) not in (None, own_host)]
     paragraphs = [p for p in tag("p") if id(p) in in_area]
@@ -321,10 +355,10 @@ def extract(url: str, html: str) -> dict:
         intro = len(text(later[0])) if later else 0
 
     chrome = lambda n: n.tag in _CHROME or n.get("role") in _CHROME_ROLES
-    hidden = {id(x) for n in nodes if chrome(n) for x in n.walk()}
+    hidden, _ = _under(n for n in nodes if chrome(n))
     heading_text = "".join(n.text(chrome) for n in tag("title", "h1", "h2", "h3") if id(n) not in hidden)
     similar = lambda n: n.tag in _SIMILAR_DROPPED or n.get("role") in _CHROME_ROLES or bool(_SIMILAR_CLASSES & set(n.classes))
-    gone = {id(x) for n in nodes if similar(n) for x in n.walk()}
+    gone, _ = _under(n for n in nodes if similar(n))
     mains = [n for n in nodes if id(n) not in gone and (n.tag in ("main", "article") or n.get("role") == "main" or {"content", "post", "entry"} & set(n.classes))]
     main_text = "".join(n.text(similar) for n in mains) if mains else body.text(similar) if body and id(body) not in gone else ""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.functions import urls
+from siteloom.plans.lineage import spread
 from siteloom.sources import dom
 
 _LINK = "struct<href: string, text: string, is_internal: boolean>"
@@ -72,9 +73,24 @@ def _maps(value: dict) -> dict:
     return value | {k: list(value[k].items()) for k in ("tag_counts", "flags")}
 
 
+def keywords(docs: DataFrame) -> DataFrame:
+    """Replaces url and text by keyword, a struct of the most frequent word, its count and the
+    number of all words (see dom.keyword)."""
+    kept = [c for c in docs.columns if c not in ("url", "text", "keyword")]
+    kind = T._parse_datatype_string("struct<word: string, n: int, total: int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))
+            found = [dom.keyword(u or "", t or "") for u, t in zip(at("url").to_pylist(), at("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*map(at, kept), pa.array(found, _arrow(kind))], names=[*kept, "keyword"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField("keyword", kind)]))
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table (page_id, url, html) as a crawl: each host is one scan, in page_id order."""
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return raw.select(urls.hostname(F.col("url")).alias("scan_id"), F.col("page_id").alias("seq"), "url", "html")
 
 

@@ -38,7 +38,7 @@ def csv_lines(issues: DataFrame) -> DataFrame:
 def write_csv(issues: DataFrame, path: str) -> None:
     """One folder for each scan with lines that end in CR LF, the header first."""
     lines = csv_lines(issues)
-    head = lines.select("scan_id").distinct().select("scan_id", F.lit(-1).alias("n"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    head = lines.select("scan_id").distinct().select("scan_id", F.lit(None).cast(lines.schema["n"].dataType).alias("n"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
     ordered = lines.unionByName(head).repartition("scan_id").sortWithinPartitions("scan_id", "n")
     ordered.select("scan_id", c("line").alias("value")).write.partitionBy("scan_id").option("lineSep", "\r\n").mode("overwrite").text(path)
 

@@ -56,5 +56,5 @@ def test_similar_pairs_of_all_sources(spark, tmp_path):
 
     held = [(n, s or "", shingles(t)) for n, s, t in docs]
     want = {(s, a, b) for a, s, x in held for b, z, y in held if a < b and s == z and len(x & y) >= 0.7 * len(x | y)}
-    got = {(r["source"], r["a"], r["b"]) for r in entry.queries()["shingle_jaccard_pairs_all"](spark, str(tmp_path)).collect()}
+    got = {(r["source"], r["a"], r["b"]) for r in entry.queries()["shingle_jaccard_pairs"](spark, str(tmp_path)).collect()}
     assert got == want and len({s for s, _, _ in want}) == 4
