@@ -311,7 +311,7 @@ def csv_export(spark, sf_dir):
     return sinks.csv_lines(_issues(spark, sf_dir)).select("scan_id", "n.seq", "n.pos", "line")
 
 
-@query()
+@query(f"""WITH {ISSUES} SELECT scan_id, category, '## ' || category || chr(10) || chr(10) || string_agg('### [' || severity || '] ' || upper(substr(replace(code, '_', ' '), 1, 1)) || substr(replace(code, '_', ' '), 2) || chr(10) || chr(10) || '**Page:** ' || url || chr(10), chr(10) ORDER BY n) AS text FROM issues GROUP BY scan_id, category""")
 def markdown_export(spark, sf_dir):
     return sinks.markdown(_issues(spark, sf_dir))
 
@@ -692,13 +692,20 @@ def full_audit(spark, sf_dir):
     return audit.audit(cut(_parsed(spark, sf_dir)))["issues"]
 
 
-@query()
+_LIMITED = """WITH RECURSIVE r AS (SELECT user_id::VARCHAR AS key, event_id AS request_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+s AS (SELECT key, i, request_id, at_ms, TRUE AS allowed, 2 AS remaining, 86400000::BIGINT AS reset_ms, [at_ms] AS times FROM r WHERE i = 1
+  UNION ALL SELECT key, i, request_id, at_ms, len(kept) < 3, CASE WHEN len(kept) < 3 THEN 2 - len(kept) ELSE 0 END::INT, CASE WHEN len(kept) < 3 THEN 86400000 ELSE kept[1] + 86400000 - at_ms END, CASE WHEN len(kept) < 3 THEN list_append(kept, at_ms) ELSE kept END
+  FROM (SELECT r.*, list_filter(s.times, lambda t: t > r.at_ms - 86400000) AS kept FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1))
+SELECT key, request_id, at_ms, allowed, remaining, reset_ms FROM s"""
+
+
+@query(_LIMITED)
 def rate_limit(spark, sf_dir):
     """Decisions of a limiter of three requests a day for each user."""
     return limiter.limit_batch(limiter.requests(table(spark, sf_dir, "events"), "user_id", "ts", "event_id"), 3, 86_400_000)
 
 
-@query()
+@query(_LIMITED)
 def rate_limit_stream(spark, sf_dir):
     """The same decisions by a streaming query over the stored events."""
     import uuid
