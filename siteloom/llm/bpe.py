@@ -11,7 +11,7 @@ characters that precede something else.
 
 Defined results: a null text counts as empty (no tokens). Bytes that are not UTF-8 are read
 as U+FFFD. Each row is treated for itself, so repeated rows give repeated results; an empty
-table gives no rows.
+table gives no rows. Other columns are kept; one that has the result's name is replaced.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ each conversation (a difference is an error, never a silently wrong row).
 
 The loss mask covers the texts of assistant turns.
 
-Defined results: a null role or text is empty. Rows are ordered by turn, then role, then
-text, so ties and repeated rows are kept and ordered. Rows whose conv_id is null form one
+Defined results: a null role or text is empty. Rows are ordered by turn (those without one
+first), then role, then text, so ties and repeated rows are kept and ordered. Rows whose conv_id is null form one
 conversation. An empty table gives no rows. Other columns are ignored.
 """
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,32 +25,57 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where that is
-    unset, as in tests on one machine, a new temporary folder is set in its place."""
+    unset and Spark runs on one machine, as in tests, a new temporary folder takes its place."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siteloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there. A lost executor
-    then costs no recomputation, and iterative plans stay short."""
+    then costs no recomputation, and iterative plans stay short. row_count() tells how many."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # Shuffle files of finished steps go once the driver has collected what refers to them.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    _COUNTS[out] = seen
     return out
 
 
+_COUNTS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of what cut() returned, counted as they were written: a task that ran twice may have
+    counted twice, so this tells sizes, and whether there are rows at all."""
+    return _COUNTS[df].get["n"]
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver has collected what refers to them;
+    called where much has been shuffled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that is not read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def widen(df: DataFrame, fields: list[tuple[str, T.DataType]], rows: Callable[[pa.RecordBatch], list], drop: tuple[str, ...] = ()) -> DataFrame:
-    """Append Arrow columns made by rows(batch), one array for each field; drop some inputs."""
+    """Append Arrow columns made by rows(batch), one array for each field; drop some inputs.
+    Inputs that have a field's name are replaced."""
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in drop]
+    made = {n.lower() for n, _ in fields}
+    names = [c for c in df.columns if c not in drop and c.lower() not in made]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,9 @@ corrected count decides. score is its share of the two largest.
 
 Defined results: a null text, and one without a letter, is "und" with score 0. A text none of
 whose n-grams is known gets the most frequent language with score 0. Without labelled rows
-every text is "und". Repeated rows get the same result; an empty table gives no rows.
+every text is "und". Repeated rows get the same result; an empty table gives no rows. Whole
+texts count, however long. Other columns are kept; lang_pred and score are replaced if there.
+More than MAX_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations

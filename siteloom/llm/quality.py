@@ -2,7 +2,8 @@
 
 Each line with a word is judged by itself. It fails for its punctuation (no closing mark at
 its end and no end of a sentence in its second half, or many exclamation runs), as navigation (many separators or symbols for its words)
-or as boilerplate (a stock phrase). Failed lines are removed; a document that loses more than
+or as boilerplate (a stock phrase in a line of at most PHRASE_WORDS words; a long line that
+mentions one is prose). Failed lines are removed; a document that loses more than
 half of its words with them is rejected, and so is one that fails the base rules (fewer than
 10 words, or more than a fifth of the words in repeated 5-word windows).
 
@@ -27,11 +28,16 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: A document is rejected if it keeps less than this percentage of its words.
 MIN_KEPT_PERCENT = 50
 
-# Closing marks, ends of sentences, separators and symbols, stock phrases (lower case, ASCII).
+# Closing marks, ends of sentences, separators and symbols, stock phrases (lower case, in four languages).
 CLOSING = ".!?…。！？:;\"'”’»)"
 ENDS = ".!?…。！？"
 SEPARATORS = "#*$%&|<>»›·•"
-PHRASES = ["all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "read more", "share this", "subscribe to", "sign up", "log in to", "lorem ipsum"]
+PHRASE_WORDS = 12
+PHRASES = ["all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "read more", "share this", "subscribe to", "sign up", "log in to", "lorem ipsum",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "lire la suite", "cliquez ici", "en savoir plus", "partager sur",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "mehr lesen", "weiterlesen", "hier klicken", "jetzt anmelden", "mehr erfahren",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "política de cookies", "aviso legal", "términos de uso", "leer más", "haga clic aquí", "suscríbete", "iniciar sesión",
+]
 
 _WS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NOT_POINTS = bytes(range(0x80, 0xC0))
@@ -49,7 +55,7 @@ def line_fails(line: str, n_words: int) -> bool:
         return True
     if len(_SEPARATOR.findall(line)) * 10 > 3 * n_words:
         return True
-    return _PHRASE.search(line.translate(_AZ)) is not None
+    return n_words <= PHRASE_WORDS and _PHRASE.search(line.translate(_AZ)) is not None
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -146,7 +152,7 @@ WITH d AS (
     sum(n) FILTER (n > 0 AND (regexp_matches(t, '[{_Q(re.escape(CLOSING))}]$') OR 2 * length(regexp_extract(t, '^(.*[{re.escape(ENDS)}])', 1)) >= length(t))
       AND (length(t) - length(replace(t, '!!', ''))) / 2 * 10 <= 3 * n
       AND (length(t) - length(regexp_replace(t, '[{_Q(re.escape(SEPARATORS))}]', '', 'g'))) * 10 <= 3 * n
-      AND NOT regexp_matches(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_Q("|".join(PHRASES))}')) AS kept_words
+      AND (n > {PHRASE_WORDS} OR NOT regexp_matches(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_Q("|".join(PHRASES))}'))) AS kept_words
   FROM lines GROUP BY doc_id
 ), win AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS k

@@ -32,6 +32,12 @@ def test_chat_round_trip(spark):
     assert out[1]["formatted"].count("</s>") == len(NASTY)
 
 
+def test_chat_turns_without_a_number_come_first(spark):
+    data = [(1, 2, "user", "c"), (1, None, "user", "a"), (1, 1, "assistant", "b"), (1, None, "assistant", "z")]
+    out = rows(chat.read_back(chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))))
+    assert [t["text"] for t in out[0]["turns"]] == ["z", "a", "b", "c"]
+
+
 def test_chat_empty_and_probe(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(none).count() == 0
@@ -65,6 +71,8 @@ def test_bpe_frames(spark):
     out = rows(bpe.decode(bpe.encode(docs.drop("decoded"), keep_text=True)))
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in out) and len(out) == 5
     assert bpe.encode(docs.limit(0)).count() == 0
+    clash = bpe.decode(bpe.encode(docs.withColumn("token_ids", F.lit("x")), keep_text=True))
+    assert sorted(clash.columns) == ["decoded", "doc_id", "text", "token_ids"] and all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows(clash))
 
 
 # -- decontamination ------------------------------------------------------------------------
@@ -110,6 +118,8 @@ def test_decontamination_long_items_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontam.find(docs, none))[0]["n_hit"] == 0
     assert decontam.find(docs.limit(0), none).count() == 0
+    clash = decontam.find(docs.withColumns({"hit_items": F.lit(1), "hit_spans": F.lit(2)}), none)
+    assert rows(decontam.with_spans(clash))[0]["hit_spans"] == []
 
 
 # -- quality --------------------------------------------------------------------------------
@@ -138,6 +148,9 @@ def test_quality_rules(spark):
     assert not by[2]["kept"] and not by[3]["kept"] and by[2]["n_words"] == 0 and by[2]["clean_text"] == ""
     assert not by[4]["kept"] and not by[4]["base_failed"] and by[4]["n_symbols"] == 10
     assert by[5]["kept"] and by[5]["clean_text"] == good
+    prose = "You may click here or accept cookies, as the long text of this page says in one of its many long lines."
+    lines = [("Lire la suite.", 3), ("Todos los derechos reservados.", 4), ("Hier klicken!", 2), ("Accept cookies.", 2)]
+    assert not quality.line_fails(prose, 21) and all(quality.line_fails(t, n) for t, n in lines)
     assert by[6]["n_dup_lines"] == 2 and by[7]["base_failed"] and by[7]["n_repeat_words"] == 11
     assert by[8]["n_words"] == 13 and by[8]["word_chars"] == 37
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
