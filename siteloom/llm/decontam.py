@@ -5,14 +5,17 @@ and anything beyond ASCII. A window is 13 consecutive words of an item; an item
 is one window. The automaton holds the windows as sequences of word numbers and reads each
 text once; word offsets are then mapped to character spans of the original text.
 
-The automaton is rebuilt in each Python worker from the broadcast words of the items. Items go
-into blocks of at most BLOCK_WORDS words (long items are cut into overlapping segments), so
-what is broadcast has a fixed bound; further blocks are further passes of the same scan, which
-add to the hits found so far. Nothing is shuffled.
+The automaton is rebuilt in each Python worker from the broadcast words of the items. It is one
+automaton, and the text is read once, for benchmarks of up to BLOCK_WORDS words. Larger ones go
+into blocks of about as many words (long items are cut into overlapping segments), so that what
+is broadcast and what a worker holds has a fixed bound: each block is a pass of its own, whose
+hits are written to the shared folder before its broadcast is freed and the next pass adds to
+them. Nothing is shuffled.
 
 Defined results: null and empty texts have no words, no hits, no items and are clean. Null and
 wordless items have no windows. An item with a null id is reported as the empty string; an
-item_id on several rows counts once. Repeated documents give repeated rows.
+item_id on several rows counts once. Repeated documents give repeated rows. Other columns are
+kept; those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 from siteloom.llm.common import cut, small_batches, table, texts, utf8, widen
 
 WINDOW = 13
-#: Item words in one automaton (about 13 nodes a word).
-BLOCK_WORDS = 50_000
+#: Item words in one automaton (about 13 nodes a word, 200 MB in all).
+BLOCK_WORDS = 200_000
 SEGMENT_WORDS = 10_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -106,8 +109,8 @@ _PA_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FIELDS = [("n_words", T.LongType()), ("hit_ranges", _RANGES), ("hit_items", T.ArrayType(T.StringType()))]
 
 
-def _scan(docs: DataFrame, block: tuple, window: int, first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _scan(docs: DataFrame, shared, window: int, first: bool) -> DataFrame:
+    """shared: the broadcast block."""
 
     def rows(batch: pa.RecordBatch) -> list:
         column = lambda name: batch.column(batch.schema.get_field_index(name))
@@ -142,7 +145,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
         rows = mine.select("item_id", "words").distinct().collect()  # about block_words words
-        docs = _scan(docs, tuple(sorted((r[0], bytes(r[1])) for r in rows)), window, b == 0)
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], bytes(r[1])) for r in rows)))
+        docs = _scan(docs, shared, window, b == 0)
+        if b < blocks - 1:
+            docs = cut(docs)
+            shared.unpersist()
     hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return docs.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
