@@ -1,9 +1,10 @@
 """Operator 7, WARC archives with revisit resolution.
 
-Headers (page id, payload digest, payload length) are shuffled by digest to find the original
-of every payload; pages are joined to the originals, and the archives are written with fresh
-headers: one response for a payload, revisit records without payload for its copies. Reading
-them back joins revisits to the responses by digest.
+Headers (page id, payload digest) are shuffled by digest to find the original of every payload
+and the copies of it. The decisions go back to the pages by page id, which no page shares with
+many others, so a payload that a third of all pages have gathers its headers only, never its
+bytes. The archives are written with fresh headers: one response for a payload, revisit records
+without payload for its copies. Reading them back joins revisits to the responses by digest.
 
 Archives are plain WARC/1.1 files, gzip-compressed, written and read by Spark's text source:
 records are separated by CRLF CRLF when written, and split before each version line when read,
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import cut, shared_dir, small_batches, table
+from siteloom.llm.common import cut, remove, shared_dir, small_batches, table
 
 #: Equal payloads of at least so many bytes are stored once.
 MIN_REVISIT = 100
@@ -43,15 +44,13 @@ def headers(pages: DataFrame) -> DataFrame:
 def deduplicate(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to."""
     full = headers(pages.select("page_id", "url", "html")).select("page_id", "url", "payload", "payload_digest", "payload_bytes")
-    originals = (
-        full.where(F.col("payload_bytes") >= MIN_REVISIT)
-        .groupBy("payload_digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("original"))
-        .where("n > 1")
-        .select("payload_digest", "original")
-    )
-    copy = F.col("original").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("original")))
-    joined = full.join(originals.hint("shuffle_hash"), "payload_digest", "left")
+    head = full.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest")
+    # Written first, so that Spark can split the join at a digest that many headers have.
+    originals = cut(head.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("original")).where("n > 1 AND original IS NOT NULL").select("payload_digest", "original"))
+    copy = F.col("page_id").isNull() | (F.col("page_id") > F.col("original"))
+    copies = head.join(originals, "payload_digest").where(copy).distinct().select(F.col("page_id").alias("id_"), F.col("payload_digest").alias("digest_"), "original")
+    joined = full.join(copies.hint("shuffle_hash"), full["page_id"].eqNullSafe(F.col("id_")) & (F.col("payload_digest") == F.col("digest_")), "left")
+    copy = F.col("digest_").isNotNull()
     return joined.select(
         "page_id",
         "url",
@@ -154,9 +153,10 @@ def parse_records(piece: bytes) -> Iterator[dict]:
 _SCHEMA = {"page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, ids: str = "long") -> DataFrame:
     """The records of WARC files below path, checked against their digests; a revisit has
-    neither payload nor payload_bytes."""
+    neither payload nor payload_bytes. ids: the type of page ids; those that it can't hold are
+    null."""
     small_batches(spark)
     names = [n for n in _SCHEMA if payload or n != "payload"]
 
@@ -168,7 +168,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     kinds = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
     schema = ", ".join(f"{n} {kinds[_SCHEMA[n]]}" for n in names)
     lines = spark.read.option("lineSep", "\r\n\r\n" + VERSION).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, schema).withColumn("page_id", F.expr("try_cast(page_id AS long)")).withColumn("refers_to", F.expr("try_cast(refers_to AS long)"))
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, schema).withColumns({c: F.nullif(c, F.lit("null")).try_cast(ids) for c in ("page_id", "refers_to")})
 
 
 def resolve(records: DataFrame, *carried: str) -> DataFrame:
@@ -195,6 +195,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(deduplicate(table(spark, sf_dir, "pages")), path)
     read = cut(read_archives(spark, path, payload=False).drop("url"))
+    remove(spark, path)
     return resolve(read, "payload_bytes").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
