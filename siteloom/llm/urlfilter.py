@@ -7,7 +7,9 @@ component with an explicitly allowed URL blocks none of its unruled members.
 
 Edges come from the pages themselves (link rel=canonical, meta refresh) and from an optional
 redirect table (src_url, dst_url). A URL's node is its host, path and query; scheme and
-fragment don't matter. Relative targets are resolved against the page's host and folder.
+fragment don't matter, and dot segments of the path are resolved. Every canonical link and
+refresh of a page counts, outside comments; relative targets are resolved against the page's
+host and folder (base elements are not read).
 
 Rules are a short configuration list (they become one CASE expression).
 
@@ -28,10 +30,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 #: Patterns that Java and RE2 read alike.
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+COMMENT = r"(?s)<!--.*?-->"
+CANONICAL = r"(?is)<link\b[^>]*\srel\s*=\s*(?:\"[^\"]*\bcanonical\b[^\"]*\"|'[^']*\bcanonical\b[^']*'|canonical\b)[^>]*>"
+REFRESH = r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+HREF = r"(?is)[\s\"']href\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+AMPERSAND = r"(?i)&(amp|#38|#x26);"
 AUTHORITY = r"^.*?://([^/?#]*)"
 PATH = r"^.*?://[^/?#]*([^?#]*)"
 
@@ -55,16 +59,28 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if found is None else (found, action)
 
 
+def without_dots(path: Column) -> Column:
+    """The path without its segments "." and ".."; what ".." would lead above the root is left out."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(path, "/")
+    done = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.contains("/."), F.concat(done, F.when(F.element_at(parts, -1).isin(".", "..") & ~done.endswith("/"), "/").otherwise(""))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """Host, path and query behind "://"; null without "://"."""
-    path = path_of(url)
+    path = without_dots(path_of(url))
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
     return F.when(url.contains("://"), F.concat(F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query))
 
 
 def resolve(href: Column, url: Column) -> Column:
-    """An absolute URL for a link of the page at url; dot segments stay as they are."""
-    href = F.regexp_replace(href, "&amp;", "&")
+    """An absolute URL for a link of the page at url; dot segments are left to node_of()."""
+    href = F.regexp_replace(href, AMPERSAND, "&")
     base = F.concat(F.lit("://"), host_of(url))
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
@@ -76,12 +92,12 @@ def resolve(href: Column, url: Column) -> Column:
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(src, dst) nodes of canonical links, refreshes and redirects."""
-    url, html = F.col("url"), F.col("html")
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
-    )
-    found = pages.where(url.contains("://") & html.isNotNull()).select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("href"))
+    url, html = F.col("url"), F.regexp_replace("html", COMMENT, "")
+    tags = lambda tag, target: F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: F.regexp_extract(t, target, 1))
+    targets = F.concat(tags(CANONICAL, HREF), tags(REFRESH, TARGET))
+    # Few pages have such tags, so most are spared the patterns.
+    held = pages.where(url.contains("://") & F.lower("html").rlike("canonical|refresh"))
+    found = held.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("href"))
     edges = found.select(node_of(url).alias("src"), node_of(resolve(F.col("href"), url)).alias("dst"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src_url")), node_of(F.col("dst_url"))))
@@ -125,20 +141,24 @@ _HOST = "coalesce(translate(regexp_extract({u}, '(?s)" + AUTHORITY + f"', 1), '{
 _PATH = "coalesce(regexp_extract({u}, '(?s)" + PATH + "', 1), '')"
 
 
+_DOTS = "list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({p}, '/'), lambda s: [s])), lambda k, s: CASE WHEN s[1] = '..' THEN k[1:greatest(len(k) - 1, 1)] WHEN s[1] = '.' THEN k ELSE list_concat(k, s) END)"
+
+
 def _node(u: str) -> str:
     host, path = _HOST.format(u=u), _PATH.format(u=u)
-    return f"CASE WHEN contains({u}, '://') THEN '://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || regexp_extract({u}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
+    done = f"array_to_string({_DOTS.format(p=path)}, '/')"
+    path = f"CASE WHEN contains({path}, '/.') THEN {done} || CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') AND NOT ends_with({done}, '/') THEN '/' ELSE '' END ELSE {path} END"
+    return f"CASE WHEN contains({u}, '://') THEN '://' || {host} || CASE WHEN ({path}) = '' THEN '/' ELSE {path} END || regexp_extract({u}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) END"
 
 
 def _tag(tag: str, attribute: str) -> str:
     q = lambda p: p.replace("'", "''")
-    return f"regexp_extract(regexp_extract(html, '{q(tag)}', 0), '{q(attribute)}', 1)"
+    return f"SELECT url, regexp_replace(regexp_extract(unnest(regexp_extract_all(regexp_replace(html, '{COMMENT}', '', 'g'), '{q(tag)}')), '{q(attribute)}', 1), '{AMPERSAND}', '&', 'g') AS href FROM pages WHERE contains(url, '://')"
 
 
 ORACLE = f"""
 WITH RECURSIVE found AS (
-  SELECT url, replace({_tag(CANONICAL, HREF)}, '&amp;', '&') AS href FROM pages WHERE contains(url, '://')
-  UNION ALL SELECT url, replace({_tag(REFRESH, TARGET)}, '&amp;', '&') FROM pages WHERE contains(url, '://')
+  {_tag(CANONICAL, HREF)} UNION ALL {_tag(REFRESH, TARGET)}
 ), absolute AS (
   SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
     WHEN starts_with(href, '//') THEN ':' || href

@@ -5,6 +5,7 @@ import random
 import time
 import uuid
 
+import duckdb
 import pytest
 
 from siteloom.llm import common, components, htmltext, urlfilter, warc
@@ -49,12 +50,31 @@ def test_url_aliases_spread_blocks(spark):
     assert out == {1: {"block"}, 2: {"block"}, 3: {"allow"}, 4: {"allow"}, 5: {"block"}, 6: {"block"}, 7: {"allow"}, 8: {"allow"}}
 
 
+def test_url_alias_edges(spark):
+    pages = [
+        (1, "http://a.org/x/y", '<link rel="alternate canonical" href="../z/./b?q=1&amp;r=2"><link rel=canonical href=//x.net/es/1>'), (2, "http://a.org/z/b?q=1&r=2", None),
+        (3, "http://b.org/", '<!-- <link rel="canonical" href="http://x.net/es/2"> --><meta content="0; url=http://a.org/z/b?q=1&#38;r=2" http-equiv=refresh>'),
+        (4, "http://c.org/", '<link data-href="http://x.net/es/1" rel=canonical><link rel="canonicals" href="http://x.net/es/1">'), (5, "http://d.org/a/../../b/..", '<link rel=canonical href="/">'), (None, None, "<link rel=canonical href=/>"),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r["src"], r["dst"]) for r in rows(urlfilter.alias_edges(table))}
+    assert got == {("://a.org/x/y", "://a.org/z/b?q=1&r=2"), ("://a.org/x/y", "://x.net/es/1"), ("://b.org/", "://a.org/z/b?q=1&r=2")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    key = lambda r: tuple(map(str, r))
+    told = urlfilter.judge(table).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(key, told)) == sorted(map(key, con.execute(urlfilter.ORACLE).fetchall()))
+    assert {r["page_id"] for r in told if r["verdict"] == "block"} == {1, 2, 3}
+
+
 PAYLOADS = ["x" * 99, "y" * 100, "WARC/1.1\r\n" + "a" * 200, "b\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "c" * 100, "end\r\n\r\n" + "d" * 100 + "\r\n\r\n", "é😀" * 60, "", None, "WARC/1.1\r\n" * 20]
 
 
 def test_warc_round_trip(spark):
     data = [(10 * i + k, f"http://h/{i}\r\nX: y" if i == 1 else f"http://h/{i}", p, 1) for i, p in enumerate(PAYLOADS) for k in range(3)]
     data += [(10, "u", PAYLOADS[1], 1), (None, "u", PAYLOADS[1], 1), (None, None, "z" * 150, 1)]
+    data += [(1000 + i, "u", "h" * 300, 1) for i in range(300)]  # one payload of most pages
     pages = spark.createDataFrame(data, "page_id long, url string, html string, payload int").repartition(3)
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(warc.deduplicate(pages), path)
