@@ -16,6 +16,7 @@ Words are runs of 0-9, a-z (A-Z lower-cased) and anything beyond ASCII.
 Defined results: a null or wordless text has the models' base rates and is toxic only if these
 pass the threshold. Label rows with a null id or without a document are left out; a null label
 leaves the row out of that category; several label rows of one id count as positive if one is.
+Of several documents with one id, fitting takes that whose words come first in order.
 Without labels every probability is 0 and nothing is toxic. Repeated documents are judged alike.
 """
 
@@ -133,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "doc_id", *CHAIN)
     kinds = ", ".join(f"{c} int" for c in CHAIN)
-    sampled = cut(texts.mapInArrow(distinct, f"words array<binary>, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}"))
+    every = cut(texts.mapInArrow(distinct, f"words array<binary>, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}"))
+    # Ids may repeat in the documents; one row for each keeps what follows within FIT_ROWS.
+    sampled = cut(every.groupBy("doc_id").agg(F.min(F.struct("words", *CHAIN)).alias("x")).select("doc_id", "x.*"))
     counted = sampled.select(F.explode("words").alias("word")).groupBy("word").count().where(f"count >= {MIN_WORD_ROWS}")
     vocabulary = {bytes(r[0]): i for i, r in enumerate(counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect())}
     shared = spark.sparkContext.broadcast(vocabulary)
