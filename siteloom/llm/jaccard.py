@@ -1,14 +1,21 @@
 """Operator 10, n-gram Jaccard join by chosen paths.
 
 A document's set holds its shingles of five words (lower-cased; runs of 0-9, a-z and anything
-beyond ASCII). Equal sets are one representative with a weight. In each run every set picks
-those of its tokens whose hash lies below 1 / (threshold * size), one or two on average, and
-joins the bucket (node) of each; similar sets pick the same tokens. Buckets of one set end
-there, small ones are compared by brute force, large ones split again, on sampled tokens of the
-sets' MinHash embeddings (SKETCH minimum hashes, which represent a set by as many tokens). What
-is still large after MAX_DEPTH rounds is compared in full, block against block. A pair at the threshold
-misses a run with chance 1/e in small buckets and more often in those that are split; the number
-of runs follows from the target recall for pairs whose buckets are large in every round.
+beyond ASCII). Equal sets are one representative with a weight. Run k sends every set to the
+bucket of its k-th sampled token: tokens are sampled by the order of a hash, so similar sets
+sample the same ones. Buckets of one set end there, small ones are compared by brute force.
+The sets of a large bucket are contracted block by block; if it has few blocks, all are then
+compared with each other, and if one family is left with a few others, these are compared with
+all of it. A bucket that stays mixed (its token is very frequent, as those of a passage that
+many documents share) is split on the next sampled tokens of its
+sets, until their runs reach the target recall: a set stops after n runs of which b ended in
+mixed buckets if so few could hardly be (binomial) were all tokens that it shares with a similar
+set frequent. That holds for any distribution of tokens, as each sampled token of a set is
+shared with a similar one with a chance of the threshold at least. What is bought by a run is
+one row for a set. Sets that are still open after PICKS tokens (most of their tokens are
+frequent) are split further inside their buckets, on sampled tokens of their MinHash embeddings
+(SKETCH minimum hashes); what is large after MAX_DEPTH rounds is compared in full, block
+against block.
 
 Inside a bucket embeddings are compared: two sets may be similar if they agree in as many places
 as all pairs at the threshold do but one in a million. Such candidates are contracted to
@@ -23,8 +30,9 @@ Result: one row for each document with class_id (the least doc_id of its compone
 
 Defined results: texts of one to four words are one shingle; texts without words are copies
 only if equal. A null text, and a row with a null doc_id, is a class of its own without links
-(class_id is its doc_id). Rows that repeat a doc_id are one class. An empty table gives no
-rows; other columns are ignored.
+(class_id is its doc_id). Rows that repeat a doc_id, with one text or several, are one class,
+and each counts as a document of its own for links. An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +46,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import cut, small_batches, table, texts
+from siteloom.llm.common import cut, release, row_count, small_batches, table, texts
 from siteloom.llm.components import connected_components
 from siteloom.llm.decontam import words
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
-#: Rounds of splitting large buckets, and levels of a round.
+#: Tokens that a set samples at most.
+PICKS = 48
+#: Rounds of splitting buckets by embeddings, and levels of a round.
 MAX_DEPTH, LEVELS = 3, 2
 #: Times as many places are sampled on the first level of a round, so that few pairs are lost.
 WIDTH = 4
-#: Runs whose buckets are used for the first contraction.
-FIRST = 2
 #: Members of a bucket, and of a block; every TOKENS tokens of a set count as one member more.
 LIMIT, BLOCK, TOKENS = 256, 1024, 1024
+#: Blocks of a bucket that is compared in full, after it was contracted block by block.
+FULL = 4
 #: Minimum hashes of a sketch, and the share of pairs at the threshold that it may miss.
 SKETCH, SKETCH_MISS = 32, 1e-6
 #: Words whose hashes a worker remembers.
@@ -89,17 +99,13 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def picked(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
-    """The child nodes of a node for a set: one for each token that it picks there."""
-    h = _mix(tokens ^ _mix(np.array([node], np.uint64)))
-    return _mix(h[h <= np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))] + np.uint64(1))
-
-
-def first_nodes(tokens: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
-    """The nodes of a set on the first level of each run."""
-    h = _mix(tokens[None, :] ^ _mix(np.arange(1, runs + 1, dtype=np.uint64))[:, None])
-    chosen = h <= np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
-    return [_mix(h[r, at] + np.uint64(1)) for r, at in enumerate(chosen)]
+def sampled(tokens: np.ndarray, size: int = PICKS) -> np.ndarray:
+    """The tokens of a set with the least hashes, in the order of these."""
+    h = _mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
+    if len(h) > size:
+        some = np.argpartition(h, size)[:size]
+        tokens, h = tokens[some], h[some]
+    return tokens[np.argsort(h)]
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -122,57 +128,77 @@ def agreement(threshold: float) -> int:
     return m
 
 
-def missed(threshold: float, runs: int) -> float:
-    """The chance that a pair at the threshold is never compared or not found similar by its
-    sketches, if all nodes that it shares are large in every round."""
-    out, least = 0.0, agreement(threshold)
-    for m in range(SKETCH + 1):
-        lost = 0.0  # by a pair of a large node whose sketches agree in m places
-        for width in [*[1] * (LEVELS - 1), WIDTH] * (MAX_DEPTH - 1):
-            lost = (1 - min(1.0, width / (threshold * SKETCH)) * (1 - lost)) ** m
-        out += math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m) * (math.exp(-runs * (1 - lost)) if m >= least else 1)
-    return out
-
-
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs that a pair at the threshold misses with a chance of at most 1 - recall."""
-    for runs in range(FIRST + 1, 1000):
-        if missed(threshold, runs) <= 1 - recall:
-            return runs
-    raise ValueError(f"sketches of {SKETCH} places don't reach a recall of {recall} at {threshold}")
-
-
-def sets(docs: DataFrame, threshold: float, runs: int, size: int = WORDS) -> DataFrame:
-    """(doc_id, key of the set, n shingles, nodes of the first runs, of the others, sketch)."""
+def _at_most(b: int, n: int, p: float) -> float:
+    """The chance of b or less out of n."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(b + 1))
+
+
+class Runs:
+    """How many runs a set needs for a recall at a threshold."""
+
+    def __init__(self, threshold: float, recall: float):
+        self.threshold, budget = threshold, 1 - recall - SKETCH_MISS
+        if budget <= 0:
+            raise ValueError(f"sketches of {SKETCH} places don't reach a recall of {recall}")
+        share = budget / 16  # either set of a pair may be the one that stops, at one of a few places
+        #: By runs: the most mixed buckets with which a set stops (-1: it can't).
+        self.stop = [max([-1, *(b for b in range(n + 1) if _at_most(b, n, threshold) <= share)]) for n in range(PICKS + 1)]
+        able = [n for n in range(PICKS + 1) if self.stop[n] >= 0]
+        if not able:
+            raise ValueError(f"{PICKS} tokens don't reach a recall of {recall} at {threshold}")
+        self.first = able[0]
+        #: By mixed buckets among the first runs: runs after which the set should be able to stop.
+        self.then = [next((n for n in range(self.first + 1, PICKS) if self.stop[n] >= math.ceil(n * (b + 0.5) / self.first)), PICKS) for b in range(self.first + 1)]
+        self.paths = next((n for n in range(1, PICKS) if 2 * self._lost(n) <= budget), PICKS)
+
+    def _lost(self, paths: int) -> float:
+        """The chance that a pair at the threshold whose buckets are all split by embeddings is
+        never compared."""
+        out, least, t = 0.0, agreement(self.threshold), self.threshold
+        for m in range(least, SKETCH + 1):
+            lost = 0.0  # by a pair of a large bucket whose sketches agree in m places
+            for width in [*[1] * (LEVELS - 1), WIDTH] * (MAX_DEPTH - 1):
+                lost = (1 - min(1.0, width / (t * SKETCH)) * (1 - lost)) ** m
+            out += math.comb(SKETCH, m) * t**m * (1 - t) ** (SKETCH - m) * (1 - t * (1 - lost)) ** paths
+        return out
+
+    def missed(self) -> float:
+        """The chance that a pair at the threshold is not found, if all tokens that both sets
+        share are frequent (the worst case), but for pairs that embeddings split further."""
+        t, n0 = self.threshold, self.first
+        one = lambda b, n: math.comb(n, b) * t**b * (1 - t) ** (n - b)
+        out = _at_most(self.stop[n0], n0, t)
+        for b in range(self.stop[n0] + 1, n0 + 1):
+            n = self.then[b]
+            stopped = _at_most(self.stop[n] - b, n - n0, t) if self.stop[n] >= b else 0.0
+            out += one(b, n0) * stopped
+        return 2 * (out + _at_most(self.stop[PICKS], PICKS, t)) + SKETCH_MISS
+
+
+def sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """(doc_id, key of the set, n shingles, sampled tokens, sketch)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, first, rest, sketches = [], [], [], [], []
+            keys, counts, picks, sketches = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingles(text, size)
                 counts.append(len(s))
+                picks.append(sampled(s).astype(np.int64))
                 sketches.append(sketch(s) if len(s) else None)
                 if len(s):
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    nodes = first_nodes(s, runs, threshold)
-                    first.append(np.concatenate(nodes[:FIRST]).astype(np.int64))
-                    rest.append(np.concatenate(nodes[FIRST:]).astype(np.int64))
                 else:
                     keys.append(None if text is None else xxhash.xxh3_128_digest(b"no words" + text.encode("utf-8", "replace")))
-                    first.append([])
-                    rest.append([])
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(rest, kind), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "first", "rest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(picks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "picks", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, first array<long>, rest array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, picks array<long>, sketch binary")
 
 
-def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
-    """Edges (src, dst) between components of the rows (rep, node, comp, size, sketch) of a node
-    whose sketches agree, as few as join them (a spanning forest). Large nodes are compared in
-    blocks: pairs: every block also with every other, else each by itself."""
+def _alike(threshold: float):
+    """Links components of members (rep, comp, size, sketch) whose sketches agree."""
     least = agreement(threshold)
 
     def linked(mine: list[tuple], other: list[tuple] | None) -> list[tuple]:
@@ -183,8 +209,15 @@ def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
             same += x[:, k][:, None] == y[:, k][None, :]
         return _forest(mine, other, same >= least)
 
+    return linked
+
+
+def candidates(rows: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """Edges (src, dst) between components of the rows (rep, node, comp, size, sketch) of a node
+    whose sketches agree, as few as join them (a spanning forest). Large nodes are compared in
+    blocks: pairs: every block also with every other, else each by itself."""
     groups = _in_blocks(rows, BLOCK if pairs else LIMIT, pairs).select("node", "b1", "b2", "mine", "rep", "comp", "size", "sketch")
-    return _grouped(groups, linked, ["src", "dst"])
+    return _grouped(groups, _alike(threshold), ["src", "dst"])
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
@@ -202,41 +235,132 @@ def split(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("rep", F.explode(nodes).alias("node"))
 
 
-def _open(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The rows of nodes with members of two components or more, with comp and the node's size."""
-    named = rows.withColumn("comp", F.col("rep")) if comps is None else _named(rows, comps)
-    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return named.join(sizes.where("low < high").select("node", "size"), "node")
-
-
-def families(level: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """(rep, comp): the families of two sets or more. level: (rep, node, early); sketches: (rep,
-    sketch)."""
-    shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(level.join(shared.select("node"), "node"))
-    together = lambda edges: cut(connected_components(edges)).withColumnRenamed("node", "node_")
-    # The first runs, then all: small nodes whole, large ones contracted in blocks.
-    edges = cut(candidates(_open(met.where("early").select("rep", "node").join(sketches, "rep"), None), threshold, False))
-    comps = together(edges)
-    wide = cut(_open(met.select("rep", "node").join(sketches, "rep"), comps))
-    # Components found so far stand for the edges that made them.
-    stars = lambda comps: comps.select(F.col("node_").alias("src"), F.col("component").alias("dst")).where("src <> dst")
-    comps = together(stars(comps).union(cut(candidates(wide, threshold, False))))
-    edges = stars(comps)
-    # What is large and of several families still is split.
-    rows, more = _open(wide.where(f"size > {LIMIT}").select("rep", "node", "sketch"), comps), False
+def _open(rows: DataFrame, comps: DataFrame | None, sketches: DataFrame) -> DataFrame:
+    """The rows (rep, node) of nodes with members of two components or more, with comp, the
+    node's size and the sketch. The sizes are written first, so that Spark can split the join
+    with them at hot nodes."""
+    named = rows.select("rep", "node", F.col("rep").alias("comp")) if comps is None else _named(rows.select("rep", "node"), comps)
+    sizes = cut(named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node", "size"))
+    return named.join(sizes, "node").join(sketches, "rep").select("rep", "node", "comp", "size", "sketch")
+
+
+def _with(comps: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """Components found so far stand for the edges that made them."""
+    edges = cut(edges)
+    n = row_count(edges)
+    if not n:
+        return comps
+    if comps is not None:
+        edges = edges.union(comps.select(F.col("component").alias("src"), F.col("node").alias("dst")).where("src <> dst"))
+        n += row_count(comps)
+    return connected_components(edges, bound=n)
+
+
+def _in_full(large: DataFrame, threshold: float) -> DataFrame:
+    """The edges of nodes of at most FULL blocks, every block against every other: FULL rows for
+    a member, fewer than further runs or a split would take."""
+    return candidates(large.where(f"size <= {FULL * BLOCK}"), threshold, True)
+
+
+def _few_others(large: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Large nodes with at most LIMIT members beyond their main component: the edges of these
+    with all members. And the nodes with more."""
+    counts = large.groupBy("node", "comp").count()
+    tops = counts.groupBy("node").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"))
+    tops = cut(tops.select("node", (F.col("all") - F.col("top.count")).alias("rest"), F.col("top.comp").alias("main"), F.ceil(F.col("top.count") / BLOCK).cast("long").alias("blocks")))
+    met = large.join(tops.where(f"rest <= {LIMIT}"), "node")
+    in_main, zero = F.col("comp") == F.col("main"), F.lit(0).cast("long")
+    met = met.withColumn("mine", F.when(in_main, 1 + F.pmod(F.xxhash64("rep", "node"), "blocks")).otherwise(zero))
+    met = met.withColumns({"b1": zero, "b2": F.explode(F.when(in_main, F.array("mine")).otherwise(F.sequence(zero, "blocks")))})
+    edges = _grouped(met.select("node", "b1", "b2", "mine", "rep", "comp", "size", "sketch"), _alike(threshold), ["src", "dst"])
+    return edges, tops.where(f"rest > {LIMIT}").select("node")
+
+
+def settle(rows: DataFrame, comps: DataFrame | None, sketches: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Compares the sets of the rows (rep, pos, node) in their nodes: the components, and the
+    rows of mixed nodes, whose sets are not all compared (None: there are no such)."""
+    shared = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node"))
+    rows = cut(rows.join(shared, "node").select("rep", "pos", "node"))
+    release(rows.sparkSession)
+    wide = cut(_open(rows, comps, sketches))
+    # Small nodes whole, large ones contracted in blocks.
+    comps = _with(comps, candidates(wide, threshold, False))
+    release(rows.sparkSession)
+    large = cut(_open(wide.where(f"size > {LIMIT}"), comps, sketches).where(f"size > {LIMIT}"))
+    if not row_count(large):
+        return comps, None
+    edges, mixed = _few_others(large.where(f"size > {FULL * BLOCK}"), threshold)
+    comps = _with(comps, edges.union(_in_full(large, threshold)))
+    mixed = cut(rows.join(mixed, "node", "left_semi").select("rep", "pos", "node"))
+    release(rows.sparkSession)
+    return comps, mixed if row_count(mixed) else None
+
+
+def _sampled_rows(reps: DataFrame, low: Column, high: Column) -> DataFrame:
+    """(rep, pos, node) for the sampled tokens from low to high."""
+    told = reps.where(F.size("picks") > low).select("rep", low.alias("low"), F.posexplode(F.slice("picks", low + 1, high - low)).alias("at", "node"))
+    return told.select("rep", (F.col("low") + F.col("at")).alias("pos"), "node")
+
+
+def families(reps: DataFrame, runs: Runs) -> DataFrame:
+    """(rep, comp): the families of two sets or more. reps: (rep, picks, sketch)."""
+    threshold, sketches = runs.threshold, reps.select("rep", "sketch")
+    rows = cut(_sampled_rows(reps, F.lit(0), F.lit(runs.first)))
+    comps, mixed = settle(rows, None, sketches, threshold)
+    taken = None  # (rep, n): runs of the sets that took more than the first ones
+    for last in (False, True):
+        if mixed is None:
+            break
+        still = _unsettled(reps, mixed, taken, runs).where("size(picks) > n").withColumn("next", F.lit(PICKS) if last else F.element_at(F.array(*map(F.lit, runs.then)), F.least("b", F.lit(runs.first)).cast("int") + 1))
+        still = cut(still)
+        if not row_count(still):
+            break
+        known = mixed.select("node").distinct().withColumn("known", F.lit(True))
+        new = cut(_sampled_rows(still, F.col("n"), F.col("next")).join(known, "node", "left"))
+        fresh = new.where("known IS NULL").select("rep", "pos", "node")
+        # Sets that stopped take part in the new buckets of their own tokens.
+        others = rows.join(fresh.select("node"), "node", "left_semi").select("rep", "pos", "node")
+        comps, more = settle(cut(fresh.union(others)), comps, sketches, threshold)
+        mixed = mixed.union(new.where("known").select("rep", "pos", "node"))
+        mixed = cut((mixed if more is None else mixed.union(more)).distinct())
+        rows = rows.union(new.select("rep", "pos", "node"))
+        now = still.select("rep", F.col("next").alias("n"))
+        taken = now if taken is None else now.union(taken.join(now, "rep", "left_anti"))
+    if mixed is not None:
+        still = cut(_unsettled(reps, mixed, taken, runs).select("rep"))
+        if row_count(still):
+            comps = _embedded(mixed.where(F.col("pos") < runs.paths).join(still, "rep", "left_semi"), comps, sketches, threshold)
+    if comps is None:
+        return reps.select("rep", F.col("rep").alias("comp")).limit(0)
+    return comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+
+
+def _unsettled(reps: DataFrame, mixed: DataFrame, taken: DataFrame | None, runs: Runs) -> DataFrame:
+    """(rep, picks, n, b): sets that can't stop after n runs, b of which ended in mixed nodes. A
+    set all of whose tokens are sampled stops if fewer are mixed than a similar set shares."""
+    counts = mixed.groupBy("rep").agg(F.count(F.lit(1)).alias("b"))
+    counts = counts.withColumn("n", F.lit(runs.first)) if taken is None else counts.join(taken, "rep", "left").withColumn("n", F.coalesce("n", F.lit(runs.first)))
+    told = counts.join(reps.select("rep", "picks"), "rep")
+    stop = F.element_at(F.array(*map(F.lit, runs.stop)), F.col("n") + 1)
+    whole = (F.size("picks") <= F.col("n")) & (F.col("b") < F.size("picks") * runs.threshold)
+    return told.where(~(F.col("b") <= stop) & ~whole).select("rep", "picks", "n", "b")
+
+
+def _embedded(rows: DataFrame, comps: DataFrame | None, sketches: DataFrame, threshold: float) -> DataFrame | None:
+    """The components after the rows' nodes are split on their sets' embeddings."""
+    rows = cut(_open(rows, comps, sketches))
+    comps = _with(comps, candidates(rows, threshold, False))
     for depth in range(1, MAX_DEPTH + 1):
-        large = cut(rows.where(f"size > {LIMIT}"))
-        if large.isEmpty():
+        large = cut(_open(rows.where(f"size > {LIMIT}"), comps, sketches).where(f"size > {LIMIT}"))
+        if not row_count(large):
             break
-        more = True
         if depth == MAX_DEPTH:
-            edges = cut(edges.union(candidates(large, threshold, True)))
-            break
-        rows = cut(_open(cut(split(large, threshold)), comps).join(sketches, "rep"))
-        edges = cut(edges.union(candidates(rows, threshold, False)))
-    comps = together(edges) if more else comps
-    return comps.select(F.col("node_").alias("rep"), F.col("component").alias("comp"))
+            return _with(comps, candidates(large, threshold, True))
+        comps = _with(comps, _in_full(large, threshold))
+        rows = cut(_open(cut(split(large.where(f"size > {FULL * BLOCK}"), threshold)), comps, sketches))
+        comps = _with(comps, candidates(rows, threshold, False))
+        release(rows.sparkSession)
+    return comps
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
@@ -388,17 +512,35 @@ def _in_blocks(rows: DataFrame, limit: int, pairs: bool) -> DataFrame:
 
 def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Adds comp, the component of the rep, which is the rep itself while it has no link."""
+    comps = comps.select(F.col("node").alias("node_"), "component")
     met = rows.join(comps, rows["rep"] == comps["node_"], "left")
     return met.select(*rows.columns, F.coalesce("component", "rep").alias("comp"))
 
 
+def _numbered(docs: DataFrame, threshold: float, recall: float, size: int) -> DataFrame:
+    """join() for documents that repeat ids: every row gets a number of its own, and classes that
+    share a doc_id are united."""
+    rows = cut(docs.where("doc_id IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = cut(join(rows.select(F.col("row").alias("doc_id"), "text"), threshold, recall, size).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row"))
+    least = cut(found.groupBy("doc_id").agg(F.min("class_id").alias("src"), F.max("class_id").alias("last")).where("src < last").select("doc_id", "src"))
+    united = connected_components(found.join(least, "doc_id").select("src", F.col("class_id").alias("dst")))
+    named = cut(found.join(united.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    ids = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id")))
+    out = named.drop("class_id").join(ids, "component").select("doc_id", "class_id", "n_links", "n_shingles")
+    alone = sets(docs.where("doc_id IS NULL"), size).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    return out.unionByName(alone)
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = WORDS) -> DataFrame:
     """doc_id, class_id, n_links and n_shingles for every row of docs (doc_id, text)."""
-    told = cut(sets(docs, threshold, runs_for(recall, threshold), size))
+    told = cut(sets(docs, size))
+    if not told.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _numbered(docs, threshold, recall, size)
     keyed = told.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    reps = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch")))
-    level = reps.select("rep", F.explode("first").alias("node"), F.lit(True).alias("early")).union(reps.select("rep", F.explode("rest"), F.lit(False)))
-    family = families(level, reps.select("rep", "sketch"), threshold)
+    reps = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("picks").alias("picks"), F.first("sketch").alias("sketch")))
+    release(docs.sparkSession)
+    family = families(reps.select("rep", "picks", "sketch"), Runs(threshold, recall))
+    release(docs.sparkSession)
 
     members = cut(reps.select("rep", "weight", "n").join(family, "rep").withColumn("node", F.xxhash64("comp")))
     tokens = token_sets(docs, members.select("rep").distinct(), size)
