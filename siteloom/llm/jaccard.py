@@ -59,6 +59,8 @@ MAX_DEPTH, LEVELS = 3, 2
 WIDTH = 4
 #: Members of a bucket, and of a block; every TOKENS tokens of a set count as one member more.
 LIMIT, BLOCK, TOKENS = 256, 1024, 1024
+#: Sets with mixed buckets that are broadcast (16 bytes each); more are joined by a shuffle.
+FEW = 200_000
 #: Blocks of a bucket that is compared in full, after it was contracted block by block.
 FULL = 4
 #: Minimum hashes of a sketch, and the share of pairs at the threshold that it may miss.
@@ -340,7 +342,10 @@ def _unsettled(reps: DataFrame, mixed: DataFrame, taken: DataFrame | None, runs:
     set all of whose tokens are sampled stops if fewer are mixed than a similar set shares."""
     counts = mixed.groupBy("rep").agg(F.count(F.lit(1)).alias("b"))
     counts = counts.withColumn("n", F.lit(runs.first)) if taken is None else counts.join(taken, "rep", "left").withColumn("n", F.coalesce("n", F.lit(runs.first)))
-    told = counts.join(reps.select("rep", "picks"), "rep")
+    counts = cut(counts)
+    if row_count(counts) <= FEW:  # so that the tokens of all other sets stay where they are
+        counts = F.broadcast(counts)
+    told = reps.select("rep", "picks").join(counts, "rep")
     stop = F.element_at(F.array(*map(F.lit, runs.stop)), F.col("n") + 1)
     whole = (F.size("picks") <= F.col("n")) & (F.col("b") < F.size("picks") * runs.threshold)
     return told.where(~(F.col("b") <= stop) & ~whole).select("rep", "picks", "n", "b")
