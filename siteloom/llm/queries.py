@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.llm import bpe, chat, decontam, htmltext, jaccard, langid, quality, toxicity, urlfilter, warc
+from siteloom.llm import bpe, chat, decontam, fim, htmltext, jaccard, langid, negatives, quality, subword, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_text": htmltext.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_fill_in_middle": fim.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_quality_classifier": subword.query,
 }
 ORACLES = {
     "op1_chat_formatting": chat.ORACLE,
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_decontamination": decontam.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op7_warc_revisits": warc.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
