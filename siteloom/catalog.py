@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siteloom import composed
 from siteloom.functions import labels, text, urls
 from siteloom.functions.wordlists import STATE_WORDS, STOP_WORDS
-from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, scoring, sitechecks, technology
+from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, scoring, similar, sitechecks, technology
 from siteloom.plans import audit, frontier
 from siteloom.plans.lineage import spread
 from siteloom.sources import pages as P
@@ -362,14 +362,37 @@ def keyword_density(spark, sf_dir):
 _WORDS3 = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)"
 
 
-@query(f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, {_WORDS3} AS w FROM documents), s AS (
+_SIMILAR = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, {_WORDS3} AS w FROM documents), s AS (
   SELECT doc_id, source, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(list_slice(w, i, i + 2), ' '))) ELSE list_transform(w, lambda x: hash(x)) END) AS sh FROM d
-), e AS (SELECT doc_id, source, len(sh) AS n, unnest(sh) AS t FROM s), p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT source, a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7""")
-def shingle_jaccard_pairs(spark, sf_dir):
+), e AS (SELECT doc_id, source, len(sh) AS n, unnest(sh) AS t FROM s), p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT source, a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7)"""
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> similar.Similar:
     """Similar documents within each source, as a site's pages; documents without a source are one."""
     docs = spread(table(spark, sf_dir, "documents")).select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", crosspage.comparable(c("text")).alias("text"))
-    return crosspage.similar_pairs(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id")
+    return similar.similar(docs.select("source", "doc_id", text.shingles(c("text")).alias("shingles")), 0.7, "source", "doc_id")
+
+
+@query(f"{_SIMILAR} SELECT source, a, b, similarity FROM pairs")
+def shingle_jaccard_pairs(spark, sf_dir):
+    """All pairs, copies among them."""
+    return similar.expanded(_similar(spark, sf_dir))
+
+
+@query(f"""{_SIMILAR}, sides AS (SELECT source, a AS doc_id, b AS other, similarity FROM pairs UNION ALL SELECT source, b, a, similarity FROM pairs),
+k AS (SELECT source, doc_id, least(doc_id, min(other) FILTER (similarity = 1)) AS class, count(*) FILTER (similarity = 1) AS copies, count(*) FILTER (similarity < 1) AS links FROM sides GROUP BY ALL)
+SELECT source, doc_id, coalesce(k.class, doc_id) AS class_id, coalesce(copies, 0) AS copies, coalesce(links, 0) AS links FROM s LEFT JOIN k USING (source, doc_id) WHERE len(sh) > 0""")
+def similar_documents(spark, sf_dir):
+    """One row for each document: its class, its copies and the other documents similar to it."""
+    return similar.linked(_similar(spark, sf_dir)).withColumnRenamed("set", "class_id")
+
+
+@query(f"""{_SIMILAR} SELECT source, a AS doc_id, similarity >= 0.9 AS same, min(b) AS partner, arg_min(similarity, b) AS similarity FROM pairs WHERE a // 10 <> b // 10 GROUP BY 1, 2, 3""")
+def similar_partners(spark, sf_dir):
+    """The first later document of another ten that is a duplicate, and that is merely similar."""
+    base = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.floor(c("doc_id") / 10).alias("base"))
+    return similar.first_partners(_similar(spark, sf_dir), base, 0.9)
 
 
 # -- links ------------------------------------------------------------------------------------

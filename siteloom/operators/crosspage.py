@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import text, urls
-from siteloom.operators import rules
+from siteloom.operators import rules, similar
 from siteloom.operators.issues import rows, union
 from siteloom.plans.lineage import cut
 from siteloom.sources.pages import is_success
@@ -49,45 +49,20 @@ def contents(pages: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, threshold: float, group: str = "scan_id", key: str = "seq") -> DataFrame:
-    """(group, a, b, similarity) for all pairs a < b of a group whose shingle sets (array column
-    shingles) reach the threshold. Equal sets are one set until the end. Exact, by prefix
-    filtering: two such sets share one of the first n - ceil(threshold * n) + 1 of their shingles,
-    in order of rarity, so only these are joined; pairs are then verified on whole sets."""
-    hashed = docs.select(group, key, F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s))).alias("s")).where("size(s) > 0")
-    held = cut(hashed.withColumn("k", F.xxhash64("s")))
-    sets = cut(held.groupBy(group, "k").agg(F.first("s").alias("s")))
-    tokens = sets.select(group, "k", F.explode("s").alias("t"))
-    rare = tokens.groupBy(group, "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(rare, [group, "t"]).groupBy(group, "k").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    # Shingles of one set only come first in the order and join nothing, so they only use up the prefix.
-    sized = ranked.join(sets.select(group, "k", F.size("s").alias("n")), [group, "k"])
-    length = c("n") - F.ceil(c("n") * threshold - 1e-9) + 1 - (c("n") - F.size("r"))
-    prefix = cut(sized.where(length > 0).select(group, "k", "n", F.explode(F.transform(F.slice("r", 1, length.cast("int")), lambda x: x["t"])).alias("t")))
-    a = prefix.select(group, c("k").alias("ka"), c("n").alias("na"), "t")
-    b = prefix.select(group, c("k").alias("kb"), c("n").alias("nb"), "t")
-    pairs = a.join(b, [group, "t"]).where("ka < kb").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select(group, "ka", "kb").distinct()
-    whole = lambda k, s: sets.select(group, c("k").alias(k), c("s").alias(s))
-    met = pairs.join(whole("ka", "sa"), [group, "ka"]).join(whole("kb", "sb"), [group, "kb"])
-    alike = met.withColumn("similarity", text.jaccard(c("sa"), c("sb"))).where(c("similarity") >= threshold).select(group, "ka", "kb", "similarity")
-    # From sets to documents: pairs of alike sets, and of copies.
-    of = lambda k, name: held.select(group, c("k").alias(k), c(key).alias(name))
-    other = alike.join(of("ka", "x"), [group, "ka"]).join(of("kb", "y"), [group, "kb"])
-    other = other.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    copies = of("k", "a").join(of("k", "b"), [group, "k"]).where("a < b").select(group, "a", "b", F.lit(1.0).alias("similarity"))
-    return other.unionByName(copies)
+    """All pairs of similar texts, copies among them; see similar.expanded()."""
+    return similar.expanded(similar.similar(docs, threshold, group, key))
 
 
 def similarity_issues(pages: DataFrame) -> DataFrame:
-    """Pairs of similar pages with different base addresses, reported on the earlier page. Pairs
-    stay within a scan, whose size the crawl bounds."""
+    """For each page the first later page of another base address that is its duplicate, and the
+    first that is merely similar: of an issue's code and page, an audit keeps the first only."""
     docs = cut(contents(pages))
-    left, right = (docs.select("scan_id", c("seq").alias(k), c("url").alias(u), c("base").alias(f"base_{k}")) for k, u in (("a", "url"), ("b", "other")))
-    met = similar_pairs(docs, SIMILAR).join(left, ["scan_id", "a"]).join(right, ["scan_id", "b"]).where("base_a <> base_b")
-    shown = lambda k: docs.select("scan_id", c("seq").alias(k), c("text").alias(f"text_{k}"))
-    met = met.join(shown("a"), ["scan_id", "a"]).join(shown("b"), ["scan_id", "b"])
-    same = c("similarity") >= SAME
+    met = similar.first_partners(similar.similar(docs, SIMILAR), docs.select("scan_id", "seq", "base"), SAME)
+    left, right = docs.select("scan_id", "seq", "url", c("text").alias("text_a")), docs.select("scan_id", c("seq").alias("partner"), c("url").alias("other"), c("text").alias("text_b"))
+    met = met.join(left, ["scan_id", "seq"]).join(right, ["scan_id", "partner"])
+    same = c("same")
     evidence = {"similarUrl": c("other"), "similarity": text.round_half_up(c("similarity") * 100), "sharedContent": text.shared_snippet(c("text_a"), c("text_b"))}
-    return rows(met, "tech-duplicates", F.when(same, "duplicate_content").otherwise("high_content_similarity"), F.when(same, "P2").otherwise("P3"), "SEO", F.when(same, 4).otherwise(2), 2, c("url"), c("a"), evidence, 2)
+    return rows(met, "tech-duplicates", F.when(same, "duplicate_content").otherwise("high_content_similarity"), F.when(same, "P2").otherwise("P3"), "SEO", F.when(same, 4).otherwise(2), 2, c("url"), c("seq"), evidence, 2)
 
 
 # -- hreflang -------------------------------------------------------------------------------
