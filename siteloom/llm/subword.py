@@ -8,8 +8,8 @@ gradient descent in numpy, one text a step, over a fixed number of epochs with a
 A word bigram is hashed by the difference of its words' hashes. So the bigram of a word with itself
 is one feature whatever the word, and immediate repetition can be learned.
 
-Fitting takes the FIT_ROWS labelled documents with the least hash of their id (a documented bound)
-and runs in one task; only BUCKETS numbers and the bias come back, as the softmax is linear: the
+Fitting takes the FIT_ROWS labelled documents with the least hash of their id, fewer if these hold
+more than FIT_FEATURES features (documented bounds), and runs in one task; only BUCKETS numbers and the bias come back, as the softmax is linear: the
 log-odds of a text are the mean of its features' own log-odds. Scoring reads every whole text once,
 in slices of at most SLICE characters, cut at white space where the slice has any; slices are summed.
 
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from siteloom.llm.common import small_batches, table, texts, widen
 
-#: Bounds of the fitted sample and of the model.
-FIT_ROWS, BUCKETS, SIZE = 4000, 1 << 16, 16
+#: Bounds of the fitted sample (texts, and distinct features of all of them) and of the model.
+FIT_ROWS, FIT_FEATURES, BUCKETS, SIZE = 4000, 40_000_000, 1 << 16, 16
 SIZES, SLICE = (3, 4, 5), 1 << 18
 RATE, EPOCHS, SEED, THRESHOLD = 0.5, 5, 1, 0.3
 
@@ -141,21 +141,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = [weights(t) for t in texts(batch.column(2))]
-            columns = [pa.array([a.astype(np.int32).tobytes() for a, _ in told], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in told], pa.binary())]
+            columns = [pa.array([a.astype(np.uint16).tobytes() for a, _ in told], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in told], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["h", "y", "at", "part"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, y = [], []
+        rows, y, room = [], [], FIT_FEATURES
         for batch in batches:
-            for h, label, at, part in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append((h, label, at, part))
-        rows.sort()  # the same order whatever the partitions were
-        y = np.array([r[1] for r in rows], np.int64)
-        odds, bias = train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], y)
+            for label, at, part in zip(*(batch.column(c).to_pylist() for c in ("y", "at", "part"))):
+                room -= len(at) // 2
+                if room >= 0:
+                    rows.append((np.frombuffer(at, np.uint16), np.frombuffer(part, np.float32)))
+                    y.append(label)
+        odds, bias = train(rows, np.array(y, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([bias])], names=["odds", "bias"])
 
     found = one.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(counted, "h long, y int, at binary, part binary")
-    made = found.repartition(1).mapInArrow(learned, "odds binary, bias double").first()
+    made = found.repartition(1).sortWithinPartitions("h", "y", "at", "part").mapInArrow(learned, "odds binary, bias double").first()
     return (np.frombuffer(bytes(made["odds"]), np.float64), made["bias"]) if made else (np.zeros(BUCKETS), 0.0)
 
 
