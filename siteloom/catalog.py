@@ -381,7 +381,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
 
 
 @query(f"""{_SIMILAR}, sides AS (SELECT source, a AS doc_id, b AS other, similarity FROM pairs UNION ALL SELECT source, b, a, similarity FROM pairs),
-k AS (SELECT source, doc_id, least(doc_id, min(other) FILTER (similarity = 1)) AS class, count(*) FILTER (similarity = 1) AS copies, count(*) FILTER (similarity < 1) AS links FROM sides GROUP BY ALL)
+k AS (SELECT source, doc_id, least(doc_id, min(other) FILTER (similarity = 1)) AS class, count(*) FILTER (similarity = 1) AS copies, count(*) FILTER (similarity < 1) AS links FROM sides GROUP BY source, doc_id)
 SELECT source, doc_id, coalesce(k.class, doc_id) AS class_id, coalesce(copies, 0) AS copies, coalesce(links, 0) AS links FROM s LEFT JOIN k USING (source, doc_id) WHERE len(sh) > 0""")
 def similar_documents(spark, sf_dir):
     """One row for each document: its class, its copies and the other documents similar to it."""
