@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from siteloom.functions import urls
 from siteloom.plans.lineage import spread
-from siteloom.sources import dom
+from siteloom.sources import dom, fields
 
 _LINK = "struct<href: string, text: string, is_internal: boolean>"
 DOM = (
@@ -42,50 +43,48 @@ ACQUIRED = {
 NOISE, MAX_ERRORS, ERROR_CHARS = r"(?i)Content Security Policy|\[Violation\]|upgrade-insecure-requests|report-only", 10, 200
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Adds the parsed columns to (url, html, ...); each page is parsed once. Pages without html
-    have nulls and empty lists."""
-    schema = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in PARSED.items()))
-    kept = [c for c in pages.columns if c not in PARSED]
-    out = T.StructType([pages.schema[c] for c in kept] + list(schema.fields))
+def tables(pages: DataFrame) -> DataFrame:
+    """Adds tree, the table of a page's elements (dom.TREE); each page is parsed once."""
+    kept = [c for c in pages.columns if c not in PARSED and c != "tree"]
+    out = T.StructType([pages.schema[c] for c in kept] + [T.StructField("tree", T._parse_datatype_string(dom.TREE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {f.name: _arrow(f.dataType) for f in schema.fields}
         for batch in batches:
             at = {c: batch.column(batch.schema.get_field_index(c)) for c in kept}
-            rows = [dom.extract(u or "", h or "") for u, h in zip(at["url"].to_pylist(), at["html"].to_pylist())]
-            made = []
-            for name, kind in kinds.items():
-                values = [r[name] for r in rows]
-                made.append(pa.array([list(v.items()) for v in values] if name == "og_tags" else [_maps(v) for v in values] if name == "dom" else values, kind))
-            yield pa.RecordBatch.from_arrays([*at.values(), *made], names=[*kept, *kinds])
+            made = dom.Table()
+            for url, html in zip(at["url"].to_pylist(), at["html"].to_pylist()):
+                made.add(url or "", html or "")
+            yield pa.RecordBatch.from_arrays([*at.values(), made.arrow()], names=[*kept, "tree"])
 
     return pages.select(*kept).mapInArrow(run, out)
 
 
-def _maps(value: dict) -> dict:
-    return value | {k: list(value[k].items()) for k in ("tag_counts", "flags")}
+def once(x: Column) -> Column:
+    """A value for a column that later plans read often: a generator, as plans copy plain
+    expressions into each of their uses."""
+    return F.explode(F.array(x))
+
+
+@lru_cache(maxsize=1)
+def _page_fields(application: str) -> Column:
+    """The fields' expression, of some thousand calls, is made once for an application."""
+    return fields.page_fields(F.col("tree"), F.col("url"))
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """Adds the parsed columns to (url, html, ...); each page is parsed once. Pages without html
+    have nulls and empty lists."""
+    held = tables(pages)
+    rest = [c for c in held.columns if c != "tree"]
+    made = held.select(*rest, once(_page_fields(pages.sparkSession.sparkContext.applicationId)).alias("tree"))
+    return made.select(*rest, *(F.col("tree")[k].cast(v).alias(k) for k, v in PARSED.items()))
 
 
 def keywords(docs: DataFrame) -> DataFrame:
     """Replaces url and text by keyword, a struct of the most frequent word, its count and the
-    number of all words (see dom.keyword)."""
+    number of all words (see fields.keyword)."""
     kept = [c for c in docs.columns if c not in ("url", "text", "keyword")]
-    kind = T._parse_datatype_string("struct<word: string, n: int, total: int>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = lambda c: batch.column(batch.schema.get_field_index(c))
-            found = [dom.keyword(u or "", t or "") for u, t in zip(at("url").to_pylist(), at("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*map(at, kept), pa.array(found, _arrow(kind))], names=[*kept, "keyword"])
-
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField("keyword", kind)]))
+    return docs.select(*kept, once(fields.keyword(F.col("url"), F.coalesce("text", F.lit("")))).alias("keyword"))
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import compare, crosspage, history, issues, links, reports, requests, rules, sitechecks, technology
 from siteloom.plans import audit, frontier
-from siteloom.sources import dom, site
+from siteloom.sources import site
 from siteloom.sources import pages as P
 from siteloom.streaming import limiter
 
@@ -30,16 +30,16 @@ def codes(spark, *pages, **tables):
     return out
 
 
-def test_extraction():
+def test_extraction(spark):
     html = (
         '<html lang=en><head><title> A &amp; B </title><meta name=description content=" d "><link rel=canonical href="/c"><meta property="og:title" content=T><link rel=icon href="f.ico"></head><body><h1>Head</h1><p>one  two<p>three'
         '<script>var x="<p>no</p>"</script><a href="x?y#z">go</a><a href="#top">no</a><a href="x?y#z"><img alt="pic" src=i.png></a><a href="https://o.org">out</a><div role=dialog><h2>hidden</h2></div><ul><li>a<li>b</ul></body></html>'
     )
-    r = dom.extract("https://e.com/dir/page", html)
+    r, none, words = parsed(spark, page(0, html, url="https://e.com/dir/page"), page(1, ""), page(2, "plain words here")).orderBy("seq").collect()
     assert (r["title"], r["meta_description"], r["h1"], r["canonical"], r["lang"], r["favicon"]) == ("A & B", "d", "Head", "/c", "en", "https://e.com/dir/f.ico")
     assert [(x["href"], x["text"], x["is_internal"]) for x in r["links"]] == [("https://e.com/dir/x?y#z", "pic", True), ("https://o.org/", "out", False)]
-    assert r["headings"] == [{"level": 1, "text": "Head"}] and r["og_tags"] == {"og:title": "T"} and r["dom"]["tag_counts"]["li"] == 2
-    assert dom.extract("https://e.com/", "")["word_count"] == 0 and dom.extract("https://e.com/", "plain words here")["word_count"] == 3
+    assert [tuple(h) for h in r["headings"]] == [(1, "Head")] and r["og_tags"] == {"og:title": "T"} and r["dom"]["tag_counts"]["li"] == 2
+    assert none["word_count"] == 0 and words["word_count"] == 3
 
 
 def test_bare_homepage(spark):
@@ -90,7 +90,6 @@ def test_keyword_and_readability(spark):
     hard = "<body>" + "Incomprehensible organizational responsibilities necessitate multidimensional considerations " * 12 + ".</body>"
     found = codes(spark, page(0, stuffed), page(1, hard))
     assert [r["seq"] for r in found["keyword_stuffing"]] == [0] and 1 in {r["seq"] for r in found["poor_readability"]}
-    assert dom.keyword("https://shoes.com/", "shoes shoes boots")["word"] == "boots"
 
 
 def graph_page(seq, name, *targets):
