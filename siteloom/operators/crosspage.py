@@ -57,9 +57,12 @@ def similarity_issues(pages: DataFrame) -> DataFrame:
     """For each page the first later page of another base address that is its duplicate, and the
     first that is merely similar: of an issue's code and page, an audit keeps the first only."""
     docs = cut(contents(pages))
-    met = similar.first_partners(similar.similar(docs, SIMILAR), docs.select("scan_id", "seq", "base"), SAME)
+    if len(docs.take(2)) < 2:  # nothing to compare, as on sites of short pages
+        partners = docs.limit(0).select("scan_id", "seq", F.lit(True).alias("same"), c("seq").alias("partner"), F.lit(1.0).alias("similarity"))
+    else:
+        partners = similar.first_partners(similar.similar(docs, SIMILAR), docs.select("scan_id", "seq", "base"), SAME)
     left, right = docs.select("scan_id", "seq", "url", c("text").alias("text_a")), docs.select("scan_id", c("seq").alias("partner"), c("url").alias("other"), c("text").alias("text_b"))
-    met = met.join(left, ["scan_id", "seq"]).join(right, ["scan_id", "partner"])
+    met = partners.join(left, ["scan_id", "seq"]).join(right, ["scan_id", "partner"])
     same = c("same")
     evidence = {"similarUrl": c("other"), "similarity": text.round_half_up(c("similarity") * 100), "sharedContent": text.shared_snippet(c("text_a"), c("text_b"))}
     return rows(met, "tech-duplicates", F.when(same, "duplicate_content").otherwise("high_content_similarity"), F.when(same, "P2").otherwise("P3"), "SEO", F.when(same, 4).otherwise(2), 2, c("url"), c("seq"), evidence, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import compare, crosspage, history, issues, links, reports, requests, rules, sitechecks, technology
 from siteloom.plans import audit, frontier
+from siteloom.plans.lineage import cut
 from siteloom.sources import site
 from siteloom.sources import pages as P
 from siteloom.streaming import limiter
@@ -20,7 +21,7 @@ def page(seq, html, url=None, scan="s", status=200, ttfb=None, headers=None, coo
 
 
 def parsed(spark, *pages):
-    return P.parse_pages(spark.createDataFrame(list(pages), SCHEMA))
+    return cut(P.parse_pages(spark.createDataFrame(list(pages), SCHEMA)))  # stored, as several branches read it
 
 
 def codes(spark, *pages, **tables):
