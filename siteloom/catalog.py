@@ -18,6 +18,7 @@ from siteloom.plans import audit, frontier
 from siteloom.plans.lineage import spread
 from siteloom.sources import pages as P
 from siteloom.sources import sinks, site
+from siteloom.sources.store import Store
 from siteloom.streaming import limiter
 
 c = F.col
@@ -673,6 +674,46 @@ def response_times(spark, sf_dir):
     return rules.evaluate(pages, rules.MEASURED[:2]).select("seq", "code")
 
 
+_SCHEDULES = "(c_custkey * 37) % 1009"
+
+
+@query(f"""WITH {RUNS}, shown AS (SELECT c_custkey AS schedule_id, c_custkey % 200 AS site, {_SCHEDULES} AS created_at FROM customer WHERE c_nationkey % 2 = 0 ORDER BY created_at DESC, schedule_id DESC LIMIT 100),
+k AS (SELECT site, run_id, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, run_id DESC) AS back FROM runs WHERE site IN (SELECT site FROM shown) QUALIFY back <= 10)
+SELECT schedule_id, site, coalesce(string_agg(run_id::VARCHAR, ' ' ORDER BY back), '') AS runs FROM shown LEFT JOIN k USING (site) GROUP BY ALL""")
+def schedule_list(spark, sf_dir):
+    """The newest enabled schedules, each with its ten recent runs; customers stand in for schedules."""
+    held = table(spark, sf_dir, "customer").select(c("c_custkey").alias("schedule_id"), (c("c_custkey") % 200).alias("site"), (c("c_nationkey") % 2 == 0).alias("enabled"), F.expr(_SCHEDULES).alias("created_at"))
+    told = history.schedule_list(held, _runs(spark, sf_dir), enabled_only=True, limit=500)
+    return told.select("schedule_id", "site", F.coalesce(F.array_join(F.transform("runs", lambda r: r["run_id"].cast("string")), " "), F.lit("")).alias("runs"))
+
+
+def _store(spark: SparkSession) -> Store:
+    from uuid import uuid4
+
+    from siteloom.plans.lineage import shared_dir
+
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid4().hex}")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def keyed_updates(spark, sf_dir):
+    """The last event of each user, by merges in mixed order, one of them twice, and compaction."""
+    events, made = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), _store(spark)
+    for part in (2, 0, 2, 1):
+        made.merge(events.where(c("event_id") % 3 == part), ["user_id"], "event_id", f"part-{part}", 8)
+    made.compact()
+    return made.state()
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def inserted_batches(spark, sf_dir):
+    """Events by type, from a table that took them in batches, one of them twice."""
+    events, made = table(spark, sf_dir, "events").select("event_id", "event_type"), _store(spark)
+    for part in (0, 1, 1, 2):
+        made.insert(events.where(c("event_id") % 3 == part), f"part-{part}")
+    return made.rows().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 # -- whole plans ------------------------------------------------------------------------------
 
 

@@ -28,11 +28,26 @@ def previous(runs: DataFrame) -> DataFrame:
 def score_history(runs: DataFrame, depth: int = 9) -> DataFrame:
     """(site, run_id, created_at, score, place): the newest finished run and up to depth before
     it, oldest first; sites with fewer than two have none."""
+    kept = recent(runs.where("status = 'SUCCEEDED'"), depth + 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("site")))
+    return kept.where("n >= 2").withColumn("place", c("n") - c("back")).select("site", "run_id", "created_at", "score", "place")
+
+
+def recent(runs: DataFrame, most: int) -> DataFrame:
+    """The newest runs of each site, with back, their place from the newest. The limit is a
+    constant, so Spark keeps that many rows of a site before it shuffles."""
     newest = Window.partitionBy("site").orderBy(*(F.desc(k) for k in ORDER))
-    every = Window.partitionBy("site")
-    held = runs.where("status = 'SUCCEEDED'").withColumns({"back": F.row_number().over(newest), "n": F.count(F.lit(1)).over(every)})
-    kept = held.where((c("back") <= depth + 1) & (c("n") >= 2))
-    return kept.withColumn("place", F.least(c("n"), F.lit(depth + 1)) - c("back")).select("site", "run_id", "created_at", "score", "place")
+    return runs.withColumn("back", F.row_number().over(newest)).where(c("back") <= most)
+
+
+def schedule_list(schedules: DataFrame, runs: DataFrame, enabled_only: bool = False, limit: int = 20, depth: int = 10) -> DataFrame:
+    """The newest schedules, at most 100, each with its site's newest runs (run_id, created_at,
+    status, score), newest first. schedules: (schedule_id, site, enabled, created_at, ...)."""
+    if enabled_only:
+        schedules = schedules.where("enabled")
+    shown = schedules.orderBy(F.desc("created_at"), F.desc("schedule_id")).limit(min(limit, 100))
+    last = recent(runs.join(F.broadcast(shown.select("site").distinct()), "site", "left_semi"), depth)  # 100 sites at most
+    lists = last.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("back", "run_id", "created_at", "status", "score"))), lambda x: F.struct(x["run_id"], x["created_at"], x["status"], x["score"])).alias("runs"))
+    return shown.join(lists, "site", "left")
 
 
 def sparkline(history: DataFrame) -> DataFrame:
