@@ -14,7 +14,7 @@ from siteloom import composed
 from siteloom.functions import labels, text, urls
 from siteloom.functions.wordlists import STATE_WORDS, STOP_WORDS
 from siteloom.operators import compare, crosspage, history, issues, links, reports, rules, scoring, similar, sitechecks, technology
-from siteloom.plans import audit, frontier
+from siteloom.plans import audit, frontier, phases
 from siteloom.plans.lineage import spread
 from siteloom.sources import pages as P
 from siteloom.sources import sinks, site
@@ -714,6 +714,19 @@ def inserted_batches(spark, sf_dir):
     return made.rows().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("""SELECT 1 AS place, 'types' AS phase, 'finished' AS outcome, (SELECT count(DISTINCT event_type) FROM events) AS rows, 1 / 3::DOUBLE AS done
+UNION ALL SELECT 2, 'sites', 'finished', (SELECT count(DISTINCT user_id) FROM events), 2 / 3::DOUBLE UNION ALL SELECT 3, 'urls', 'finished', (SELECT count(*) FROM pages), 1::DOUBLE""")
+def phase_progress(spark, sf_dir):
+    """Progress of phases that a deadline leaves time for."""
+    from uuid import uuid4
+
+    from siteloom.plans.lineage import shared_dir
+
+    by = lambda k: table(spark, sf_dir, "events").groupBy(k).count()
+    told = phases.run(spark, {"types": lambda: by("event_type"), "sites": lambda: by("user_id"), "urls": lambda: table(spark, sf_dir, "pages").select("url")}, f"{shared_dir(spark)}/phases-{uuid4().hex}")
+    return told.select("place", "phase", "outcome", "rows", "done")
+
+
 # -- whole plans ------------------------------------------------------------------------------
 
 
