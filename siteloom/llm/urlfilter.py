@@ -13,6 +13,8 @@ host and folder (base elements are not read).
 
 Rules are a short configuration list (they become one CASE expression).
 
+Very long pages, and pages full of tags and comments that never end, take time in proportion.
+
 Defined results: a null url, or one without "://", has empty host and path, fits no rule, has
 no alias and is allowed. Null html has no edges. Repeated rows are judged alike. Among rules
 that fit, the longest wins, then the longer host.
@@ -23,16 +25,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.functions.text import let
 from siteloom.llm.common import cut, table
 from siteloom.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-#: Patterns that Java and RE2 read alike.
+#: Patterns of a whole tag for RE2, and of a tag that begins a text for Java.
 COMMENT = r"(?s)<!--.*?-->"
-CANONICAL = r"(?is)<link\b[^>]*\srel\s*=\s*(?:\"[^\"]*\bcanonical\b[^\"]*\"|'[^']*\bcanonical\b[^']*'|canonical\b)[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_CANONICAL = r"<link\b[^>]*\srel\s*=\s*(?:\"[^\"]*\bcanonical\b[^\"]*\"|'[^']*\bcanonical\b[^']*'|canonical\b)"
+_REFRESH = r"<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b"
+CANONICAL, REFRESH = rf"(?is){_CANONICAL}[^>]*>", rf"(?is){_REFRESH}[^>]*>"
 HREF = r"(?is)[\s\"']href\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 AMPERSAND = r"(?i)&(amp|#38|#x26);"
@@ -90,15 +94,26 @@ def resolve(href: Column, url: Column) -> Column:
     )
 
 
+def tags(html: Column) -> Column:
+    """Link and meta tags outside comments, each from its start to its end. The text is cut at
+    ends of comments and at starts of tags, once each, so that no page takes more than time in
+    proportion, however many of either it opens and never closes."""
+    keep = lambda x, i, n: F.when(i == n - 1, x).when(x.contains("<!--"), F.substring_index(x, "<!--", 1)).otherwise(F.concat(x, F.lit("-->")))
+    bare = lambda parts: let(F.size(parts), lambda n: F.array_join(F.transform(parts, lambda x, i: keep(x, i, n)), ""))
+    begun = F.split(let(F.split(html, "-->"), bare), r"(?i)(?=<(?:link|meta)\b)")
+    whole = F.filter(begun, lambda x: x.contains(">") & x.rlike(r"(?i)^<(?:link|meta)\b"))
+    return F.transform(whole, lambda x: F.concat(F.substring_index(x, ">", 1), F.lit(">")))
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(src, dst) nodes of canonical links, refreshes and redirects."""
-    url, html = F.col("url"), F.regexp_replace("html", COMMENT, "")
-    tags = lambda tag, target: F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: F.regexp_extract(t, target, 1))
-    targets = F.concat(tags(CANONICAL, HREF), tags(REFRESH, TARGET))
+    url = F.col("url")
+    found = lambda tag, target: F.transform(F.filter(tags(F.col("html")), lambda t: t.rlike("(?is)^" + tag)), lambda t: F.regexp_extract(t, target, 1))
+    targets = F.concat(found(_CANONICAL, HREF), found(_REFRESH, TARGET))
     # Few pages have such tags, so most are spared the patterns.
     held = pages.where(url.contains("://") & F.lower("html").rlike("canonical|refresh"))
-    found = held.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("href"))
-    edges = found.select(node_of(url).alias("src"), node_of(resolve(F.col("href"), url)).alias("dst"))
+    named = held.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("href"))
+    edges = named.select(node_of(url).alias("src"), node_of(resolve(F.col("href"), url)).alias("dst"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src_url")), node_of(F.col("dst_url"))))
     return edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")

@@ -191,3 +191,17 @@ def test_html_frames(spark):
     table = spark.createDataFrame([(1, "u", "<article><p>Hi é😀</article>", 3), (1, "u", None, 3)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in rows(htmltext.extract_pages(table))) == [("", 0), ("Hi é😀", 5)]
     assert htmltext.extract_pages(table.limit(0)).count() == 0
+
+
+def test_hostile_pages_take_time_in_proportion(spark):
+    """A megabyte of tags or comments that never end, with a link behind them that counts."""
+    import time
+
+    link = '<link rel=canonical href="http://t.org/x">'
+    parts = ["<!--", "<link ", "<link rel=", "<meta ", "<script ", '<link rel="a" ', "-->", "<!-- -->", "<link\n", " rel ", "<!-->"]
+    held = [(i, f"http://s{i}.org/", p * (1_000_000 // len(p)) + ("-->" if p == "<!--" else ">") + link) for i, p in enumerate(parts)]
+    pages = spark.createDataFrame(held, "page_id long, url string, html string")
+    began = time.time()
+    edges = {(r["src"], r["dst"]) for r in urlfilter.alias_edges(pages).collect()}
+    assert time.time() - began < 30
+    assert edges == {(f"://s{i}.org/", "://t.org/x") for i, _, _ in held}
