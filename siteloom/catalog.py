@@ -17,7 +17,7 @@ from siteloom.operators import compare, crosspage, history, issues, links, repor
 from siteloom.plans import audit, frontier, phases
 from siteloom.plans.lineage import spread
 from siteloom.sources import pages as P
-from siteloom.sources import sinks, site
+from siteloom.sources import keyset, sinks, site
 from siteloom.sources.store import Store
 from siteloom.streaming import limiter
 
@@ -440,6 +440,28 @@ def click_depth(spark, sf_dir):
     return links.click_depths(*_edges(spark, sf_dir)).select("node", "depth")
 
 
+# Three sites with circles: a ring of 25 nations that customers cut short, as they link to their own
+# nation and to one further on. The SQL stops at a depth that no shortest path reaches.
+_RING = [("nation", "n_nationkey", "'n' || n_nationkey", "'n' || (n_nationkey + 1) % 25"), ("customer", "c_custkey", "'n' || c_nationkey", "'c' || c_custkey"), ("customer", "c_custkey", "'c' || c_custkey", "'n' || c_nationkey"), ("customer", "c_custkey", "'c' || c_custkey", "'n' || (c_nationkey + c_custkey % 4) % 25")]
+_SITES = [("a", 5), ("b", 11), ("c", 17)]  # a site has the customers of every so many keys
+_CIRCLES = " UNION ".join(f"SELECT '{site}' AS scan_id, {a} AS src, {b} AS dst FROM {t}" + (f" WHERE {key} % {every} = 0" if t == "customer" else "") for site, every in _SITES for t, key, a, b in _RING)
+
+
+@query(f"""WITH RECURSIVE edges AS ({_CIRCLES}), walk AS (
+  SELECT unnest(['a', 'b', 'c']) AS scan_id, 'n0' AS node, 0 AS depth UNION SELECT e.scan_id, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.scan_id = w.scan_id AND e.src = w.node WHERE w.depth < 27
+) SELECT scan_id, node, min(depth)::INT AS depth FROM walk GROUP BY ALL""")
+def click_depth_circles(spark, sf_dir):
+    pairs = []
+    for name, every in _SITES:
+        for t, key, a, b in _RING:
+            held = table(spark, sf_dir, t)
+            pairs.append((held.where(f"{key} % {every} = 0") if t == "customer" else held).selectExpr(f"'{name}' AS scan_id", f"{a} AS src", f"{b} AS dst"))
+    edge = issues.union(pairs).distinct()
+    node = edge.select("scan_id", c("src").alias("node")).distinct()
+    home = issues.union([spark.range(1).selectExpr(f"'{name}' AS scan_id", "'n0' AS home") for name, _ in _SITES])
+    return links.click_depths(node, edge.where("src <> dst"), home).select("scan_id", "node", "depth")
+
+
 @query()
 def crawl_frontier(spark, sf_dir):
     """What a crawl of each site would read first, from its first page."""
@@ -674,6 +696,25 @@ def response_times(spark, sf_dir):
     return rules.evaluate(pages, rules.MEASURED[:2]).select("seq", "code")
 
 
+@query("SELECT event_id, ((row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1) // 50)::INT AS page FROM events QUALIFY page < 4")
+def keyset_walk(spark, sf_dir):
+    """The first four pages of events, each by the cursor of the one before, from a laid-out table."""
+    from uuid import uuid4
+
+    from siteloom.plans.lineage import shared_dir
+
+    events, path, cursor, out = table(spark, sf_dir, "events").select("ts", "event_id"), f"{shared_dir(spark)}/keyset-{uuid4().hex}", None, []
+    keyset.lay_out(events, path, ["ts", "event_id"], 5000)
+    for number in range(4):
+        got = keyset.page(spark, path, events.schema, ["ts", "event_id"], cursor, 50)
+        out.append(got.limit(50).select("event_id", F.lit(number).alias("page")))
+        last = got.limit(50).orderBy("ts", "event_id").first()
+        if last is None:
+            break
+        cursor = (last["ts"], last["event_id"])
+    return issues.union(out)
+
+
 _SCHEDULES = "(c_custkey * 37) % 1009"
 
 
@@ -796,3 +837,26 @@ def rate_limit_stream(spark, sf_dir):
     done = limiter.limit_stream(asked, 3, 86_400_000, expire_idle=False).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(limiter.OUT).parquet(f"{base}/out")
+
+
+_LATE_MS = 86_400_000
+
+
+@query(f"SELECT * FROM ({_LIMITED}) WHERE at_ms < (SELECT max(epoch_us(ts) // 1000) FROM events) - {_LATE_MS}")
+def rate_limit_ordered(spark, sf_dir):
+    """The same decisions where events come in four batches that overlap by up to a day, each taken
+    by a run of the stream that goes on from the one before; the last day is still waiting."""
+    import uuid
+
+    from siteloom.plans.lineage import shared_dir
+
+    asked = limiter.requests(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    comes = c("at_ms") + F.pmod(c("request_id") * 7919, F.lit(_LATE_MS))
+    low, high = asked.agg(F.min(comes), F.max(comes)).first()
+    base = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    for batch in range(4):
+        share = ((comes - (low or 0)) * 4 / ((high or 0) - (low or 0) + 1)).cast("int")
+        asked.where(share == batch).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(asked.schema).parquet(f"{base}/in")
+        limiter.limit_ordered(stream, 3, 86_400_000, _LATE_MS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(limiter.OUT).parquet(f"{base}/out")

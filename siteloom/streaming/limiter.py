@@ -2,10 +2,15 @@
 
 A request is allowed if fewer than max_requests allowed ones of its key lie within the window
 before it; refused requests leave no trace, so a count over all requests would be wrong. The
-state of a key is the list of its allowed times in the window, never more than max_requests."""
+state of a key is the list of its allowed times in the window, never more than max_requests.
+
+What comes first decides, so the requests of one key are judged one after another in one task; of a
+key that holds a third of all requests, that task reads a third. limit_stream() judges in the order
+of arrival, batch by batch. limit_ordered() judges in the order of time, whatever the batches."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MAX_REQUESTS, WINDOW_MS = 10, 600_000
+COLUMNS = ["key", "request_id", "at_ms", "allowed", "remaining", "reset_ms"]
 OUT = "key string, request_id long, at_ms long, allowed boolean, remaining int, reset_ms long"
 STATE = "times array<long>"
+WAITING = "times array<long>, waiting array<struct<at_ms:long,request_id:long>>"
 
 
 def decide(times: list[int], at: int, limit: int, window: int) -> tuple[bool, int, int, list[int]]:
@@ -32,7 +39,7 @@ def _judge(key: str, frame: pd.DataFrame, times: list[int], limit: int, window:
     for at, ident in sorted(zip(frame["at_ms"].tolist(), frame["request_id"].tolist())):
         allowed, left, reset, times = decide(times, at, limit, window)
         rows.append((key, ident, at, allowed, left, reset))
-    return pd.DataFrame(rows, columns=["key", "request_id", "at_ms", "allowed", "remaining", "reset_ms"]), times
+    return pd.DataFrame(rows, columns=COLUMNS), times
 
 
 def requests(events: DataFrame, key: str, at: str, ident: str) -> DataFrame:
@@ -58,6 +65,40 @@ def limit_stream(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_ms:
     return stream.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout)
 
 
+def limit_ordered(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_ms: int = WINDOW_MS, late_ms: int = 60_000) -> DataFrame:
+    """Decisions over a streaming DataFrame of requests() in the order of their times. A request
+    waits in its key's state until the watermark, late_ms behind the newest request, is past it,
+    and is then judged, so batches may come in any order within late_ms. Requests at or before the
+    watermark when they come are late: they are left out, and Spark counts them
+    (numRowsDroppedByWatermark). A key's state goes when nothing waits and the watermark is past
+    the window of its last allowed request. What lies within late_ms of the newest request is told
+    once later ones have come."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, waiting = state.get if state.exists else ([], [])
+        times, waiting = list(times or ()), [tuple(w) for w in waiting or ()]
+        for frame in frames:
+            waiting.extend(zip(frame["at_ms"].tolist(), frame["request_id"].tolist()))
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = bisect_left(waiting, (now,))
+        rows = []
+        for at, ident in waiting[:ready]:
+            allowed, left, reset, times = decide(times, at, max_requests, window_ms)
+            rows.append((key[0], ident, at, allowed, left, reset))
+        waiting = waiting[ready:]
+        wake = waiting[0][0] if waiting else times[-1] + window_ms if times else 0
+        if waiting or wake > now:
+            state.update((times, waiting))
+            state.setTimeoutTimestamp(max(wake, now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+    timed = stream.withColumn("_time", F.timestamp_millis("at_ms")).withWatermark("_time", f"{late_ms} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(step, OUT, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def limit_batch(stored: DataFrame, max_requests: int = MAX_REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
     """The same decisions over stored requests: rows come sorted by key and time, so only the
     state of one key is held, however many requests it has."""
@@ -71,7 +112,7 @@ def limit_batch(stored: DataFrame, max_requests: int = MAX_REQUESTS, window_ms:
                     now, times = key, []
                 allowed, left, reset, times = decide(times, at, max_requests, window_ms)
                 rows.append((key, ident, at, allowed, left, reset))
-            yield pd.DataFrame(rows, columns=["key", "request_id", "at_ms", "allowed", "remaining", "reset_ms"])
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return stored.repartition("key").sortWithinPartitions("key", "at_ms", "request_id").mapInPandas(run, OUT)
 
