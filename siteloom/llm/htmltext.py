@@ -2,9 +2,9 @@
 
 The page is cut into blocks at block-level tags. Pass 1 decides blocks by where they stand
 (menus, headers, footers, sidebars, notices, adverts, forms, comments: boilerplate) and all others
-by link density, length and stop-word density. The page's innermost kind of content element
-(article, else main) is a prior: inside it a block is judged one step better, and short ones
-without many links are text. Pass 2 gives ambiguous blocks (short, or middling in stop words) the label of their
+by link density, length and stop-word density. The page's content element (main, else article)
+is a prior: inside it a block is judged one step better, and short ones without many links are
+text; a heading of the first level right before it belongs to it. Pass 2 gives ambiguous blocks (short, or middling in stop words) the label of their
 nearest decided neighbours; where these differ, the nearer one's, and for equal distances text
 only if it is middling. Blocks outside the content element don't follow labels
 inside it, and middling blocks inside only follow labels inside. A page with undecided blocks only
@@ -12,7 +12,12 @@ keeps them, outside a content element only if the page has none. Elements that a
 inside a line of text (an advert's span, a button) don't cut the line.
 
 A class name or id tells of boilerplate as a whole (sidebar, post-ad, ad-box), not by a word in
-it (related-work, has-sidebar); on text-level elements only few words count, and no ids.
+it (related-work, has-sidebar); on text-level elements only few words count, and no ids. Words
+that may also name a part of an article (related, search, widget, form) take the prior away inside a
+content element, so that densities decide. A form is boilerplate unless it wraps the page: one that
+holds an article, a main or a menu, or long texts without links, at least LONG characters for each
+of its controls. Stop words are known for four languages; text in other scripts that ends as a
+sentence does counts as dense in them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one newline in page order.
@@ -40,7 +45,7 @@ STOP_HIGH, STOP_LOW = 0.30, 0.20
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset("aside button datalist dialog footer form head menu nav noscript object search select svg template title audio video canvas".split())
+DROPPED = frozenset("aside button datalist dialog footer head menu nav noscript object search select svg template title audio video canvas".split())
 #: Of these, what stands inside a line of text.
 INLINE_DROPPED = frozenset("button datalist object select svg audio video canvas".split())
 RAW_TEXT = frozenset("script style textarea iframe noembed noframes xmp".split())
@@ -49,6 +54,10 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 # Words of class names and ids that tell of boilerplate: anywhere, and on containers only.
 STRICT = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies cookiebar cookiebanner consent gdpr newsletter popup".split())
 MARKS = STRICT | frozenset("banner notice notices alert alerts announcement notification modal overlay subscribe subscription signup login sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social search form".split())
+#: Words that may also name a part of an article; inside one they only take its prior away.
+SOFT = frozenset("related recommended recommendations search form widget widgets".split())
+#: Elements that tell of a form around a page, and what a form asks with.
+PAGE_PARTS, CONTROLS = frozenset("article main nav".split()), frozenset("input select textarea button".split())
 #: What may follow such a word in a name; a name that ends in such a word may begin with anything.
 FOLLOWS = frozenset("area article articles bar block box btn button buttons column container content count field form group head holder icon icons inner input item items label left link links list media module news outer panel placeholder post posts right row section slot stories story strip text thread title top unit wrap wrapper".split())
 #: Words by which a wrapper tells what it has; and what a header belongs to that is kept.
@@ -66,9 +75,12 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _RAW_END = {name: re.compile("</" + name + r"[\s/>]", re.I) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_UNSEEN = re.compile(r"type\s*=\s*[\"']?hidden\b", re.I)
+_SENTENCE_END = frozenset(".!?…。！？।»”")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 GOOD, BAD, SHORTISH, NEAR = 1, -1, 0, 2
+PLAIN, GONE, DOUBTFUL = 0, 1, 2
 
 
 def _marked(value: str, marks: frozenset) -> bool:
@@ -81,30 +93,34 @@ def _marked(value: str, marks: frozenset) -> bool:
     return words[-1] in marks or words[0] in marks and all(x in marks or x in FOLLOWS for x in words[1:])
 
 
-def _dropped(name: str, source: str, in_article: bool) -> bool:
-    """Whether an element stands for boilerplate, by its name, role, class and id."""
+def _role(name: str, source: str, in_article: bool, in_content: bool) -> int:
+    """What an element stands for, by its name, role, class and id."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return GONE
     if name in ("html", "body") or not source.strip():
-        return False
+        return PLAIN
     given: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(source):
         given.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(given.get("style", "")):
-        return True
+        return GONE
     classes = given.get("class", "").split()
     if name in ("article", "main"):
-        return name == "article" and any("comment" in {x.lower() for x in _PART.findall(value)} for value in classes)
+        return GONE if name == "article" and any("comment" in {x.lower() for x in _PART.findall(value)} for value in classes) else PLAIN
     if given.get("role", "").lower() in ROLES:
-        return True
+        return GONE
     if name in TEXT_LEVEL:  # a heading's id is the target of a link, not a role
-        return any(_marked(value, STRICT) for value in classes)
+        return GONE if any(_marked(value, STRICT) for value in classes) else PLAIN
+    out = PLAIN
     for value in (*classes, given.get("id", "")):
-        if _marked(value, MARKS) or not in_article and _marked(value, _HEADER) and not CONTENT_MARKS & {x.lower() for x in _PART.findall(value)}:
-            return True
-    return False
+        if _marked(value, MARKS - SOFT) or not in_article and _marked(value, _HEADER) and not CONTENT_MARKS & {x.lower() for x in _PART.findall(value)}:
+            return GONE
+        if _marked(value, _FORM_MARKS if name == "form" else MARKS):
+            out = DOUBTFUL if in_content and name != "form" else GONE
+    return out
 
 
+_FORM_MARKS = MARKS - {"form"}  # each form may be called one
 _HEADER = frozenset(("header",))
 
 
@@ -112,37 +128,43 @@ class _Open:
     """The open elements that matter, with what a step needs in constant time."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool]] = []  # name, dropped, block
+        self.stack: list[tuple[str, int, bool]] = []  # name, role, block
         self.at: dict[str, list[int]] = {}  # places in the stack, by name
         self.blocks: list[int] = []
         self.lists: list[int] = []
         self.dropped = self.hidden = self.articles = self.mains = 0  # hidden: dropped inside a line
+        self.doubtful = 0
         self.link: int | None = None  # size of the stack when the open link began
+        self.forms: list[int] = []  # the open ones, by number
 
-    def push(self, name: str, bad: bool, block: bool) -> None:
+    def push(self, name: str, role: int, block: bool) -> None:
         place = len(self.stack)
         self.at.setdefault(name, []).append(place)
         if block:
             self.blocks.append(place)
         if name in _LISTS:
             self.lists.append(place)
-        self.stack.append((name, bad, block))
-        self.dropped += bad and block
-        self.hidden += bad and not block
+        self.stack.append((name, role, block))
+        self.dropped += role == GONE and block
+        self.hidden += role == GONE and not block
+        self.doubtful += role == DOUBTFUL
         self.articles += name == "article"
         self.mains += name == "main"
 
     def pop_to(self, place: int) -> None:
         """Closes the element at the place and all inside it."""
         while len(self.stack) > place:
-            name, bad, block = self.stack.pop()
+            name, role, block = self.stack.pop()
             self.at[name].pop()
             if block:
                 self.blocks.pop()
             if name in _LISTS:
                 self.lists.pop()
-            self.dropped -= bad and block
-            self.hidden -= bad and not block
+            self.dropped -= role == GONE and block
+            self.hidden -= role == GONE and not block
+            self.doubtful -= role == DOUBTFUL
+            if name == "form":
+                self.forms.pop()
             self.articles -= name == "article"
             self.mains -= name == "main"
         if self.link is not None and self.link > place:
@@ -157,14 +179,36 @@ class _Open:
             self.pop_to(self.blocks[-1])
 
 
+class _Form:
+    """What tells whether a form wraps a page: its controls, its long texts, the page's parts."""
+
+    def __init__(self, parent: int | None) -> None:
+        self.parent, self.controls, self.chars, self.longs, self.parts = parent, 0, 0, 0, False
+
+    def wraps(self) -> bool:
+        return self.parts or self.longs >= 2 and self.chars >= LONG * self.controls
+
+
+def _wrappers(forms: list[_Form]) -> list[bool]:
+    """For each form whether it and all around it wrap the page."""
+    for form in reversed(forms):  # forms come after those around them
+        if form.parent is not None and form.parts:
+            forms[form.parent].parts = True
+    out: list[bool] = []
+    for form in forms:
+        out.append(form.wraps() and (form.parent is None or out[form.parent]))
+    return out
+
+
 _LISTS = frozenset(("ul", "ol", "menu"))
 
 
 def blocks(html: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, place) of each block with text, in page order; place: -1
-    boilerplate, 2 inside an article, 1 inside main, 0 elsewhere. Takes time in proportion to
-    the page, however broken it is."""
-    out: list[tuple[str, int, int]] = []
+    boilerplate, 2 inside main or, without one, an article, 1 inside an article beside main, 0
+    elsewhere. Takes time in proportion to the page, however broken it is."""
+    out: list[tuple[str, int, int, int | None, bool]] = []  # and the form around it, and whether a first heading
+    forms: list[_Form] = []
     parts: list[tuple[str, bool]] = []
     opened = _Open()
 
@@ -174,7 +218,12 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
         text = " ".join("".join(entities.unescape(p) for p, _ in parts).split())
         if text:
             linked = sum(len(entities.unescape(p)) for p, in_link in parts if in_link)
-            out.append((text, linked, -1 if opened.dropped else 2 if opened.articles else 1 if opened.mains else 0))
+            place = -1 if opened.dropped else 0 if opened.doubtful else 2 if opened.mains else 1 if opened.articles else 0
+            around = opened.forms[-1] if opened.forms else None
+            out.append((text, linked, place, around, bool(opened.blocks) and opened.stack[opened.blocks[-1]][0] == "h1"))
+            if around is not None and place >= 0:
+                forms[around].chars += len(text) - linked
+                forms[around].longs += len(text) >= LONG and not linked
         parts.clear()
 
     at, start, n, pattern = 0, 0, len(html), _TAG
@@ -222,6 +271,9 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             elif opened.last(name) >= 0 and (name in INLINE_DROPPED or opened.last(name) > (opened.blocks[-1] if opened.blocks else -1)):
                 opened.pop_to(opened.last(name))
             continue
+        if opened.forms and (name in CONTROLS or name in PAGE_PARTS):
+            forms[opened.forms[-1]].parts |= name in PAGE_PARTS
+            forms[opened.forms[-1]].controls += name in CONTROLS and not _UNSEEN.search(source)
         if name in RAW_TEXT:
             end_tag = _RAW_END[name].search(html, at)
             parts.append((" ", False))
@@ -230,7 +282,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
         if name == "br":
             parts.append((" ", False))
             continue
-        bad = _dropped(name, source, opened.articles > 0)
+        role = _role(name, source, opened.articles > 0, opened.articles + opened.mains > 0)
         if name in VOID:
             if name in BLOCK:
                 flush()
@@ -241,15 +293,30 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
                 opened.close_paragraph()
             if name == "li" and opened.last("li") > (opened.lists[-1] if opened.lists else -1):
                 opened.pop_to(opened.last("li"))
-            opened.push(name, bad, True)
-        elif bad or opened.last(name) >= 0:  # dropped inline elements, and what is needed to find their end
-            opened.push(name, bad, False)
+            opened.push(name, role, True)
+            if name == "form":
+                forms.append(_Form(opened.forms[-1] if opened.forms else None))
+                opened.forms.append(len(forms) - 1)
+        elif role or opened.last(name) >= 0:  # dropped inline elements, and what is needed to find their end
+            opened.push(name, role, False)
         if name == "a":
             opened.link = len(opened.stack)
     if start < n and not opened.hidden:
         parts.append((html[start:], opened.link is not None))
     flush()
-    return out
+    return _places(out, _wrappers(forms))
+
+
+def _places(found: list[tuple[str, int, int, int | None, bool]], wrappers: list[bool]) -> list[tuple[str, int, int]]:
+    """The blocks, once the whole page is known: forms, what kind of content element it has, and
+    the heading before that."""
+    places = [-1 if form is not None and not wrappers[form] else place for _, _, place, form, _ in found]
+    if 2 not in places:
+        places = [2 if x == 1 else x for x in places]
+    for i in range(len(found) - 1):
+        if found[i][4] and places[i] == 0 and places[i + 1] == 2 and 2 not in places[max(0, i - 1) : i]:
+            places[i] = 2
+    return [(block[0], block[1], place) for block, place in zip(found, places)]
 
 
 def _label(text: str, linked: int, place: int, best: int) -> int:
@@ -264,6 +331,8 @@ def _label(text: str, linked: int, place: int, best: int) -> int:
         return GOOD if inside else SHORTISH
     words = text.lower().split()
     stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if not stop and text[-1] in _SENTENCE_END and 2 * sum(ch > "\u024f" and ch.isalpha() for ch in text) > sum(map(str.isalpha, text)):
+        stop = STOP_HIGH  # a sentence in a script whose stop words aren't known
     if stop >= STOP_HIGH:
         return GOOD if inside or len(text) >= LONG else NEAR
     if stop >= STOP_LOW or len(text) >= LONG and density == 0:

@@ -137,8 +137,37 @@ def test_html_marks_and_inline_elements():
     assert htmltext.extract(f"<main><p>{LONG}</p>{gone}<p>End.</p></main>") == LONG.strip() + "\nEnd."
 
 
+def test_html_forms_around_a_page():
+    body = f"<div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    want = [LONG.strip(), "Short one.", LONG.strip()]
+    assert htmltext.extract(f'<form id="aspnetForm"><input type="hidden" name=v><nav>m</nav>{body}<footer>f</footer></form>').split("\n") == want
+    assert htmltext.extract(f'<form id="aspnetForm"><input type=hidden>{body}<button>Go</button></form>').split("\n") == want
+    # A form inside that one is a form; so is one whose texts are few for its controls.
+    assert htmltext.extract(f"<form>{body}<form><p>Sign up</p><input><input></form></form>").split("\n") == want
+    assert htmltext.extract(f"<article><p>One.</p><form><p>{LONG}</p><input><select></select><p>Name</p></form></article>") == "One."
+    assert htmltext.extract(f'<article><p>One.</p><form class="search-form">{body}</form></article>') == "One."
+
+
+def test_html_doubtful_marks_leave_it_to_densities():
+    for name in ('section id="related"', 'div class="widget"', 'div class="search"', 'div class="article-form"'):
+        tag = name.split()[0]
+        assert htmltext.extract(f"<article><p>One.</p><{name}><h2>Related work</h2><p>{LONG}</p></{tag}></article>") == "One.\nRelated work\n" + LONG.strip()
+        assert htmltext.extract(f"<article><p>One.</p><{name}><p>Teaser</p><a href=x>Another post to read</a></{tag}></article>") == "One."
+        assert htmltext.extract(f"<{name}><p>{LONG}</p></{tag}>") == ""
+    for name in ("notice", "sidebar", "comments", "ad"):
+        assert htmltext.extract(f'<article><p>One.</p><div class="{name}"><p>{LONG}</p></div></article>') == "One."
+
+
+def test_html_what_belongs_to_the_content_element():
+    assert htmltext.extract("<main><p>intro</p><article><p>Text.</p></article></main>") == "intro\nText."
+    assert htmltext.extract("<nav>n</nav><h1>Head</h1><article><p>Text.</p></article>") == "Head\nText."
+    assert htmltext.extract("<h1>Site</h1><nav>n</nav><article><p>Text.</p></article>") == "Text."
+    two = ["Город стоял на берегу реки, и люди жили в нём много лет, не зная ни войны, ни голода.", "Потом пришла весна, и река вышла из берегов, и многое стало иначе, чем было раньше."]
+    assert htmltext.extract(f"<nav>меню</nav><div><p>{two[0]}</p><p>{two[1]}</p></div>").split("\n") == two
+
+
 def test_html_is_read_in_linear_time():
-    for page in ("<a " * 330_000, "<div>" * 100_000 + "</p></x>" * 60_000, "<a '>'" * 160_000 + '"', "<ul>" + "<div>" * 50_000 + "<li></li>" * 70_000, "<b hidden><div>" + "<span class=ad>" * 40_000 + "</b>" * 90_000, "<" * 1_000_000):
+    for page in ("<a " * 330_000, "<div>" * 100_000 + "</p></x>" * 60_000, "<a '>'" * 160_000 + '"', "<ul>" + "<div>" * 50_000 + "<li></li>" * 70_000, "<form><p>x" * 90_000, "<b hidden><div>" + "<span class=ad>" * 40_000 + "</b>" * 90_000, "<" * 1_000_000):
         began = time.process_time()
         htmltext.extract(page)
         assert time.process_time() - began < 8, page[:20]  # a second or so on an idle machine
