@@ -8,28 +8,30 @@ text once; word offsets are then mapped to character spans of the original text.
 The automaton is rebuilt in each Python worker from the broadcast words of the items. It is one
 automaton, and the text is read once, for benchmarks of up to BLOCK_WORDS words. Larger ones go
 into blocks of about as many words (long items are cut into overlapping segments), so that what
-is broadcast and what a worker holds has a fixed bound: each block is a pass of its own, whose
-hits are written to the shared folder before its broadcast is freed and the next pass adds to
-them. Nothing is shuffled.
+is broadcast and what a worker holds (one automaton at a time) has a fixed bound: each block is a
+pass of its own, which writes the rows with their hits to the shared folder before its broadcast is
+freed and the next pass adds to them. A pass deletes what the one before it wrote, so that two
+copies of the documents are stored at most, and one is left. Nothing is shuffled.
 
 Defined results: null and empty texts have no words, no hits, no items and are clean. Null and
 wordless items have no windows. An item with a null id is reported as the empty string; an
 item_id on several rows counts once. Repeated documents give repeated rows. Other columns are
-kept; those with a result's name are replaced.
+kept; those with a result's name are replaced. Empty tables give no rows, or no hits. Texts of
+any length are read whole; a worker holds the words of one text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import cut, small_batches, table, texts, utf8, widen
+from siteloom.llm.common import cut, remove, shared_dir, small_batches, table, texts, utf8, widen
 
 WINDOW = 13
 #: Item words in one automaton (about 13 nodes a word, 200 MB in all).
@@ -70,7 +72,17 @@ class _Vocabulary(dict):
         return 0
 
 
-@lru_cache(maxsize=4)
+_HELD: dict = {}
+
+
+def _automaton_of(name: str, shared, window: int):
+    """The automaton of a broadcast block. A worker keeps the last one only."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = _automaton(shared.value, window)
+    return _HELD[name]
+
+
 def _automaton(block: tuple[tuple[str, bytes], ...], window: int):
     """(automaton of word numbers, vocabulary); a key's value is its length and its items."""
     import ahocorasick
@@ -111,10 +123,11 @@ _FIELDS = [("n_words", T.LongType()), ("hit_ranges", _RANGES), ("hit_items", T.A
 
 def _scan(docs: DataFrame, shared, window: int, first: bool) -> DataFrame:
     """shared: the broadcast block."""
+    name = uuid4().hex
 
     def rows(batch: pa.RecordBatch) -> list:
         column = lambda name: batch.column(batch.schema.get_field_index(name))
-        automaton, vocabulary = _automaton(shared.value, window)
+        automaton, vocabulary = _automaton_of(name, shared, window)
         number = vocabulary.__getitem__
         counts, ranges, items = [], [], []
         before = [None] * batch.num_rows if first else column("hit_ranges").to_pylist()
@@ -142,14 +155,19 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     items = cut(segments(benchmark, window))
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    spark, folder = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/decontam-{uuid4().hex}"
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
         rows = mine.select("item_id", "words").distinct().collect()  # about block_words words
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], bytes(r[1])) for r in rows)))
+        shared = spark.sparkContext.broadcast(tuple(sorted((r[0], bytes(r[1])) for r in rows)))
         docs = _scan(docs, shared, window, b == 0)
         if b < blocks - 1:
-            docs = cut(docs)
+            schema = docs.schema
+            docs.write.parquet(f"{folder}/{b}")
+            docs = spark.read.schema(schema).parquet(f"{folder}/{b}")
             shared.unpersist()
+            if b:
+                remove(spark, f"{folder}/{b - 1}")
     hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return docs.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
