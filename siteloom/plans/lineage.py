@@ -25,8 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes for each core up to which a stored table is dealt out: what one task of a scan reads.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(stored: DataFrame) -> DataFrame:
     """A stored table before work that is heavy for each row: where it has fewer files than there
-    are cores (a file may be a single row group, and so a single task), its rows are dealt out."""
-    cores = stored.sparkSession.sparkContext.defaultParallelism
-    return stored.repartition(cores) if len(stored.inputFiles()) < cores else stored
+    are cores (a file may be a single row group, and so a single task), its rows are dealt out. A
+    table of more than SPREAD_BYTES a core is read as it is, as its scan has a task for each core
+    anyway, so what is shuffled has a bound."""
+    spark = stored.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, stored.inputFiles()
+    if len(files) >= cores:
+        return stored
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return stored.repartition(cores) if size <= cores * SPREAD_BYTES else stored

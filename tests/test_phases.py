@@ -41,3 +41,14 @@ def test_an_error_isnt_taken_for_a_deadline(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         phases.run(spark, {"a": lambda: spark.range(2), "b": lambda: 1 / 0}, f"{tmp_path}/run")
     assert phases.progress(spark, f"{tmp_path}/run").count() == 1 and phases.result(spark, f"{tmp_path}/run", "a").count() == 2
+
+
+def test_only_tables_of_a_bounded_size_are_dealt_out(spark, tmp_path, monkeypatch):
+    from siteloom.plans import lineage
+
+    path = f"{tmp_path}/a b"  # a folder's name may hold a space
+    spark.range(1000).coalesce(1).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert lineage.spread(stored).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(lineage, "SPREAD_BYTES", 10)
+    assert lineage.spread(stored) is stored
