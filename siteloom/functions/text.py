@@ -9,11 +9,29 @@ from pyspark.sql import functions as F
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
 
 
+def replace_spans(text: Column, pattern: str, end: str, by: str) -> Column:
+    """Replaces what begins and ends as pattern says, where each match ends at the first place of
+    end. Behind the last end nothing can match, and no start there scans the rest of the text, so
+    this takes time in proportion to the text, however many starts have no end."""
+
+    def ended(x: Column) -> Column:
+        return let(F.regexp_extract(x, f"(?is)^.*{end}", 0), lambda head: F.concat(F.regexp_replace(head, pattern, by), F.substr(x, F.length(head) + 1)))
+
+    return let(text, ended)
+
+
+def without_tags(html: Column, by: str = " ") -> Column:
+    return replace_spans(html, "<[^>]+>", ">", by)
+
+
+def without_scripts(html: Column, by: str = " ") -> Column:
+    return replace_spans(html, "(?is)<script.*?</script>", "</script>", by)
+
+
 def plain(html: Column) -> Column:
     """Text without scripts, styles and tags; a few references decoded, the others blank."""
-    out = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
+    out = replace_spans(without_scripts(html), "(?is)<style.*?</style>", "</style>", " ")
+    out = without_tags(out)
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"&#\d+;|&\w+;", " ")

@@ -432,7 +432,7 @@ indicators = lambda: mount().cast("int") + bundle().cast("int")
 
 def body_length() -> Column:
     body = F.regexp_extract(html(), r"(?is)<body[^>]*>(.*?)</body>", 1)
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?is)<script.*?</script>", ""), "<[^>]+>", "")
+    bare = text.without_tags(text.without_scripts(body, ""), "")
     return F.length(F.regexp_replace(bare, r"^\s+|\s+$", ""))
 
 

@@ -1,6 +1,8 @@
 """URL, text and label functions on hand-made cases."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,20 @@ def test_exports(spark):
     assert one(spark, sinks.csv_field, "plain", "=1+1", "a,b", 'say "x"', "it's", None, "a|b") == ["plain", "\"'=1+1\"", '"a,b"', '"say ""x"""', '"it\'s"', "", '"a|b"']
     assert one(spark, sinks.escape_html, "<a href='x'>&") == ["&lt;a href=&#039;x&#039;&gt;&amp;"]
     assert "B" in spark.range(1).select(sinks.badge(F.lit(85))).first()[0]
+
+
+def test_scripts_and_tags_are_cut_as_by_plain_patterns(spark):
+    """Random markup, and pages of starts without ends."""
+    random.seed(5)
+    pieces = ["<script>", "</SCRIPT>", "<Script x>", "</script>", "<style>", "</style>", "<", ">", "<>", "a b", "\n", "<p>", "</p", "é😀", "</script"]
+    pages = ["".join(random.choices(pieces, k=random.randrange(14))) for _ in range(500)] + ["", None]
+    frame = spark.createDataFrame([(p,) for p in pages], "h string")
+    h = F.col("h")
+    old = F.regexp_replace(F.regexp_replace(F.regexp_replace(h, "(?is)<script.*?</script>", " "), "(?is)<style.*?</style>", " "), "<[^>]+>", " ")
+    new = text.without_tags(text.replace_spans(text.without_scripts(h), "(?is)<style.*?</style>", "</style>", " "))
+    assert frame.where(~old.eqNullSafe(new)).count() == 0
+    began = time.time()
+    for start in ("<script ", "<style ", "<"):
+        page = F.repeat(F.lit(start), 1_000_000 // len(start))
+        assert spark.range(1).select(F.length(text.plain(F.when(F.col("id") == 0, page))).alias("n")).first()["n"] > 0
+    assert time.time() - began < 60  # some seconds; hours by plain patterns
