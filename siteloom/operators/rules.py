@@ -30,25 +30,47 @@ def _value(x) -> Column:
     return x() if callable(x) else F.lit(x)
 
 
-def issue(rule: Rule, url: Column) -> Column:
-    """The rule's issue for a page, or null."""
-    shown = F.to_json(F.struct(url.alias("url"), *(make().alias(k) for k, make in rule.evidence.items())))
+def issue(rule: Rule, url: Column, shown: bool = True) -> Column:
+    """The rule's issue for a page, or null; shown says whether evidence is gathered."""
+    held = F.to_json(F.struct(url.alias("url"), *(make().alias(k) for k, make in rule.evidence.items()))) if shown else F.lit(None).cast("string")
     found = F.struct(
         F.lit(rule.code).alias("code"), _value(rule.severity).alias("severity"), F.lit(rule.category).alias("category"),
-        _value(rule.impact).cast("int").alias("impact"), F.lit(rule.effort).alias("effort"), url.alias("url"), shown.alias("evidence"),
+        _value(rule.impact).cast("int").alias("impact"), F.lit(rule.effort).alias("effort"), url.alias("url"), held.alias("evidence"),
     )
     return F.when(F.coalesce(rule.when(), F.lit(False)), found)
 
 
 def evaluate(pages: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("scan_id", "seq"), chunk: int = 12) -> DataFrame:
     """Issue rows (keys, pos, code, severity, category, impact, effort, url, evidence); pos is
-    the rule's place in the list. Rules are grouped so that generated code stays small."""
+    the rule's place in the list."""
+    return judged(pages, rules, keys, chunk).select(*keys, F.posexplode("issues").alias("pos", "x")).where("x IS NOT NULL").select(*keys, "pos", "x.*")
+
+
+def judged(pages: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("scan_id", "seq"), chunk: int = 12, shown: bool = True) -> DataFrame:
+    """(keys, issues): for each page an array with each rule's issue, or null, in the order of the
+    list. Rules are grouped so that generated code stays small."""
     if "disallow" not in pages.columns:  # robots patterns of the page's site
         pages = pages.withColumn("disallow", F.array().cast("array<string>"))
     groups = [rules[i : i + chunk] for i in range(0, len(rules), chunk)]
-    made = pages.select(*keys, *(F.array(*(issue(r, c("url")) for r in g)).alias(f"g{i}") for i, g in enumerate(groups)))
-    every = F.flatten(F.array(*(c(f"g{i}") for i in range(len(groups)))))
-    return made.select(*keys, F.posexplode(every).alias("pos", "x")).where("x IS NOT NULL").select(*keys, "pos", "x.*")
+    made = known(pages).select(*keys, *(F.array(*(issue(r, c("url"), shown) for r in g)).alias(f"g{i}") for i, g in enumerate(groups)))
+    return made.select(*keys, F.flatten(F.array(*(c(f"g{i}") for i in range(len(groups))))).alias("issues"))
+
+
+def known(pages: DataFrame) -> DataFrame:
+    """Adds known, what several rules ask of a page, once (by a generator, as plans copy plain
+    expressions into each of their uses). Patterns are tried only on pages whose markup, in lower
+    case, holds a word that every match has."""
+    told = {"home": urls.is_homepage(c("url")), "article": urls.is_article(c("url")), "auth": urls.is_auth_page(c("url"), c("disallow")), "path_query": F.concat(urls.path(c("url")), urls.search(c("url")))}
+    if "html" in pages.columns:
+        low = F.lower(html())
+        none = F.array().cast("array<string>")
+        told |= {
+            "hreflang": F.when(low.contains("hreflang"), hreflang_tags()).otherwise(F.array().cast("array<struct<lang: string, href: string>>")),
+            "blocks": F.when(low.contains("application/ld+json"), F.regexp_extract_all(html(), F.lit(JSONLD), F.lit(1))).otherwise(none),
+            "prev": F.when(low.contains("prev"), _rel_tag("prev")).otherwise(""), "next": F.when(low.contains("next"), _rel_tag("next")).otherwise(""),
+            "fonts": F.when(low.contains("font-size"), F.size(_small_fonts())).otherwise(0), "targets": F.when(low.rlike(r"style\s*="), F.size(_small_targets())).otherwise(0),
+        }
+    return pages.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in told.items())))).alias("known"))
 
 
 # -- shared expressions ---------------------------------------------------------------------
@@ -61,12 +83,11 @@ def og(name: str) -> Column:
     return F.nullif(F.coalesce(c("og_tags")[name], F.lit("")), F.lit(""))
 
 
-def auth() -> Column:
-    return urls.is_auth_page(c("url"), c("disallow"))
-
-
-home = lambda: urls.is_homepage(c("url"))
-article = lambda: urls.is_article(c("url"))
+auth = lambda: c("known.auth")
+home = lambda: c("known.home")
+article = lambda: c("known.article")
+path_query = lambda: c("known.path_query")
+alternates = lambda: c("known.hreflang")
 html = lambda: F.coalesce(c("html"), F.lit(""))
 missing = lambda name: lambda: F.coalesce(c(name), F.lit("")) == ""
 chars = lambda name: lambda: F.length(c(name))
@@ -102,26 +123,22 @@ def _bare(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(url, "/$", "")), "^//", ""), "^https?://", ""), r"^www\.", "")
 
 
-def path_query() -> Column:
-    return F.concat(urls.path(c("url")), urls.search(c("url")))
-
-
 def _rel_tag(name: str) -> Column:
     return F.regexp_extract(html(), rf"(?i)<link[^>]*\brel\s*=\s*[\"']{name}[\"'][^>]*>", 0)
 
 
 def _rel_href(name: str) -> Column:
-    return F.regexp_extract(_rel_tag(name), r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1)
+    return F.regexp_extract(c(f"known.{name}"), r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1)
 
 
-def small_fonts() -> Column:
+def _small_fonts() -> Column:
     tags = F.regexp_extract_all(html(), F.lit(r"(?i)style\s*=\s*[\"'][^\"']*font-size\s*:\s*(\d+(?:\.\d+)?)(px|pt)[^\"']*[\"']"), F.lit(0))
     size = lambda t: F.regexp_extract(t, r"(?i).*font-size\s*:\s*(\d+(?:\.\d+)?)(px|pt)", 1).try_cast("double")
     unit = lambda t: F.lower(F.regexp_extract(t, r"(?i).*font-size\s*:\s*(\d+(?:\.\d+)?)(px|pt)", 2))
     return F.filter(tags, lambda t: size(t) < F.when(unit(t) == "pt", 9).otherwise(12))
 
 
-def small_targets() -> Column:
+def _small_targets() -> Column:
     tags = F.regexp_extract_all(html(), F.lit(r"(?i)<(button|a|input|select)\b[^>]*style\s*=\s*[\"'][^\"']*(?:width|height)\s*:\s*(\d+(?:\.\d+)?)(px|em|rem)[^\"']*[\"'][^>]*>"), F.lit(0))
 
     def small(t: Column, side: str) -> Column:
@@ -155,17 +172,17 @@ SEO: list[Rule] = [
     Rule("missing_viewport", "P1", "SEO", 5, 1, missing("viewport")),
     Rule("viewport_not_responsive", "P2", "SEO", 4, 1, lambda: ~missing("viewport")() & ~c("viewport").contains("width=device-width"), {"actual": lambda: c("viewport")}),
     Rule("viewport_not_mobile_friendly", "P2", "SEO", 3, 1, lambda: F.lower("viewport").rlike(r"user-scalable\s*=\s*(no|0)|maximum-scale\s*=\s*1(\.0)?(?!\d)"), {"actual": lambda: c("viewport")}),
-    Rule("text_too_small_mobile", "P2", "SEO", 3, 2, lambda: F.size(small_fonts()) > 0, {"count": lambda: F.size(small_fonts())}),
-    Rule("tap_targets_too_close", "P3", "SEO", 2, 2, lambda: F.size(small_targets()) > 0, {"count": lambda: F.size(small_targets())}),
+    Rule("text_too_small_mobile", "P2", "SEO", 3, 2, lambda: c("known.fonts") > 0, {"count": lambda: c("known.fonts")}),
+    Rule("tap_targets_too_close", "P3", "SEO", 2, 2, lambda: c("known.targets") > 0, {"count": lambda: c("known.targets")}),
     Rule("mobile_usability_interstitial", "P2", "SEO", 3, 2, lambda: F.size("dom.interstitials") > 0, {"patterns": lambda: c("dom.interstitials")}),
     Rule("missing_lang_attribute", "P2", "ACCESSIBILITY", 3, 1, missing("lang")),
     Rule("missing_favicon", "P2", "SEO", 2, 1, lambda: home() & has_text() & ~F.lower(html()).rlike(r"rel=(\"|')(icon|shortcut icon|apple-touch-icon)\1")),
-    Rule("hreflang_missing_self_reference", "P2", "SEO", 3, 1, lambda: (F.size(hreflang_tags()) > 0) & ~any_of(hreflang_tags(), lambda t: _bare(t["href"]) == _bare(c("url"))), {"tags": lambda: F.size(hreflang_tags())}),
-    Rule("hreflang_invalid_language", "P2", "SEO", 3, 1, lambda: any_of(hreflang_tags(), lambda t: ~F.lower(t["lang"]).rlike(r"^[a-z]{2,3}(-[a-z0-9]{2,8}){0,2}\z|^x-default\z"))),
+    Rule("hreflang_missing_self_reference", "P2", "SEO", 3, 1, lambda: (F.size(alternates()) > 0) & ~any_of(alternates(), lambda t: _bare(t["href"]) == _bare(c("url"))), {"tags": lambda: F.size(alternates())}),
+    Rule("hreflang_invalid_language", "P2", "SEO", 3, 1, lambda: any_of(alternates(), lambda t: ~F.lower(t["lang"]).rlike(r"^[a-z]{2,3}(-[a-z0-9]{2,8}){0,2}\z|^x-default\z"))),
     Rule("url_uppercase", "P3", "SEO", 1, 2, lambda: any_of(F.split(path_query(), "/"), lambda s: ~s.rlike(r"^[a-z]{2,3}[-_][A-Z]{2,4}\z") & s.rlike("[A-Z]")), {"actual": path_query}),
     Rule("url_too_long", "P3", "SEO", 1, 2, lambda: F.length(path_query()) > 115, {"actual": lambda: F.length(path_query())}),
     Rule("url_underscores", "P3", "SEO", 1, 2, lambda: path_query().contains("_"), {"actual": path_query}),
-    Rule("pagination_missing_rel_links", "P2", "SEO", 3, 1, lambda: has_text() & c("url").rlike("(?i)" + urls.PAGINATION) & (_rel_tag("prev") == "") & (_rel_tag("next") == "")),
+    Rule("pagination_missing_rel_links", "P2", "SEO", 3, 1, lambda: has_text() & c("url").rlike("(?i)" + urls.PAGINATION) & (c("known.prev") == "") & (c("known.next") == "")),
     Rule("pagination_prev_relative", "P3", "SEO", 2, 1, lambda: (_rel_href("prev") != "") & ~_rel_href("prev").startswith("http") & ~_rel_href("prev").startswith("/"), {"actual": lambda: _rel_href("prev")}),
     Rule("pagination_next_relative", "P3", "SEO", 2, 1, lambda: (_rel_href("next") != "") & ~_rel_href("next").startswith("http") & ~_rel_href("next").startswith("/"), {"actual": lambda: _rel_href("next")}),
 ]
@@ -173,8 +190,8 @@ SEO: list[Rule] = [
 LINK_TEXT: list[Rule] = [
     Rule("empty_anchor_text", "P2", "SEO", 3, 1, lambda: any_of(c("links"), lambda x: blank(x["text"])), {"count": lambda: F.size(F.filter("links", lambda x: blank(x["text"])))}),
     Rule("non_descriptive_anchor", "P3", "SEO", 2, 1, lambda: any_of(c("links"), lambda x: F.trim(x["text"]).rlike(GENERIC)), {"count": lambda: F.size(F.filter("links", lambda x: F.trim(x["text"]).rlike(GENERIC)))}),
-    Rule("missing_structured_data", "P3", "SEO", 3, 2, lambda: has_text() & home() & (F.size(F.regexp_extract_all(html(), F.lit(JSONLD), F.lit(1))) == 0)),
-    Rule("invalid_json_ld", "P2", "SEO", 4, 1, lambda: any_of(F.regexp_extract_all(html(), F.lit(JSONLD), F.lit(1)), lambda j: F.try_parse_json(j).isNull())),
+    Rule("missing_structured_data", "P3", "SEO", 3, 2, lambda: has_text() & home() & (F.size("known.blocks") == 0)),
+    Rule("invalid_json_ld", "P2", "SEO", 4, 1, lambda: any_of(c("known.blocks"), lambda j: F.try_parse_json(j).isNull())),
 ]
 
 # -- content --------------------------------------------------------------------------------
@@ -437,7 +454,16 @@ def body_length() -> Column:
 
 
 client = lambda: ((indicators() >= 2) & (F.coalesce("word_count", F.lit(0)) < 100)) | ((body_length() < 200) & (indicators() >= 1))
-frameworks = lambda: F.filter(F.array(*(F.when(pattern_meets(rx), name) for name, rx in FRAMEWORKS.items())), lambda x: x.isNotNull())
+#: One of these words, in lower case, is in every match of a framework's pattern.
+WORDS = {"react": ("react", "next"), "vue": ("vue", "nuxt"), "angular": ("angular", "zone.js", "ng-version"), "svelte": ("svelte",)}
+holds = lambda low, words: sum((low.contains(w).cast("int") for w in words), F.lit(0)) > 0
+
+
+def frameworks() -> Column:
+    made = lambda low: F.filter(F.array(*(F.when(holds(low, WORDS[name]) & pattern_meets(rx), name) for name, rx in FRAMEWORKS.items())), lambda x: x.isNotNull())
+    return text.let(F.lower(html()), made)
+
+
 
 
 def above_fold() -> Column:
@@ -477,7 +503,9 @@ FIRST_GOOD, FIRST = SECURITY, RENDERING
 def prepare(pages: DataFrame) -> DataFrame:
     """Adds what several rules share: reading ease and JSON-LD items."""
     shared = pages.withColumn("plain", text.plain(html()))
-    return shared.withColumns({"plain_words": F.size(F.split("plain", r"\s+")), "ease": text.reading_ease(c("plain")), "items": items()}).drop("plain")
+    counted = shared.withColumn("plain_words", F.size(F.split("plain", r"\s+")))
+    # No rule judges the ease of texts of under 50 words.
+    return counted.withColumns({"ease": F.when(c("plain_words") >= 50, text.reading_ease(c("plain"))), "items": items()}).drop("plain")
 
 
 def titles(code: Column) -> Column:

@@ -31,6 +31,9 @@ NOT_PAGES = ("#", "javascript:", "mailto:", "tel:")
 SHOWN = r"(?i)\b(modal|popup|overlay|lightbox|interstitial)\b"
 HIDDEN_CLASS = r"(?i)\b(d-none|hidden|is-hidden|hide|ng-hide|sr-only|visually-hidden|invisible)\b"
 
+#: Elements that many fields ask for; a page's are looked up once.
+HELD = ("meta", "link", "script", "a", "img", "p", "h1", "body")
+
 Make = Callable[[Column], Column]
 
 
@@ -89,12 +92,21 @@ def whole_number(x: Column) -> Column:
 class Page:
     """A page's elements and text, as expressions."""
 
-    def __init__(self, nodes: Column, text: Column):
-        self.nodes, self.raw = nodes, text
+    def __init__(self, nodes: Column, text: Column, held: Column | None = None):
+        self.nodes, self.raw, self.held = nodes, text, held
 
     def tag(self, *names: str) -> Column:
+        if self.held is not None and len(names) == 1 and names[0] in HELD:
+            return self.held[names[0]]
         return F.filter(self.nodes, lambda x: x["tag"].isin(*names))
 
+    @property
+    def classes(self) -> Column:
+        """The class attributes of all elements, one a line."""
+        if self.held is not None:
+            return self.held["classes"]
+        return F.array_join(F.transform(self.nodes, lambda x: F.regexp_replace(attr(x, "class"), "\n", " ")), "\n")
+
     def under(self, x: Column) -> Column:
         """What is inside an element."""
         return F.slice(self.nodes, x["n"] + 1, x["last"] - x["n"])
@@ -260,8 +272,8 @@ def main_text(p: Page, body: Column) -> Column:
 def flags(p: Page, has_meta: Make, rel: Make) -> dict[str, Column]:
     """Marks of authors, dates, trust and structure."""
     any_node = lambda test: F.exists(p.nodes, test)
-    has_class = lambda *names: any_node(lambda x: classed(x, *names))
-    part = lambda *parts: any_node(lambda x: F.coalesce(attr(x, "class").rlike("|".join(parts)), F.lit(False)))
+    has_class = lambda *names: p.classes.rlike(rf"(?:^|{SPACE})(?:{'|'.join(names)})(?:{SPACE}|$)")
+    part = lambda *parts: reduce(lambda a, b: a | b, (p.classes.contains(s) for s in parts))
     with_class = lambda x, name: F.coalesce(attr(x, "class").contains(name), F.lit(False))
     some = lambda found: F.size(found) > 0
     asked = F.transform(p.tag("h2", "h3"), lambda x: strip(p.text(x)))
@@ -290,17 +302,23 @@ def flags(p: Page, has_meta: Make, rel: Make) -> dict[str, Column]:
     }
 
 
-def page_fields(tree: Column, url: Column) -> Column:
-    """A struct of the parsed columns (pages.PARSED) of a page."""
-    return let(F.struct(tree["nodes"].alias("nodes"), tree["text"].alias("text"), F.coalesce(url, F.lit("")).alias("url")), lambda v: _fields(Page(v["nodes"], v["text"]), v["url"]))
+def page_fields(tree: Column, url: Column, names: tuple[str, ...]) -> Column:
+    """A struct of those parsed columns (pages.PARSED) of a page that are named."""
+
+    def held(v: Column) -> Column:
+        p = Page(v["nodes"], v["text"])
+        return F.struct(*(p.tag(t).alias(t) for t in HELD), p.classes.alias("classes"))
+
+    page = F.struct(tree["nodes"].alias("nodes"), tree["text"].alias("text"), F.coalesce(url, F.lit("")).alias("url"))
+    return let(page, lambda v: let(held(v), lambda h: _fields(Page(v["nodes"], v["text"], h), v["url"], names)))
 
 
-def _fields(p: Page, url: Column) -> Column:
+def _fields(p: Page, url: Column, names: tuple[str, ...]) -> Column:
     content, has_meta = _metas(p)
     rels = p.tag("link")
     rel = lambda *values: F.filter(rels, lambda x: is_(x, "rel", *values))
     body = first(p.tag("body"))
-    tell = lambda x, *names: [attr(x, k).alias(k) for k in names]
+    tell = lambda x, *keys: [attr(x, k).alias(k) for k in keys]
     every = lambda name, make: F.transform(p.tag(name), make)
     area = F.filter(p.nodes, lambda x: own(x, dom.AREA))
     kind = lambda x: F.lower(F.coalesce(attr(x, "type"), F.lit("text")))
@@ -310,13 +328,15 @@ def _fields(p: Page, url: Column) -> Column:
     read = F.array_join(F.transform(area, p.text), "")
     page = F.filter(p.nodes, lambda x: own(x, dom.CHROME) & ~within(x, dom.CHROME))
     parsed = {
-        "title": filled(strip(p.text(first(p.tag("title"))))), "meta_description": filled(strip(content("name", "description"))), "h1": filled(strip(p.text(first(p.tag("h1"))))),
-        "canonical": filled(attr(first(rel("canonical")), "href")), "robots_meta": filled(content("name", "robots")),
-        "word_count": F.coalesce(F.regexp_count(spaced(p.text(body)), F.lit(f"[^{PLAIN}]+")), F.lit(0)),
-        "headings": headings(p), "images": F.transform(F.filter(p.tag("img"), lambda x: said(x, "src")), lambda x: F.struct(*tell(x, "src", "alt", "width", "height"))),
-        "og_tags": social(p), "viewport": filled(content("name", "viewport")), "script_count": F.size(F.filter(p.tag("script"), lambda x: given(x, "src"))), "stylesheet_count": F.size(rel("stylesheet")),
-        "lang": filled(attr(first(p.tag("html")), "lang")), "favicon": first(rel(*dom.ICONS))["url"], "links": page_links(p, url),
+        "title": lambda: filled(strip(p.text(first(p.tag("title"))))), "meta_description": lambda: filled(strip(content("name", "description"))), "h1": lambda: filled(strip(p.text(first(p.tag("h1"))))),
+        "canonical": lambda: filled(attr(first(rel("canonical")), "href")), "robots_meta": lambda: filled(content("name", "robots")),
+        "word_count": lambda: F.coalesce(F.regexp_count(spaced(p.text(body)), F.lit(f"[^{PLAIN}]+")), F.lit(0)),
+        "headings": lambda: headings(p), "images": lambda: F.transform(F.filter(p.tag("img"), lambda x: said(x, "src")), lambda x: F.struct(*tell(x, "src", "alt", "width", "height"))),
+        "og_tags": lambda: social(p), "viewport": lambda: filled(content("name", "viewport")), "script_count": lambda: F.size(F.filter(p.tag("script"), lambda x: given(x, "src"))), "stylesheet_count": lambda: F.size(rel("stylesheet")),
+        "lang": lambda: filled(attr(first(p.tag("html")), "lang")), "favicon": lambda: first(rel(*dom.ICONS))["url"], "links": lambda: page_links(p, url),
     }
+    if "dom" not in names:
+        return F.struct(*(parsed[k]().alias(k) for k in names))
     dug = {
         "node_count": F.size(p.nodes), "max_depth": F.when(body.isNotNull(), F.least(F.lit(50), F.aggregate(p.under(body), body["depth"], lambda s, x: F.greatest(s, x["depth"])) - body["depth"])).otherwise(0),
         "tag_counts": counts(F.transform(p.nodes, lambda x: x["tag"])), "anchors": every("a", lambda x: F.struct(*tell(x, "href", "target", "rel"))),
@@ -334,4 +354,4 @@ def _fields(p: Page, url: Column) -> Column:
     }
     marks = flags(p, has_meta, rel)
     told = F.map_from_arrays(F.array(*map(F.lit, marks)), F.array(*(F.coalesce(v, F.lit(False)) for v in marks.values())))
-    return F.struct(*(v.alias(k) for k, v in parsed.items()), F.struct(*(v.alias(k) for k, v in dug.items()), told.alias("flags")).alias("dom"))
+    return F.struct(*(parsed[k]().alias(k) for k in names if k != "dom"), F.struct(*(v.alias(k) for k, v in dug.items()), told.alias("flags")).alias("dom"))

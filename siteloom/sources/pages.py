@@ -43,20 +43,30 @@ ACQUIRED = {
 NOISE, MAX_ERRORS, ERROR_CHARS = r"(?i)Content Security Policy|\[Violation\]|upgrade-insecure-requests|report-only", 10, 200
 
 
-def tables(pages: DataFrame) -> DataFrame:
-    """Adds tree, the table of a page's elements (dom.TREE); each page is parsed once."""
-    kept = [c for c in pages.columns if c not in PARSED and c != "tree"]
+#: Characters of html after which the elements parsed so far are handed on: what a worker holds as
+#: Python objects doesn't grow with the number of pages in a batch.
+HELD_CHARS = 1 << 20
+
+
+def tables(pages: DataFrame, html: bool = True) -> DataFrame:
+    """Adds tree, the table of a page's elements (dom.TREE); each page is parsed once. html says
+    whether the markup is kept."""
+    kept = [c for c in pages.columns if c not in PARSED and c != "tree" and (html or c != "html")]
     out = T.StructType([pages.schema[c] for c in kept] + [T.StructField("tree", T._parse_datatype_string(dom.TREE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)) for c in kept}
-            made = dom.Table()
-            for url, html in zip(at["url"].to_pylist(), at["html"].to_pylist()):
-                made.add(url or "", html or "")
-            yield pa.RecordBatch.from_arrays([*at.values(), made.arrow()], names=[*kept, "tree"])
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in {*kept, "url", "html"}}
+            made, begin, size = dom.Table(), 0, 0
+            for k in range(batch.num_rows):
+                markup = at["html"][k].as_py() or ""
+                made.add(at["url"][k].as_py() or "", markup)
+                size += len(markup)
+                if size >= HELD_CHARS or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(at[c].slice(begin, k + 1 - begin) for c in kept), made.arrow()], names=[*kept, "tree"])
+                    made, begin, size = dom.Table(), k + 1, 0
 
-    return pages.select(*kept).mapInArrow(run, out)
+    return pages.select(*dict.fromkeys([*kept, "url", "html"])).mapInArrow(run, out)
 
 
 def once(x: Column) -> Column:
@@ -65,19 +75,20 @@ def once(x: Column) -> Column:
     return F.explode(F.array(x))
 
 
-@lru_cache(maxsize=1)
-def _page_fields(application: str) -> Column:
+@lru_cache(maxsize=4)
+def _page_fields(application: str, names: tuple[str, ...]) -> Column:
     """The fields' expression, of some thousand calls, is made once for an application."""
-    return fields.page_fields(F.col("tree"), F.col("url"))
+    return fields.page_fields(F.col("tree"), F.col("url"), names)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, names: tuple[str, ...] = tuple(PARSED), html: bool = True) -> DataFrame:
     """Adds the parsed columns to (url, html, ...); each page is parsed once. Pages without html
-    have nulls and empty lists."""
-    held = tables(pages)
+    have nulls and empty lists. Of the columns only those named are made, as Spark can't tell
+    which parts of a generated struct nobody reads; html says whether the markup is kept."""
+    held = tables(pages, html)
     rest = [c for c in held.columns if c != "tree"]
-    made = held.select(*rest, once(_page_fields(pages.sparkSession.sparkContext.applicationId)).alias("tree"))
-    return made.select(*rest, *(F.col("tree")[k].cast(v).alias(k) for k, v in PARSED.items()))
+    made = held.select(*rest, once(_page_fields(pages.sparkSession.sparkContext.applicationId, names)).alias("tree"))
+    return made.select(*rest, *(F.col("tree")[k].cast(PARSED[k]).alias(k) for k in names))
 
 
 def keywords(docs: DataFrame) -> DataFrame:
