@@ -6,6 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it; as text.let."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Query parameters that only track a visit.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid fb_action_ids fb_action_types fb_source gclid gclsrc dclid msclkid mc_cid mc_eid _hsenc _hsmi __hstc __hsfp __hssc ref referer referrer _ga _gl trk trkInfo si igshid share_source".split()
 # Path parts of pages behind a login.
@@ -134,15 +140,20 @@ def _private_v4(a: Column, b: Column, c: Column) -> Column:
 
 
 def _private_dotted(ip: Column) -> Column:
-    octet = lambda k: F.regexp_extract(ip, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", k).try_cast("long")
-    return F.coalesce(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$") & _private_v4(octet(1), octet(2), octet(3)), F.lit(False))
+    octets = lambda x: F.transform(F.split(x, r"\."), lambda o: o.try_cast("long"))
+    private = let(octets(ip), lambda o: _private_v4(F.get(o, F.lit(0)), F.get(o, F.lit(1)), F.get(o, F.lit(2))))
+    return F.coalesce(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$") & private, F.lit(False))
 
 
 def is_safe(url: Column) -> Column:
     """Whether a URL may be fetched: http(s), and no local, private or metadata host."""
-    lower = F.trim(F.lower(url))
     full = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), url))
-    host = hostname(full)
+    # The address is taken apart once, as plans copy plain expressions into each of their uses.
+    parts = F.struct(F.trim(F.lower(url)).alias("lower"), hostname(full).alias("host"), scheme(full).alias("scheme"), is_url(full).alias("is_url"))
+    return let(parts, lambda v: _is_safe(v["lower"], v["host"], v["scheme"], v["is_url"]))
+
+
+def _is_safe(lower: Column, host: Column, scheme: Column, is_url: Column) -> Column:
     ip6 = F.regexp_replace(host, r"^\[|\]$", "")
     mapped = F.regexp_extract(ip6, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
     word = lambda k: F.conv(F.regexp_extract(ip6, r"^::ffff:([0-9a-f]+):([0-9a-f]+)$", k), 16, 10).try_cast("long")
@@ -157,7 +168,7 @@ def is_safe(url: Column) -> Column:
     for e in PRIVATE_ENDINGS:
         bad = bad | host.endswith(e)
     bad = bad | host.isin("localhost", "0.0.0.0") | _private_dotted(host) | v6
-    return F.coalesce(is_url(full) & scheme(full).isin("http", "https") & ~bad, F.lit(False))
+    return F.coalesce(is_url & scheme.isin("http", "https") & ~bad, F.lit(False))
 
 
 def disallowed(url: Column, patterns: Column) -> Column:

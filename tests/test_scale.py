@@ -3,6 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siteloom.functions import urls
+from siteloom.operators import technology
 from siteloom.sources import dom
 from siteloom.sources import pages as P
 
@@ -39,3 +41,23 @@ def test_class_marks_are_whole_names_of_one_element(spark):
     pages = spark.createDataFrame([("u", "<b class='post'></b><b class='date'></b>"), ("u", "<b class='a\n published\tb'></b>"), ("u", "<b class='author-x'></b>")], "url string, html string")
     told = [r["f"] for r in P.parse_pages(pages).select(F.col("dom.flags").alias("f")).collect()]
     assert [f["date_markup"] for f in told] == [False, True, False] and [f["author_class"] for f in told] == [False, False, True]
+
+
+def test_an_address_is_taken_apart_a_few_times_only(spark):
+    plan = spark.sql("SELECT 'http://10.0.0.1/' AS u").select(urls.is_safe(F.col("u")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[a-z][a-z0-9+.-]*)://") <= 6
+    rows = [("http://10.1.2.3/", False), ("http://8.8.8.8/", True), ("http://[::ffff:10.0.0.1]/", False), ("http://99999999999999999999.1.1.1/", True), ("http://localhost", False), ("x.corp", False), ("ftp://a.b/", False), ("a.b/c", True), ("", False), (None, False)]
+    held = spark.createDataFrame([(u,) for u, _ in rows], "u string")
+    assert [r[0] for r in held.select(urls.is_safe(F.col("u"))).collect()] == [safe for _, safe in rows]
+
+
+def test_patterns_of_technologies_hold_their_words(spark):
+    """Each alternative of each pattern matches a text that holds one of the words, so no page is spared wrongly."""
+    marks = {"React": ["DATA-REACTROOT", "__NEXT_DATA__", "react-dom", "react.production.min.js"], "Vue.js": ["DATA-V-A", "vue.runtime", "vue.min.js", "vue.global"], "Angular": ["[ngClass]", "(click)", "@angular/core", "ng-app"], "Svelte": ["SVELTE-x", "__sveltekit"],
+        "WordPress": ["wp-json/", '<meta name="generator" content="WORDPRESS">'], "Drupal": ["sites/default/files", "drupal.js"], "Hotjar": ["hj('identify')", "hotjar.com"], "Google Tag Manager": ["GTM-A"], "Google Analytics": ["ga.js", "GoogleAnalyticsObject", "gtag/js"], "Wix": ["_wix_browser_sess"],
+        "Vercel Analytics": ["va.vercel-scripts.com", "vercel-insights"], "Tailwind CSS": ['class="p-1"'], "Bootstrap": ['class="row"', "bootstrap.min"], "Google Fonts": ["fonts.gstatic.com"], "Gatsby": ["___gatsby", "gatsby-image"], "Squarespace": ["sqsp"], "Shopify": ["Shopify.theme"]}
+    rows = [(name, text) for name, texts in marks.items() for text in texts]
+    found = spark.createDataFrame(rows, "name string, html string").select("name", "html", F.transform(technology.detections(F.col("html")), lambda d: d["name"]).alias("names"))
+    assert [(r["name"], r["html"]) for r in found.collect() if r["name"] not in r["names"]] == []
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("contains(") >= 50
