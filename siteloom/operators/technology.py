@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions.text import let
+
 # Fixed values: (name, category, headers, markup, generator, scripts), in the order of detection.
 TECHNOLOGIES: list[tuple[str, str, list[tuple[str, str]], str, str, str]] = [
     ("React", "JavaScript Framework", [], r"(?i:data-reactroot|data-reactid)|__NEXT_DATA__", "", r"react\.production\.min\.js|react-dom"),
@@ -45,9 +49,26 @@ TECHNOLOGIES: list[tuple[str, str, list[tuple[str, str]], str, str, str]] = [
 GENERATOR = r"(?i)<meta[^>]*name=[\"']generator[\"'][^>]*content=[\"']([^\"']+)[\"']"
 
 
+#: Words in lower case of which every match of a technology's patterns has one; the patterns of the
+#: others are single words already.
+WORDS = {
+    "React": ("data-react", "__next_data__", "react"), "Next.js": ("__next_data__", "_next/static"), "Nuxt.js": ("__nuxt__", "_nuxt/"), "Vue.js": ("data-v-", "vue."),
+    "Angular": ("ng-version", "ng-app", "[ngclass]", "(click)", "angular"), "Svelte": ("svelte",), "Gatsby": ("gatsby",), "Astro": ("astro-",), "WordPress": ("wp-", "wordpress"), "Drupal": ("sites/default/files", "drupal"),
+    "Shopify": ("shopify",), "Squarespace": ("squarespace", "sqsp"), "Wix": ("wix",), "Webflow": ("webflow",), "Tailwind CSS": ('class="',), "Bootstrap": ('class="', "bootstrap"),
+    "Google Analytics": ("google-analytics", "gtag", "googleanalytics", "ga.js"), "Google Tag Manager": ("googletagmanager", "gtm-"), "Plausible": ("plausible",), "Vercel Analytics": ("vercel",), "Hotjar": ("hotjar", "hj("),
+    "jQuery": ("jquery",), "Font Awesome": ("font-awesome", "fontawesome"), "Google Fonts": ("fonts.g",), "reCAPTCHA": ("recaptcha",), "Stripe": ("stripe",), "Intercom": ("intercom",), "Crisp": ("crisp",),
+}
+
+
 def detections(html: Column, headers: Column | None = None) -> Column:
     """Array of (pos, name, category, confidence, source), source telling which kind of pattern
-    met first: header, html, meta or script."""
+    met first: header, html, meta or script. A pattern is tried only on markup that holds one of
+    its words."""
+    page = F.struct(html.alias("html"), F.lower(html).alias("low"), *([headers.alias("headers")] if headers is not None else []))
+    return let(page, lambda v: _detections(v["html"], v["low"], v["headers"] if headers is not None else None))
+
+
+def _detections(html: Column, low: Column, headers: Column | None) -> Column:
     made = []
     for pos, (name, category, by_header, markup, generator, scripts) in enumerate(TECHNOLOGIES):
         tests = []
@@ -56,12 +77,13 @@ def detections(html: Column, headers: Column | None = None) -> Column:
             for key, rx in by_header:
                 met = met | F.coalesce(headers[key].rlike(rx), F.lit(False))
             tests.append((met, "header"))
+        held = reduce(lambda a, b: a | b, (low.contains(w) for w in WORDS[name])) if name in WORDS else F.lit(True)
         if markup:
-            tests.append((html.rlike(markup), "html"))
+            tests.append((held & html.rlike(markup), "html"))
         if generator:
-            tests.append((F.regexp_extract(html, GENERATOR, 1).rlike(generator), "meta"))
+            tests.append((held & F.regexp_extract(html, GENERATOR, 1).rlike(generator), "meta"))
         if scripts:
-            tests.append((html.rlike(scripts), "script"))
+            tests.append((held & html.rlike(scripts), "script"))
         if not tests:
             continue
         source = None
