@@ -3,8 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls
-from siteloom.operators import technology
+from siteloom.functions import text, urls
+from siteloom.operators import similar, technology
 from siteloom.sources import dom
 from siteloom.sources import pages as P
 
@@ -61,3 +61,23 @@ def test_patterns_of_technologies_hold_their_words(spark):
     assert [(r["name"], r["html"]) for r in found.collect() if r["name"] not in r["names"]] == []
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.lower().count("contains(") >= 50
+
+
+def test_texts_are_taken_apart_once_for_their_pairs(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(t):
+        calls.add(1)
+        return t
+
+    docs = spark.createDataFrame([(i, f"one two three four five {'six' if i % 3 else 'seven'}") for i in range(30)], "id long, t string").repartition(2)
+    counted = docs.select(F.lit("g").alias("scan_id"), F.col("id").alias("seq"), text.shingle_hashes(F.udf(count)("t")).alias("shingles"))
+    found = similar.similar(counted, 0.5)
+    assert found.members.count() == 30 and [(r["a"], r["b"], r["similarity"]) for r in found.pairs.collect()] == [(0, 1, 0.6)]
+    assert calls.value == 30
+
+
+def test_hashes_of_shingles_are_those_of_their_strings(spark):
+    rows = spark.createDataFrame([("one two three four one two three",), ("the cat",), ("a b",), ("",)], "t string")
+    told = rows.select(F.size(text.shingles(F.col("t"))).alias("a"), F.size(text.shingle_hashes(F.col("t"))).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in told] == [(4, 4), (2, 2), (0, 0), (0, 0)]
