@@ -58,3 +58,37 @@ def test_late_requests_ties_and_idle_keys(spark, tmp_path):
     assert got["idle", 11] == (True, 1, 500)
     held = spark.read.format("statestore").load(f"{tmp_path}/state").select("key.key").collect()
     assert {r["key"] for r in held} == {"z"}
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    """Buckets of keys decide as states of single keys do, over batches out of order; a bucket holds
+    only keys that still wait or count, and one that holds none has no state."""
+    random.seed(5)
+    data = [(random.choice(["hot", None, *map(str, range(60))]), i, random.randrange(100_000)) for i in range(1500)]
+    place = {i: (at + random.randrange(9000)) // 25_000 for _, i, at in data}
+    batches = [[r for r in data if place[r[1]] == k] for k in range(5)] + [[("z", 5000, 200_000)], [("z", 5001, 300_000)]]
+    out, states = {}, []
+    for rows in filter(None, batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run = limiter.limit_ordered(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 3, 4000, 10_000, buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        run.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        states.append(spark.read.format("statestore").load(f"{tmp_path}/state").count())
+    for r in spark.read.schema(limiter.OUT).parquet(f"{tmp_path}/out").collect():
+        assert (r["key"], r["request_id"]) not in out
+        out[r["key"], r["request_id"]] = (r["allowed"], r["remaining"], r["reset_ms"])
+    assert out == one_by_one(data + [("z", 5000, 200_000)], 3, 4000) and any(not v[0] for v in out.values())
+    assert max(states) == 3 and states[-1] == 1
+
+
+def test_the_query_hands_over_few_states(spark, tmp_path, monkeypatch):
+    """rate_limit_ordered calls Python for buckets of its users, not for each of them."""
+    from siteloom import catalog
+
+    asked = []
+    made = limiter.limit_ordered
+    monkeypatch.setattr(limiter, "limit_ordered", lambda *args: asked.append(args[4]) or made(*args))
+    spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id * 600) AS ts", "id % 1500 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.rate_limit_ordered(spark, str(tmp_path)).count() > 2000
+    assert len(set(asked)) == 1 and asked[0] <= 16
+    held = spark.range(100_000).selectExpr("CAST(id AS string) AS key", "id AS request_id", "id AS at_ms")
+    assert 300 < limiter.buckets_for(held) < 500
