@@ -110,8 +110,16 @@ def for_compare(url: Column) -> Column:
 
 def for_graph(url: Column) -> Column:
     """Origin, path without one closing slash, query (link graph); null if invalid."""
-    tail = F.when(path(url) == "/", "/").otherwise(F.regexp_replace(path(url), "/$", ""))
-    return F.when(is_url(url), F.concat(origin(url), tail, search(url)))
+    # The address is taken apart once, as plans copy plain expressions into each of their uses.
+    parts = F.struct(is_url(url).alias("is_url"), _part(url, 1).alias("scheme"), hostname(url).alias("host"), _part(url, 3).alias("port"), _part(url, 4).alias("path"), search(url).alias("search"))
+
+    def of(v: Column) -> Column:
+        own = ((F.lower(v["scheme"]) == "https") & (v["port"] == "443")) | ((F.lower(v["scheme"]) == "http") & (v["port"] == "80"))
+        port = F.when((v["port"] == "") | own, "").otherwise(F.concat(F.lit(":"), v["port"]))
+        tail = F.when(v["path"].isin("", "/"), "/").otherwise(F.regexp_replace(v["path"], "/$", ""))
+        return F.when(v["is_url"], F.concat(F.lower(v["scheme"]), F.lit("://"), v["host"], port, tail, v["search"]))
+
+    return let(parts, of)
 
 
 def for_hreflang(url: Column) -> Column:

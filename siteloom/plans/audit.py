@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.operators import crosspage, issues, links, rules, scoring, sitechecks, technology
+from siteloom.plans.lineage import cut
 from siteloom.sources import pages as P
 from siteloom.sources import site
 
@@ -51,8 +52,8 @@ def all_issues(parsed: DataFrame, files: DataFrame | None = None, probe: DataFra
     parsed = with_robots(P.complete(parsed), files)
     scans = site.scans_of(parsed)
     held = links.links(parsed)
-    home = links.homes(parsed)
-    node, edge = links.nodes(parsed), links.edges(held, links.homes(parsed))
+    home = cut(links.homes(parsed))
+    node, edge = cut(links.nodes(parsed)), cut(links.edges(held, home))  # read once for each level of depth
     parts = [
         page_issues(parsed),
         first_page_issues(parsed),
