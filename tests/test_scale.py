@@ -81,3 +81,26 @@ def test_hashes_of_shingles_are_those_of_their_strings(spark):
     rows = spark.createDataFrame([("one two three four one two three",), ("the cat",), ("a b",), ("",)], "t string")
     told = rows.select(F.size(text.shingles(F.col("t"))).alias("a"), F.size(text.shingle_hashes(F.col("t"))).alias("b")).collect()
     assert [(r["a"], r["b"]) for r in told] == [(4, 4), (2, 2), (0, 0), (0, 0)]
+
+
+def test_pages_of_broken_links_take_tasks_by_the_number_of_links(spark, monkeypatch):
+    from siteloom.operators import links
+
+    monkeypatch.setattr(links, "LINKS_A_TASK", 50)
+    held = spark.range(1000).selectExpr("CAST(id % 7 AS string) AS scan_id", "id AS seq", "0 AS pos", "concat('p', id % 3) AS source_url", "concat('h', id % 20) AS href", "'t' AS text", "true AS is_internal")
+    status = spark.range(20).selectExpr("concat('h', id) AS href", "404 AS status_code", "CAST(null AS string) AS error", "array('x') AS chain")
+    found = links.with_sources(links.checked(links.unique_links(held), status), held)
+    assert found.rdd.getNumPartitions() == 20
+    rows = found.collect()
+    assert len(rows) == 140 and all(sorted(r["found_on"]) == ["p0", "p1", "p2"] for r in rows)
+
+
+def test_texts_to_compare_are_made_once_and_plain_spaces_stay(spark):
+    from siteloom.operators import crosspage
+
+    plan = crosspage.contents(spark.createDataFrame([("s", 1, "u", None, 60, ("w " * 60,))], "scan_id string, seq long, url string, error string, word_count int, dom struct<main_text: string>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9_]") == 1
+    odd = spark.createDataFrame([("A--b\t c é d\n", "a<b>x</b>\r\n c &#7; d")], "t string, html string")
+    assert odd.select(crosspage.comparable(F.col("t")), text.plain(F.col("html"))).first()[:] == ("a b c d", "a x c d")
+    node = urls.for_graph(F.lit("HTTPS://A.b:443/x/?q#f"))
+    assert spark.range(1).select(node).first()[0] == "https://a.b/x?q" and node._jc.toString().count("regexp_extract") <= 6
