@@ -84,6 +84,7 @@ def test_pairs_however_often_a_shingle_is_held(spark, monkeypatch, threshold, fe
     monkeypatch.setattr(similar, "SLOTS", slots)
     monkeypatch.setattr(similar, "ORDERED", ordered)
     monkeypatch.setattr(similar, "BUCKETS", 16)
+    monkeypatch.setattr(similar, "TOGETHER", few)
     data = some(80, seed=few, kinds=14, most=9) + [("g0", 1000 + i, "b", frozenset(f"{i // 3}.{k}" for k in range(i % 3, 12))) for i in range(30)]
     found = similar.similar(frame(spark, data), threshold)
     firsts = {}
@@ -95,13 +96,29 @@ def test_pairs_however_often_a_shingle_is_held(spark, monkeypatch, threshold, fe
     assert sorted((r["scan_id"], r["a"], r["b"], round(r["similarity"], 9)) for r in found.pairs.collect()) == sorted(want) and len(want) > 20
 
 
+def stages(spark):
+    """Bytes written to shuffles by each stage."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    told = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList()))
+    return {s.stageId(): s.shuffleWriteBytes() for s in told}
+
+
+def test_a_family_is_compared_without_a_copy_of_a_set_for_each_pair(spark):
+    """120 near copies: 7140 pairs, of which each had a whole set of 3.2 KB; it now goes to its family's cell."""
+    docs = spark.range(120).select(F.lit("g").alias("scan_id"), F.col("id").alias("seq"), F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.xxhash64(F.when(k > 390, F.col("id")).otherwise(-1), k)).alias("shingles"))
+    before = stages(spark)
+    found = similar.similar(docs, 0.7)
+    assert found.pairs.count() == 120 * 119 // 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert max(size for k, size in stages(spark).items() if k not in before) < 2 * 120 * 400 * 8
+
+
 def test_whole_sets_are_not_shuffled(spark):
     """Of texts without a pair only prefixes are dealt out, once: 3 MB were, where the sets have 0.64."""
-    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()))}
     docs = spark.range(400).select(F.lit("g").alias("scan_id"), F.col("id").alias("seq"), F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.xxhash64("id", k)).alias("shingles"))
-    before = stages()
+    before = stages(spark)
     found = similar.similar(docs, 0.7)
     assert found.members.count() == 400 and not found.pairs.count()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    written = sum(size for k, size in stages().items() if k not in before)
+    written = sum(size for k, size in stages(spark).items() if k not in before)
     assert 0 < written < 400 * 200 * 8 * 1.5
