@@ -107,8 +107,12 @@ def test_a_family_is_compared_without_a_copy_of_a_set_for_each_pair(spark):
     """120 near copies: 7140 pairs, of which each had a whole set of 3.2 KB; it now goes to its family's cell."""
     docs = spark.range(120).select(F.lit("g").alias("scan_id"), F.col("id").alias("seq"), F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.xxhash64(F.when(k > 390, F.col("id")).otherwise(-1), k)).alias("shingles"))
     before = stages(spark)
-    found = similar.similar(docs, 0.7)
-    assert found.pairs.count() == 120 * 119 // 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for larger tables
+    try:
+        found = similar.similar(docs, 0.7)
+        assert found.pairs.count() == 120 * 119 // 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert max(size for k, size in stages(spark).items() if k not in before) < 2 * 120 * 400 * 8
 
